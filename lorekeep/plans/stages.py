@@ -1,0 +1,20 @@
+"""Cutting lineage in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lorekeep.stages.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="lorekeep-")
+        spark.conf.set("lorekeep.stages.dir", base)
+    path = f"{base.rstrip('/')}/lorekeep-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
