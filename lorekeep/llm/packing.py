@@ -27,44 +27,81 @@ SEQUENCE = 2048
 END_ID = 1
 DIMS, BITS = 3, 10
 #: Distinct chunks (between white space) that a Python worker remembers.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 700_000
 # What str.split() parts and the tokenizer's white space doesn't.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+# Fixed value: how the tokenizer of the vocabulary parts its normalised text.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Below this character lower-casing and composition are the same in Python and the tokenizer.
+_LATIN_END = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of whole texts by a tokenizers file that drops white space.
 
     Tokens never span white space, so texts are cut there and each distinct chunk
     is encoded once; a text with one of the separators on which Python and the
-    tokenizer differ is encoded in one piece.
+    tokenizer differ is encoded in one piece.  Chunks of Latin letters are parted
+    here and their distinct parts go to the tokenizer's model; others go through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.split = regex.compile(_PARTS).findall
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cache_chunks = cache_chunks
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.letters))
+        out = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in tokens)
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        other = []
+        get, part = self.parts.get, self._part
+        for chunk in chunks:
+            if chunk.isascii() or max(chunk) < _LATIN_END:
+                self.known[chunk] = b"".join([get(p) or part(p) for p in self.split(chunk.lower())])
+            else:
+                other.append(chunk)
+        for i in range(0, len(other), 20_000):
+            now = other[i : i + 20_000]
+            self.known.update(zip(now, self._whole(now), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
         odd = [any(c in t for c in _ODD_SPACE) for t in texts]
         cut = [() if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = list({w for words in cut for w in words if w not in known})
+        new = {w for words in cut for w in words if w not in known}
         if len(known) + len(new) > self.cache_chunks:
             known.clear()
-            new = list({w for words in cut for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self._whole(part), strict=True))
+            self.parts.clear()
+            new = {w for words in cut for w in words}
+        self._learn(list(new))
         get = known.__getitem__
         return [self._whole([t])[0] if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, cut, strict=True)]
 
