@@ -123,66 +123,108 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS, pr
 
 
 class Scorer:
+    """Log-probabilities of distinct words and chunks, remembered; texts are sums of chunks."""
+
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.langs)
-        self.unknown = (UNKNOWN,) * self.n
+        self.number = {p: k for k, p in enumerate(model.pieces)}
+        self.prob = np.array([*model.pieces.values(), (UNKNOWN,) * self.n]).reshape(-1, max(1, self.n))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, self.n + 1))
+        self.word_logs = np.zeros((0, self.n))
+        self.table = np.zeros((0, self.n + 1))
 
-    def word(self, word: str) -> list[float]:
-        """Log-probabilities of a word: the forward sum over all segmentations, rescaled as it goes."""
-        get, unknown = self.model.pieces.get, self.unknown
-        window: list[list[float]] = [[1.0] * self.n]  # the last MAX_PIECE + 1 sums
-        logs = [0.0] * self.n
+    def word(self, word: str) -> np.ndarray:
+        """One long word: the forward sum, rescaled as it goes."""
+        window = [np.ones(self.n)]
+        logs = np.zeros(self.n)
         for i in range(1, len(word) + 1):
-            row = [0.0] * self.n
-            first = max(0, i - MAX_PIECE)
-            for j in range(first, i):
-                p = get(word[j:i])
-                if p is None:
-                    if i - j > 1:
-                        continue
-                    p = unknown
-                row = [a + b * c for a, b, c in zip(row, window[j - i], p, strict=True)]
+            row = np.zeros(self.n)
+            for j in range(max(0, i - MAX_PIECE), i):
+                k = self.number.get(word[j:i])
+                if k is None and i - j > 1:
+                    continue
+                row = row + window[j - i] * self.prob[-1 if k is None else k]
             window.append(row)
             if len(window) > MAX_PIECE:
                 window.pop(0)
             if i % 16 == 0:
-                for k in range(self.n):
-                    s = row[k]
-                    logs[k] += math.log(s)
-                    for x in window:
-                        x[k] /= s
-        return [a + math.log(b) for a, b in zip(logs, window[-1], strict=True)]
-
-    def _learn(self, chunk: str) -> int:
-        total, count = [0.0] * self.n, 0
-        for w in words_of(chunk):
-            total = [a + b for a, b in zip(total, self.word(w), strict=True)]
-            count += 1
-        k = len(self.rows)
-        if k >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k, : self.n], self.table[k, self.n] = total, count
-        self.rows[chunk] = k
-        return k
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.n:
-            return "und", 0.0
-        if len(self.rows) > CACHE_CHUNKS:
-            self.rows.clear()
-        get = self.rows.get
-        at = [k if (k := get(c)) is not None else self._learn(c) for c in text.split()]
-        if not at:
-            return "und", 0.0
-        sums = self.table[at].sum(axis=0)
-        count = sums[-1]
-        if count == 0:
-            return "und", 0.0
-        x = sums[:-1] * (SPAN / max(SPAN, count)) + np.array(self.model.priors)
-        best = int(x.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(x - x[best]).sum())
+                scale = row.copy()
+                logs += np.log(scale)
+                window = [x / scale for x in window]
+        return logs + np.log(window[-1])
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Rows of log-probabilities: the sums over all segmentations, for all words step by step."""
+        out = np.zeros((len(words), self.n))
+        short = [k for k, w in enumerate(words) if len(w) <= 24]
+        for k, w in enumerate(words):
+            if len(w) > 24:
+                out[k] = self.word(w)
+        if not short:
+            return out
+        arcs: list[list[list[tuple[int, int]]]] = [[[] for _ in range(MAX_PIECE + 1)] for _ in range(25)]
+        get, unknown = self.number.get, len(self.prob) - 1
+        for at, k in enumerate(short):
+            w = words[k]
+            for i in range(1, len(w) + 1):
+                own = arcs[i]
+                for j in range(i - MAX_PIECE if i > MAX_PIECE else 0, i - 1):
+                    p = get(w[j:i])
+                    if p is not None:
+                        own[i - j].append((at, p))
+                own[1].append((at, get(w[i - 1], unknown)))
+        sums = np.zeros((25, len(short), self.n))
+        sums[0] = 1.0
+        for i in range(1, 25):
+            for size in range(1, min(i, MAX_PIECE) + 1):
+                if arcs[i][size]:
+                    pair = np.array(arcs[i][size])
+                    sums[i, pair[:, 0]] += sums[i - size, pair[:, 0]] * self.prob[pair[:, 1]]
+        ends = np.array([len(words[k]) for k in short])
+        out[short] = np.log(sums[ends, np.arange(len(short))])
+        return out
+
+    def learn(self, chunks: list[str]) -> None:
+        parts = [words_of(c) for c in chunks]
+        new = list({w for p in parts for w in p if w not in self.words})
+        for i in range(0, len(new), 20_000):
+            now = new[i : i + 20_000]
+            base = len(self.words)
+            self.words.update(zip(now, range(base, base + len(now)), strict=True))
+            self.word_logs = np.concatenate([self.word_logs, self.forward(now)])
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        flat = np.fromiter((self.words[w] for p in parts for w in p), dtype=np.int64, count=int(sizes.sum()))
+        rows = np.zeros((len(chunks), self.n + 1))
+        np.add.at(rows[:, : self.n], np.repeat(np.arange(len(chunks)), sizes), self.word_logs[flat])
+        rows[:, self.n] = sizes
+        base = len(self.rows)
+        self.rows.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+        self.table = np.concatenate([self.table, rows])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.n:
+            return [("und", 0.0)] * len(texts)
+        cut = [(t or "").split() for t in texts]
+        new = list({c for chunks in cut for c in chunks if c not in self.rows})
+        if len(self.rows) + len(new) > CACHE_CHUNKS:
+            self._forget()
+            new = list({c for chunks in cut for c in chunks})
+        self.learn(new)
+        get, priors, out = self.rows.__getitem__, np.array(self.model.priors), []
+        for chunks in cut:
+            sums = self.table[np.fromiter(map(get, chunks), dtype=np.int64, count=len(chunks))].sum(axis=0)
+            count = sums[-1]
+            if count == 0:
+                out.append(("und", 0.0))
+                continue
+            x = sums[:-1] * (SPAN / max(SPAN, count)) + priors
+            best = int(x.argmax())
+            out.append((self.model.langs[best], float(1.0 / np.exp(x - x[best]).sum())))
+        return out
 
 
 def sample(docs: DataFrame, held_out: int = 0, folds: int = 5, max_texts: int = MAX_TEXTS, shards: int = SHARDS, max_bytes: int = MAX_BYTES) -> list[tuple[str, str]]:
@@ -207,7 +249,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            got = [scorer.predict(x) for x in batch["text"]]
+            got = []
+            for i in range(0, len(batch), 1000):
+                got += scorer.predict(batch["text"].iloc[i : i + 1000].to_list())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     own = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
