@@ -67,6 +67,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.split = regex.compile(_PARTS).findall
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -76,8 +77,10 @@ class Encoder:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
-        tokens = self.model.tokenize(part.encode("utf-8").decode("latin-1").translate(self.letters))
-        out = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in tokens)
+        # printable ASCII letters stand for themselves
+        letters = part if part.isascii() and part.isprintable() else part.encode("utf-8").decode("latin-1").translate(self.letters)
+        packed = self.packed
+        out = self.parts[part] = b"".join([packed[t.id] for t in self.model.tokenize(letters)])
         return out
 
     def _learn(self, chunks: list[str]) -> None:
@@ -120,12 +123,18 @@ def signs(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return np.stack([((x >> np.uint64(7 * d + 3)) & np.uint64(1)).astype(np.int64) * 2 - 1 for d in range(dims)], axis=1)
 
 
+@lru_cache(maxsize=2)
+def _sign_table(size: int, dims: int) -> np.ndarray:
+    return signs(np.arange(size, dtype=np.uint32), dims).astype(np.int8)
+
+
 def position(ids: np.ndarray, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
     """Grid cell of a document: hashed vector of its distinct ids, projected, squashed."""
     distinct = np.unique(ids)
     if not len(distinct):
         return np.full(dims, 1 << (bits - 1), dtype=np.int64)
-    flat = signs(distinct, dims).sum(axis=0) / np.sqrt(len(distinct))
+    table = _sign_table(1 << max(16, int(distinct[-1]).bit_length()), dims)
+    flat = table[distinct].sum(axis=0, dtype=np.int64) / np.sqrt(len(distinct))
     share = 0.5 * (1 + np.tanh(0.8 * flat))  # close to the normal distribution function
     return np.minimum((share * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
