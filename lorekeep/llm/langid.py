@@ -128,6 +128,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.langs)
         self.number = {p: k for k, p in enumerate(model.pieces)}
+        # every prefix of a piece, with the piece's number or -1: a search that leaves it ends
+        self.trie = {p[:k]: -1 for p in model.pieces for k in range(1, len(p))} | self.number
         self.prob = np.array([*model.pieces.values(), (UNKNOWN,) * self.n]).reshape(-1, max(1, self.n))
         self._forget()
 
@@ -166,24 +168,29 @@ class Scorer:
                 out[k] = self.word(w)
         if not short:
             return out
-        arcs: list[list[list[tuple[int, int]]]] = [[[] for _ in range(MAX_PIECE + 1)] for _ in range(25)]
-        get, unknown = self.number.get, len(self.prob) - 1
+        arcs: list[list[list[int]]] = [[[] for _ in range(MAX_PIECE + 1)] for _ in range(25)]
+        get, unknown = self.trie.get, len(self.prob) - 1
         for at, k in enumerate(short):
             w = words[k]
-            for i in range(1, len(w) + 1):
-                own = arcs[i]
-                for j in range(i - MAX_PIECE if i > MAX_PIECE else 0, i - 1):
+            n = len(w)
+            row = at << 20
+            for j in range(n):
+                p = get(w[j])
+                arcs[j + 1][1].append(row | (unknown if p is None or p < 0 else p))
+                i = j + 2
+                while p is not None and i <= n:
                     p = get(w[j:i])
-                    if p is not None:
-                        own[i - j].append((at, p))
-                own[1].append((at, get(w[i - 1], unknown)))
+                    if p is not None and p >= 0:
+                        arcs[i][i - j].append(row | p)
+                    i += 1
         sums = np.zeros((25, len(short), self.n))
         sums[0] = 1.0
         for i in range(1, 25):
             for size in range(1, min(i, MAX_PIECE) + 1):
                 if arcs[i][size]:
-                    pair = np.array(arcs[i][size])
-                    sums[i, pair[:, 0]] += sums[i - size, pair[:, 0]] * self.prob[pair[:, 1]]
+                    pair = np.array(arcs[i][size], dtype=np.int64)
+                    at = pair >> 20
+                    sums[i, at] += sums[i - size, at] * self.prob[pair & 0xFFFFF]
         ends = np.array([len(words[k]) for k in short])
         out[short] = np.log(sums[ends, np.arange(len(short))])
         return out
