@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.operators import extraction as X
 from lorekeep.operators import graph as G
 from lorekeep.operators import search as R
+from lorekeep.sources import files as files_
 
 from . import bindings as B
 from .texts import _TOKENS, _low
@@ -137,3 +139,14 @@ query("J12_doc_mentions", lambda spark, sf: B.memory(spark, sf).select("memory_i
     f"WITH {M} SELECT DISTINCT memory_id, 'p1' AS node FROM memory WHERE list_contains(regexp_extract_all(summary, '`([^`]+)`', 1), 'parse(x, y)')")
 query("J13_containment", lambda spark, sf: B.read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"), F.lit(1.0).alias("confidence")), "SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst, CAST(1.0 AS DOUBLE) AS confidence FROM supplier")
 query("J1_hits_by_memory", lambda spark, sf: hits(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.max("score").alias("best")), f"WITH {M}, {_HITS} SELECT category, count(*) AS n, max(score) AS best FROM hits GROUP BY category")
+
+# order-dependent passes and text codecs
+query("K13_failure_resolutions", lambda spark, sf: X.failure_resolutions(B.lines(spark, sf)))
+query("M12_greedy_enqueue", lambda spark, sf: X.enqueue(B.memory(spark, sf).withColumn("group", F.concat("source_session", F.lit("/"), "category")), "memory_id", "summary", "group"))
+query("R2_snippets", lambda spark, sf: X.snippets(hits(spark, sf), B.QUERY))
+query("T8_markdown_chunks", lambda spark, sf: files_.chunks(B.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# Title\n"), F.regexp_replace("text", "\n", "\n\n")).alias("text"))))
+_entries = lambda spark, sf: B.memory(spark, sf).select(F.col("memory_id").cast("string").alias("id"), F.col("store").alias("scope"), "category", "status", F.col("confidence").cast("string").alias("confidence"), F.col("created_at").cast("string").alias("created_at"), "body")
+query("IO5_markdown_round_trip", lambda spark, sf: files_.from_markdown(files_.to_markdown(_entries(spark, sf))).select("id", "category", "status", "body"),
+    f"WITH {M} SELECT CAST(memory_id AS VARCHAR) AS id, category, status, body FROM memory")
+query("T27_json_payload", lambda spark, sf: B.memory(spark, sf).select("memory_id", F.get_json_object(files_.json_payload(F.concat(F.lit("<think>{x}</think>```json\n"), F.to_json(F.struct("memory_id", "category")), F.lit("\n```"))), "$.category").alias("category")),
+    f"WITH {M} SELECT memory_id, category FROM memory")
