@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, retrieval, texts
+from . import analytics, retrieval, reviews, texts
 
-_MODULES = (texts, analytics, retrieval)
+_MODULES = (texts, analytics, retrieval, reviews)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
