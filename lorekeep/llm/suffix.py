@@ -6,8 +6,10 @@ anywhere else, in the same document or another.
 1. Anchors.  In each window of LENGTH bytes the place with the smallest hash of
    CORE bytes is an anchor; equal windows choose equal anchors, so suffixes need
    indexing at anchors only, about one byte in eighty.
-2. Anchors whose core occurs once are dropped, by counts that combine before the
-   shuffle; where all the contexts of a core are equal, all its windows repeat.
+2. Anchors are counted by core in buckets, to which they travel packed, contexts
+   told by their hash.  Those whose core occurs once are dropped; where contexts
+   are equal, all their windows repeat.  Cores with many contexts in one batch are
+   spread over all buckets.
 3. The other contexts go to the index family of their core: each new batch gets a
    sorted suffix array, is merge-scanned against the levels for long matches, and
    levels of equal size merge, so that sizes grow geometrically.
@@ -38,6 +40,9 @@ CORE = 48
 SPAN = LENGTH - CORE  # a window starts at most so far before its anchor
 WIDTH = SPAN + LENGTH  # a context: all windows around an anchor
 CROWD = 256
+HOT = 16  # forms of one core among FLUSH anchors
+FLUSH = 1_000_000
+FAMILY = 50_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
@@ -170,35 +175,137 @@ def _contexts(core: np.ndarray, context: list[bytes], left, right, first, last)
     return {"core": core, "context": grid, "left": left, "right": right, "first": first, "last": last, "tag": np.arange(len(context))}
 
 
-_ROW = "key binary, pos int, left int, low int, high int, core long, whole long, context binary, single boolean"
+_ROW = "key binary, pos int, left int, low int, high int, core long, context binary, single boolean"
+_FIELDS = [c.split()[0] for c in _ROW.split(", ")]
+_KEY = 12  # bytes of a text's digest
+_MULTI, _HOT, _MARK = 1, 2, 4
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", text_or_empty().cast("binary")).withColumn("key", F.unhex(F.md5("_text")))
+    return docs.withColumn("_text", text_or_empty().cast("binary")).withColumn("key", F.unhex(F.substring(F.md5("_text"), 1, 2 * _KEY)))
 
 
-def _find(keyed: DataFrame) -> DataFrame:
-    """key, pos, core, whole: an anchor a row; ``whole`` is the hash of its context."""
+def _forms(core: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of arrays sorted by core and whole: where forms begin, each row's form, and its core's number of forms."""
+    fresh = np.ones(len(core), dtype=bool)
+    fresh[1:] = core[1:] != core[:-1]
+    begins = fresh.copy()
+    begins[1:] |= whole[1:] != whole[:-1]
+    group = np.cumsum(fresh) - 1
+    return begins, np.cumsum(begins) - 1, np.bincount(group[begins])[group]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = Powers()
+
+def _packed(held: list[tuple], buckets: int) -> pd.DataFrame:
+    """A row a bucket: one anchor for each form (core and context) of the texts held, and the places of the others.
+
+    A form found twice is known to repeat, so only one of it travels as a partner.
+    The forms of a core that has many of them here are spread over all buckets; a
+    mark goes to the core's own.
+    """
+    lengths = [len(at) for _, at, _, _ in held]
+    key = np.repeat(np.frombuffer(b"".join(k for k, *_ in held), dtype=f"V{_KEY}"), lengths)
+    pos, core, whole = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+    order = np.lexsort((whole, core))
+    key, pos, core, whole = key[order], pos[order].astype(np.int32), core[order], whole[order]
+    begins, form, many = _forms(core, whole)
+    hot = many > HOT
+    own = (core.view(np.uint64) * _MIX >> np.uint64(20)) % np.uint64(buckets)
+    spread = ((core ^ whole).view(np.uint64) * _MIX >> np.uint64(20)) % np.uint64(buckets)
+    bucket = np.where(hot, spread, own).astype(np.int32)
+    flags = ((np.bincount(form)[form] > 1) * _MULTI + hot * _HOT).astype(np.uint8)
+    marks = np.flatnonzero(hot & np.r_[True, core[1:] != core[:-1]])
+    first = np.r_[np.flatnonzero(begins), marks]
+    where = np.r_[bucket[begins], own[marks].astype(np.int32)]
+    kind = np.r_[flags[begins], np.full(len(marks), _MARK, dtype=np.uint8)]
+    by = np.argsort(where, kind="stable")
+    first, where, kind = first[by], where[by], kind[by]
+    more = np.flatnonzero(~begins)
+    more = more[np.argsort(bucket[more], kind="stable")]
+    numbers = np.unique(where)  # the first of a form goes where the others do
+    cut, cut_more = (np.searchsorted(x, np.r_[numbers, buckets]) for x in (where, bucket[more]))
+    rows = []
+    for k in range(len(numbers)):
+        a, m = first[cut[k] : cut[k + 1]], more[cut_more[k] : cut_more[k + 1]]
+        sizes = np.array([len(a), len(m)], dtype=np.int32)
+        rows.append(b"".join(x.tobytes() for x in (sizes, core[a], whole[a], pos[a], pos[m], key[a], key[m], kind[cut[k] : cut[k + 1]])))
+    return pd.DataFrame({"bucket": numbers, "packed": rows})
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    n, m = np.frombuffer(packed, dtype=np.int32, count=2)
+    out, at = [], 8
+    for kind, count in (("i8", n), ("i8", n), ("i4", n), ("i4", m), (f"V{_KEY}", n), (f"V{_KEY}", m), ("u1", n)):
+        x = np.frombuffer(packed, dtype=kind, count=count, offset=at)
+        out.append(x)
+        at += x.nbytes
+    return out
+
+
+def _judged(rows: list[bytes]) -> pd.DataFrame:
+    """Of a bucket: places whose contexts repeat (``sure``), and one place for each form of a core with several."""
+    core, whole, pos, more_pos, key, more_key, kind = (np.concatenate(x) for x in zip(*map(_unpacked, rows), strict=True))
+    marked = core[kind == _MARK]
+    order = np.lexsort((whole, core))
+    order = order[kind[order] != _MARK]
+    core, whole, pos, key, kind = core[order], whole[order], pos[order], key[order], kind[order]
+    begins, form, many = _forms(core, whole)
+    again = (np.bincount(form, weights=1 + (kind & _MULTI))[form] > 1) if len(form) else np.zeros(0, dtype=bool)
+    hot = (kind & _HOT > 0) | np.isin(core, marked)
+    keep = begins & (hot | (many > 1))
+    n, sure = int(keep.sum()), int(again.sum()) + len(more_pos)
+    return pd.DataFrame(
+        {
+            "key": [x.tobytes() for x in key[keep]] + [x.tobytes() for x in key[again]] + [x.tobytes() for x in more_key],
+            "pos": np.concatenate([pos[keep], pos[again], more_pos]),
+            "core": np.concatenate([core[keep], np.zeros(sure, dtype=np.int64)]),
+            "single": np.concatenate([~again[keep], np.zeros(sure, dtype=bool)]),
+            "crowd": np.concatenate([(hot | (many > CROWD))[keep], np.zeros(sure, dtype=bool)]),
+            "sure": np.arange(n + sure) >= n,
+        }
+    )
+
+
+def _places(keyed: DataFrame) -> DataFrame:
+    """key, pos, core, single, crowd, sure: see ``_judged``.  Anchors travel once, packed by bucket."""
+    n = partitions(keyed.sparkSession)
+    buckets = 4 * n
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers, held, size = Powers(), [], 0
         for batch in batches:
-            keys, cores, wholes, places = [], [], [], []
+            known: dict[bytes, tuple] = {}
             for key, data in zip(batch["key"], batch["_text"], strict=True):
-                at, core = anchors(data, powers)
-                keys.append(key)
-                cores.append(core.view(np.int64))
-                places.append(at.astype(np.int32))
-                n = len(data)
-                wholes.append([_hash(data[max(0, a - SPAN) : a + LENGTH], min(a, SPAN) * 1000 + min(n - a, LENGTH)) for a in at.tolist()])
-            yield pd.DataFrame({"key": keys, "core": cores, "whole": wholes, "pos": places})
+                if key not in known:
+                    at, core = anchors(data, powers)
+                    n = len(data)
+                    whole = [_hash(data[max(0, a - SPAN) : a + LENGTH], min(a, SPAN) * 1000 + min(n - a, LENGTH)) for a in at.tolist()]
+                    known[key] = (key, at, core.view(np.int64), np.array(whole, dtype=np.int64))
+                held.append(known[key])
+                size += len(known[key][1])
+                if size >= FLUSH:
+                    yield _packed(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield _packed(held, buckets)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+        for batch in batches:
+            for bucket, packed in zip(batch["bucket"], batch["packed"], strict=True):
+                if bucket != now and held:
+                    yield _judged(held)
+                    held = []
+                now = bucket
+                held.append(packed)
+        if held:
+            yield _judged(held)
 
-    out = keyed.select("key", "_text").where(F.octet_length("_text") >= LENGTH)
-    return out.mapInPandas(run, "key binary, core array<long>, whole array<long>, pos array<int>")
+    sent = keyed.select("key", "_text").where(F.octet_length("_text") >= LENGTH).mapInPandas(send, "bucket int, packed binary")
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(judge, "key binary, pos int, core long, single boolean, crowd boolean, sure boolean")
 
 
 def _half(rows: DataFrame) -> DataFrame:
-    """Either half of the windows of each row, with its longer core."""
+    """Either half of the windows of each row, with its longer core and the bytes that it needs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,88 +319,101 @@ def _half(rows: DataFrame) -> DataFrame:
                         continue  # no window of this half lies in the document
                     a, b = min(left, high), min(right, LENGTH - low)
                     core = _hash(context[left - low : left + LENGTH - high], low * 1000 + high + 1)
-                    whole = _hash(context[left - a : left + b], (low * 1000 + a) * 1000 + b)
-                    out.append((r.key, r.pos, left, low, high, core, whole, context, r.single))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROW.split(", ")])
+                    part = context[left - a : left + b]
+                    out.append((r.key, r.pos, a, low, high, core, part, r.single, _hash(part, (low * 1000 + a) * 1000 + b)))
+            yield pd.DataFrame(out, columns=[*_FIELDS, "whole"])
 
-    return rows.mapInPandas(run, _ROW)
+    return rows.select(*_FIELDS).mapInPandas(run, _ROW + ", whole long")
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    """key, start, end: what the index families of the rows' cores find."""
+    """The columns of a row, start, end: what the index families of the rows' cores find.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family, keys, places, single, base = Family(), [], [], [], 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            context = [bytes(x) for x in batch["context"]]
-            left = batch["left"].to_numpy(np.int32)
-            right = np.fromiter(map(len, context), dtype=np.int32) - left
-            part = _contexts(batch["core"].to_numpy(np.int64), context, left, right, batch["low"].to_numpy(np.int32), batch["high"].to_numpy(np.int32))
-            part["tag"] = part["tag"] + base
-            base += len(context)
-            keys += batch["key"].to_list()
-            places.append(batch["pos"].to_numpy(np.int64))
-            single.append(batch["single"].to_numpy(bool))
-            family.add(part)
-        if not base:
-            return
+    Rows marked ``crowd`` are handed on, with no start.
+    """
+
+    def found(family: Family, keys: list, places: list, single: list) -> Iterator[pd.DataFrame]:
         place, alone = np.concatenate(places), np.concatenate(single)
         for tag, start, end in family.matches():
             keep = alone[tag]
             tag, start, end = tag[keep], start[keep], end[keep]
             if len(tag):
-                yield pd.DataFrame({"key": [keys[t] for t in tag.tolist()], "start": start + place[tag], "end": end + place[tag]})
+                got = pd.DataFrame({"key": [keys[t] for t in tag.tolist()], "start": start + place[tag], "end": end + place[tag]})
+                yield got.reindex(columns=[*_FIELDS, "start", "end"]).astype(object).where(lambda x: x.notna(), None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        family, keys, places, single, base, last = Family(), [], [], [], 0, None
+        for batch in batches:
+            crowd = batch["crowd"].to_numpy(bool)
+            if crowd.any():
+                yield batch[crowd][_FIELDS].assign(start=None, end=None)
+            batch = batch[~crowd]
+            if not len(batch):
+                continue
+            cores = batch["core"].to_numpy(np.int64)
+            # rows come sorted by core: a full family ends where a core ends
+            cut = int(np.searchsorted(cores, last, "right")) if base >= FAMILY else 0
+            for part, fresh in ((batch[:cut], False), (batch[cut:], base >= FAMILY)):
+                if not len(part):
+                    continue
+                if fresh:
+                    yield from found(family, keys, places, single)
+                    family, keys, places, single, base = Family(), [], [], [], 0
+                context = [bytes(x) for x in part["context"]]
+                left = part["left"].to_numpy(np.int32)
+                right = np.fromiter(map(len, context), dtype=np.int32) - left
+                new = _contexts(part["core"].to_numpy(np.int64), context, left, right, part["low"].to_numpy(np.int32), part["high"].to_numpy(np.int32))
+                new["tag"] = new["tag"] + base
+                base += len(context)
+                keys += part["key"].to_list()
+                places.append(part["pos"].to_numpy(np.int64))
+                single.append(part["single"].to_numpy(bool))
+                family.add(new)
+            last = cores[-1]
+        if base:
+            yield from found(family, keys, places, single)
 
     n = partitions(rows.sparkSession)
-    return rows.repartition(n, "core").sortWithinPartitions("core").mapInPandas(run, "key binary, start long, end long")
+    # crowds aren't compared here, so that they are dealt out by text as well
+    dealt = rows.repartition(n, "core", F.when(F.col("crowd"), F.col("key")))
+    return dealt.sortWithinPartitions("core").mapInPandas(run, _ROW + ", start long, end long")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """key, start, end: byte ranges of distinct texts that are covered by repeated windows.
 
-    ``key`` is the MD5 of the text.  Ranges may overlap.  Copies of whole texts
-    are not told here: see ``remove_repeats``.
+    ``key`` is the head of the text's MD5.  Ranges may overlap.  Copies of whole
+    texts are not told here: see ``remove_repeats``.
     """
     keyed = _keyed(docs)
-    found = settle(_find(keyed), "anchors")
-    flat = found.select("key", F.explode(F.arrays_zip("core", "whole", "pos")).alias("x")).select("key", "x.core", "x.whole", "x.pos")
-    counts = flat.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    hits = settle(flat.join(counts.select("core", (F.col("low") == F.col("high")).alias("even")), "core"), "hits")
-    width = lambda df: df.select("key", (F.col("pos") - SPAN).cast("long").alias("start"), (F.col("pos") + LENGTH).cast("long").alias("end"))
-    ranges = [width(hits.where("even"))]
-    mixed = hits.where("not even").select("key", "core", "whole", "pos")
-    forms = mixed.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
-    forms = settle(forms.select("core", "whole", "n", "one.key", "one.pos"), "forms")
-    again = forms.where("n > 1").select("core", "whole")
-    ranges.append(width(mixed.join(again, ["core", "whole"], "left_semi")))
-    # the distinct contexts of cores with several: their bytes are fetched from the texts
-    wanted = forms.groupBy("key").agg(F.collect_list(F.struct("pos", "core", "whole", (F.col("n") == 1).alias("single"))).alias("places"))
-    sources = keyed.where(F.octet_length("_text") >= LENGTH).select("key", "_text").join(wanted, "key")
-    one = sources.select("key", F.explode("places").alias("x"), "_text").select(
-        "key", "x.pos", F.least("x.pos", F.lit(SPAN)).alias("left"), F.lit(0).alias("low"), F.lit(SPAN).alias("high"), "x.core", "x.whole",
-        F.substring("_text", F.greatest(F.col("x.pos") - SPAN, F.lit(0)) + 1, F.least("x.pos", F.lit(SPAN)) + LENGTH).alias("context"), "x.single",
-    )
-    rows = settle(one.dropDuplicates(["core", "whole"]), "contexts")
+    places = settle(_places(keyed), "places")
+    sure = places.where("sure").select("key", (F.col("pos") - SPAN).cast("long").alias("start"), (F.col("pos") + LENGTH).cast("long").alias("end"))
+    ranges = [sure]
+    # the distinct contexts of cores with several: their bytes are cut from the texts, copies counting once
+    wanted = places.where("not sure").groupBy("key").agg(F.collect_list(F.struct("pos", "core", "single", "crowd")).alias("places"))
+    texts = keyed.where(F.octet_length("_text") >= LENGTH).groupBy("key").agg(F.first("_text").alias("_text"))
+
+    def row(x):
+        left = F.least(x["pos"], F.lit(SPAN))
+        context = F.substring(F.col("_text"), x["pos"] - left + 1, left + LENGTH)
+        return F.struct(x["pos"].alias("pos"), left.alias("left"), F.lit(0).alias("low"), F.lit(SPAN).alias("high"), x["core"].alias("core"), context.alias("context"), x["single"].alias("single"), x["crowd"].alias("crowd"))
+
+    rows = texts.join(wanted, "key").select("key", F.explode(F.transform("places", row)).alias("x")).select("key", "x.*")
     while True:
-        sizes = rows.groupBy("core").count()
-        big = sizes.where(F.col("count") > CROWD).select("core")
-        if big.isEmpty():
-            ranges.append(_scan(rows))
+        scanned = settle(_scan(rows), "scanned")
+        ranges.append(scanned.where("start is not null").select("key", "start", "end"))
+        crowds = scanned.where("start is null")
+        if crowds.isEmpty():
             break
-        big = settle(big, "crowds")
-        ranges.append(_scan(rows.join(big, "core", "left_anti")))
-        halves = settle(_half(rows.join(big, "core", "left_semi")), "halves")
+        halves = settle(_half(crowds), "halves")
         # equal unions repeat as a whole; cores that are left alone hold no repeat
-        same = halves.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "left", "low", "high", "context", "single")).alias("x"), F.max("single").alias("any"))
-        same = settle(same, "unions")
-        full = halves.join(same.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").where("single")
-        right = F.octet_length("context") - F.col("left")
-        ranges.append(full.select("key", (F.col("pos") - F.least("left", "high")).cast("long").alias("start"), (F.col("pos") + F.least(right, LENGTH - F.col("low"))).cast("long").alias("end")))
-        left = same.select("x.key", "x.pos", "x.left", "x.low", "x.high", "core", "whole", "x.context", (F.col("x.single") & (F.col("n") == 1)).alias("single"))
-        alone = left.groupBy("core").count().where("count = 1").select("core")
-        rows = settle(left.join(alone, "core", "left_anti"), "rows")
+        same = halves.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
+        same = settle(same.select("core", "whole", "n", "one.key", "one.pos"), "unions")
+        full = halves.withColumn("right", F.octet_length("context") - F.col("left")).drop("context").join(same.where("n > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+        ranges.append(full.where("single").select("key", (F.col("pos") - F.col("left")).cast("long").alias("start"), (F.col("pos") + F.col("right")).cast("long").alias("end")))
+        sizes = same.groupBy("core").count().where("count > 1").select("core", (F.col("count") > CROWD).alias("crowd"))
+        left = same.join(sizes, "core").select("core", "whole", "key", "pos", "crowd", F.col("n").alias("times"))
+        rows = halves.join(left, ["core", "whole", "key", "pos"]).withColumn("single", F.col("single") & (F.col("times") == 1)).select(*_FIELDS, "crowd")
     out = ranges[0]
     for r in ranges[1:]:
         out = out.unionAll(r)

@@ -37,9 +37,10 @@ def test_secrets(spark):
     assert clean[1] is None and clean[4] == texts[4] and "AKIA" not in clean[0] and clean[0].endswith("é [SECRET]")
 
 
-@pytest.mark.parametrize("crowd", [256, 3])
-def test_suffix(spark, prose, monkeypatch, crowd):
-    monkeypatch.setattr(suffix, "CROWD", crowd)
+@pytest.mark.parametrize(("crowd", "hot", "flush", "family"), [(256, 16, 1_000_000, 50_000), (3, 16, 300, 1), (256, 1, 50, 1)])
+def test_suffix(spark, prose, monkeypatch, crowd, hot, flush, family):
+    for name, value in (("CROWD", crowd), ("HOT", hot), ("FLUSH", flush), ("FAMILY", family)):
+        monkeypatch.setattr(suffix, name, value)
     rng = random.Random(1)
     shared, base = [prose(60) for _ in range(5)], prose(150)
     texts = [" ".join([prose(rng.randint(1, 80)), rng.choice(shared)[rng.randint(0, 40) :], prose(rng.randint(0, 40))]) for _ in range(60)]
