@@ -11,6 +11,11 @@
    they join parts not yet joined, so a group of near copies gives about as many
    pairs as members, not all pairs.
 4. Confirmed links are contracted to components.
+5. The remainder: in each crowded region, rows outside its largest component are
+   compared with all rows of other components, block by block, and what the
+   signatures don't exclude is confirmed as well: first each row's most similar
+   partner, then, over the new components, every pair that is left.
+6. All confirmed links together give the components.
 
 Range sorting splits hot regions over tasks; a pair that a boundary separates in
 one tree meets in the others.
@@ -34,7 +39,7 @@ from .components import components
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 SLOTS = TREES * DEPTH
-CROWD = 64
+CROWD, BLOCK = 64, 512
 #: How far the sketch's estimate may lie below the threshold, and how far above it a pair is certain.
 SLACK, SURE = 0.15, 0.06
 CACHE_WORDS = 600_000
@@ -238,7 +243,91 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def heads(first: DataFrame, groups: DataFrame) -> DataFrame:
+    """tree, head, doc_id, comp: the region and the component of each class in each tree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sigs = np.stack([np.frombuffer(x, dtype=">u2") for x in batch["sig"]])
+            for t in range(TREES):
+                head = np.ascontiguousarray(sigs[:, t * DEPTH : t * DEPTH + MIN_DEPTH]).view(np.int64).ravel()
+                yield pd.DataFrame({"tree": np.int32(t), "head": head, "doc_id": batch["doc_id"], "comp": batch["comp"]})
+
+    own = first.select("doc_id", "sig").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    own = own.select("doc_id", "sig", F.coalesce("component", "doc_id").alias("comp"))
+    return own.mapInPandas(run, "tree int, head long, doc_id long, comp long")
+
+
+def block_pairs(ids: np.ndarray, comp: np.ndarray, minor: np.ndarray, left: np.ndarray, sigs: np.ndarray, low: float, best: bool) -> np.ndarray:
+    """Pairs (a < b) of left and right rows of two components that their signatures don't exclude."""
+    i, j = np.flatnonzero(left), np.flatnonzero(~left)
+    est = np.stack([(sigs[j] == sigs[x]).mean(axis=1) for x in i])
+    # two rows outside the largest component meet on both sides: one of them counts
+    ok = (est >= low) & (comp[i][:, None] != comp[j][None, :]) & (best | ~minor[j][None, :] | (ids[i][:, None] < ids[j][None, :]))
+    if best:
+        top = np.where(ok, est, -1.0).argmax(axis=1)
+        one = np.zeros_like(ok)
+        one[np.arange(len(i)), top] = True
+        ok &= one
+    a, b = np.nonzero(ok)
+    return np.sort(np.stack([ids[i[a]], ids[j[b]]], axis=1), axis=1)
+
+
+def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Distinct pairs (a < b) of the crowded regions that join two components and aren't among the tested.
+
+    With ``best`` only the most similar partner of each row in each block.
+    """
+    low = threshold - SLACK
+    region = ["tree", "head"]
+    rows = heads(first, groups)
+    mixed = rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").where(F.col("n") > CROWD)
+    members = settle(rows.join(mixed.select(*region), region), "members")
+    parts = members.groupBy(*region, "comp").agg(F.count("*").alias("c"))
+    regions = parts.groupBy(*region).agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"))
+    # the rows outside the largest component against all: its own pairs need no test
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    regions = regions.select(*region, F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("lefts"), blocks(F.col("n")).alias("rights"))
+    placed = members.join(regions, region).withColumn("minor", F.col("comp") != F.col("top"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = [*region, "doc_id", "comp", "minor"]
+    lefts = placed.where("minor").select(*fields, F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j"))
+    rights = placed.select(*fields, F.lit(False).alias("left"), every("lefts").alias("i"), own("rights").alias("j"))
+    seats = lefts.unionAll(rights).join(first.select("doc_id", "sig"), "doc_id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                now = (
+                    batch[["tree", "head", "i", "j"]].to_numpy(dtype=np.int64),
+                    np.frombuffer(b"".join(batch["sig"]), dtype=np.uint16).reshape(-1, SLOTS),
+                    *(batch[c].to_numpy(dtype=t) for c, t in (("doc_id", np.int64), ("comp", np.int64), ("minor", bool), ("left", bool))),
+                )
+                rest = now if rest is None else tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
+            if rest is None or not len(rest[0]):
+                continue
+            mark, sigs, ids, comp, minor, left = rest
+            bounds = np.concatenate([[0], np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1, [len(mark)]])
+            last = len(bounds) - 1 if batch is None else len(bounds) - 2  # the last task may go on
+            found = []
+            for a, b in zip(bounds[:last].tolist(), bounds[1 : last + 1].tolist(), strict=True):
+                if left[a:b].any() and not left[a:b].all():
+                    found.append(block_pairs(ids[a:b], comp[a:b], minor[a:b], left[a:b], sigs[a:b], low, best))
+            cut = int(bounds[last])
+            rest = tuple(x[cut:] for x in rest)
+            if found and len(p := np.unique(np.concatenate(found), axis=0)):
+                yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
+
+    tasks = [*region, "i", "j"]
+    pairs = seats.repartition(partitions(seats.sparkSession), *tasks).sortWithinPartitions(*tasks).mapInPandas(compare, "a long, b long")
+    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, merge: bool = True) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     need = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -254,8 +343,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                     words.clear()
             yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": out})
 
-    # a merge join at every size: what the stage shuffles then follows the input
-    full = settle(texts.join(need.hint("merge"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    # a merge join at every size: what the stage shuffles then follows the input; a remainder is small as a rule
+    full = settle(texts.join(need.hint("merge") if merge else need, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -284,9 +373,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     first = some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = settle(first.select("doc_id", "sig"), "first")
     pairs = settle(candidates(settle(forest(first), "forest"), percent / 100), "pairs")
     links = settle(confirmed(docs, pairs, size, percent), "links")
     groups = components(links)
+    for best in (True, False):
+        more = settle(remainder(first, groups, pairs, percent / 100, best), "remainder")
+        if more.isEmpty():
+            continue
+        pairs = pairs.unionAll(more)
+        found = settle(confirmed(docs, more, size, percent, merge=False), "links")
+        if not found.isEmpty():
+            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
     named = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
     whole = sigs.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = whole.unionAll(sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -288,3 +288,15 @@ def test_pipeline(spark):
     assert docs.where("text rlike 'AKIA[A-Z0-9]{12,}'").count() == 0
     pieces = cp.STAGES[-1][1](spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+def test_minhash_crowded_region(spark):
+    """Pairs of copies among many documents that nearly match: their partners lie far apart in regions deeper than any order."""
+    rng = random.Random(1)
+    words = lambda n: " ".join(f"{rng.getrandbits(32):08x}" for _ in range(n))
+    core, texts = words(150), []
+    for _ in range(300):
+        pair = words(6)
+        texts += [f"{core} {pair} {words(10)}" for _ in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
