@@ -11,10 +11,12 @@
    they join parts not yet joined, so a group of near copies gives about as many
    pairs as members, not all pairs.
 4. Confirmed links are contracted to components.
-5. The remainder: in each crowded region, rows outside its largest component are
-   compared with all rows of other components, block by block, and what the
-   signatures don't exclude is confirmed as well: first each row's most similar
-   partner, then, over the new components, every pair that is left.
+5. The remainder: in each region of several components, crowded or not, rows
+   outside the largest are compared with all rows of other components, block by
+   block, and what the signatures don't exclude is confirmed as well: first each
+   row's most similar partner, then, over the new components, every pair that is
+   left.  Components come from confirmed links alone, so no pair stays untested
+   because of one that only seemed certain.
 6. All confirmed links together give the components.
 
 Range sorting splits hot regions over tasks; a pair that a boundary separates in
@@ -276,14 +278,14 @@ def block_pairs(ids: np.ndarray, comp: np.ndarray, minor: np.ndarray, left: np.n
 
 
 def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Distinct pairs (a < b) of the crowded regions that join two components and aren't among the tested.
+    """Distinct pairs (a < b) of the regions that join two components and aren't among the tested.
 
     With ``best`` only the most similar partner of each row in each block.
     """
     low = threshold - SLACK
     region = ["tree", "head"]
     rows = heads(first, groups)
-    mixed = rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").where(F.col("n") > CROWD)
+    mixed = rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     members = settle(rows.join(mixed.select(*region), region), "members")
     parts = members.groupBy(*region, "comp").agg(F.count("*").alias("c"))
     regions = parts.groupBy(*region).agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"))

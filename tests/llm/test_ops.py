@@ -300,3 +300,13 @@ def test_minhash_crowded_region(spark):
         texts += [f"{core} {pair} {words(10)}" for _ in range(2)]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()}
     assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_minhash_failed_certain_pair(spark):
+    """0 and 2 seem certain by their sketches but are no link: the link of 0 and 1, which theirs made needless, stays."""
+    rng = random.Random(21)
+    words = lambda n: [f"{rng.getrandbits(32):08x}" for _ in range(n)]
+    base = words(150)
+    first, third = base + words(22), words(5) + base
+    texts = [" ".join(x) for x in (first, base + words(1), third)]
+    assert {r["component_id"] for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()} == {0}
