@@ -145,14 +145,13 @@ def links(classes: DataFrame, threshold: float, hashes: int, tables: int = TABLE
             t, code = int(rows["tab"].iloc[0]), int(rows["code"].iloc[0])
             all_codes = np.stack(rows["codes"].to_list()).reshape(len(rows), tables, probes)
             keep = np.zeros(len(a), dtype=bool)
-            for s in range(0, len(a), 50_000):
-                p, q = all_codes[a[s : s + 50_000], : t + 1], all_codes[b[s : s + 50_000], : t + 1]
-                left = (q == p[:, :, :1]).any(axis=2)  # the bucket of a, which b probes
-                right = (p == q[:, :, :1]).any(axis=2)
-                before = (left[:, :t] | right[:, :t]).any(axis=1)
-                far = np.iinfo(np.int64).max
-                here = np.minimum(np.where(left[:, t], p[:, t, 0], far), np.where(right[:, t], q[:, t, 0], far))
-                keep[s : s + 50_000] = ~before & (here == code)
+            for s in range(0, len(a), 20_000):
+                p, q = all_codes[a[s : s + 20_000], : t + 1], all_codes[b[s : s + 20_000], : t + 1]
+                # the owner of a pair: the smallest of the buckets where both have a seat, own or probed
+                both = (p[:, :, :, None] == q[:, :, None, :]).any(axis=3)
+                before = both[:, :t].any(axis=(1, 2))
+                here = np.where(both[:, t], p[:, t], np.iinfo(np.int64).max).min(axis=1)
+                keep[s : s + 20_000] = ~before & (here == code)
             a, b = a[keep], b[keep]
             if not len(a):
                 return None

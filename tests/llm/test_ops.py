@@ -310,3 +310,21 @@ def test_minhash_failed_certain_pair(spark):
     first, third = base + words(22), words(5) + base
     texts = [" ".join(x) for x in (first, base + words(1), third)]
     assert {r["component_id"] for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()} == {0}
+
+
+def planted(n, cosine=0.951, dim=64):
+    """Rows 2i and 2i + 1 lie at the cosine given."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, z = unit(rng.normal(size=(n, dim))), rng.normal(size=(n, dim))
+    y = cosine * x + np.sqrt(1 - cosine**2) * unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    return np.stack([x, y], axis=1).reshape(2 * n, dim)
+
+
+def test_embedding_pairs_of_probes(spark):
+    """Each pair that shares a bucket counts, also where both only probe it."""
+    v = planted(1000)
+    c = embed.codes(v, 3, 2, 3)
+    met = int((c[::2, :, :, None] == c[1::2, :, None, :]).any(axis=(1, 2, 3)).sum())
+    rows = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "class_id long, weight long, embedding array<double>")
+    assert embed.links(rows, 0.95, 3, 2, 3).groupBy().sum("n").first()[0] == 2 * met
