@@ -30,6 +30,8 @@ from .common import partitions, settle
 from .components import components
 
 TABLES, PROBES, BLOCK = 10, 3, 512
+#: Tables and probes by the number of hashes: each hash is varied in a probe, and recall stays the same.
+SEATS = {2: (TABLES, PROBES), 3: (16, 4), 4: (24, 5)}
 
 
 def hashes_for(rows: int) -> int:
@@ -192,7 +194,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, hashes: int | N
     # classes get an id of their own: vec ids may be null
     classes = settle(classes.select("key", "weight", "low", F.coalesce("low", F.xxhash64("key")).alias("class_id"), "one.embedding"), "classes")
     hashes = hashes or hashes_for(classes.count())
-    found = settle(links(classes.select("class_id", "weight", "embedding"), threshold, hashes), "links")
+    found = settle(links(classes.select("class_id", "weight", "embedding"), threshold, hashes, *SEATS.get(hashes, (TABLES, PROBES))), "links")
     counts = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     groups = components(found.select("class_id", "other").where("class_id <> other").distinct(), "class_id", "other")
     named = classes.select("key", "weight", "class_id").join(counts, "class_id", "left").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")

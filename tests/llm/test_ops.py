@@ -328,3 +328,9 @@ def test_embedding_pairs_of_probes(spark):
     met = int((c[::2, :, :, None] == c[1::2, :, None, :]).any(axis=(1, 2, 3)).sum())
     rows = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "class_id long, weight long, embedding array<double>")
     assert embed.links(rows, 0.95, 3, 2, 3).groupBy().sum("n").first()[0] == 2 * met
+
+
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_embedding_recall_at_every_size(spark, hashes):
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(planted(1000))], "vec_id long, embedding array<double>")
+    assert embed.near_duplicates(rows, hashes=hashes).where("n_links = 1").count() == 2000
