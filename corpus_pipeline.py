@@ -6,7 +6,7 @@ All stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm import minhash, packing, quality_zstd, secrets, suffix
@@ -26,9 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return _columns(docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")))
+    """One row of each group of near copies: the first by id, a null id last.
+
+    Rows are told apart by a key of id and text, since ids may repeat or be null.
+    """
+    docs = docs.withColumn("_key", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    groups = minhash.near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
+    first = docs.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(order).alias("one"))
+    kept = docs.join(first.select(F.col("one._key").alias("_key")), "_key", "left_semi")
+    rest = [F.col(c) for c in COLUMNS if c in docs.columns and c not in ("doc_id", "text")]
+    once = Window.partitionBy("_key").orderBy(*(rest or [F.col("_key")]))
+    return _columns(kept.withColumn("_n", F.row_number().over(once)).where("_n = 1"))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -334,3 +334,14 @@ def test_embedding_pairs_of_probes(spark):
 def test_embedding_recall_at_every_size(spark, hashes):
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(planted(1000))], "vec_id long, embedding array<double>")
     assert embed.near_duplicates(rows, hashes=hashes).where("n_links = 1").count() == 2000
+
+
+def test_pipeline_repeated_row(spark, prose):
+    """Rows that repeat, with an id or without, stay once and whole through both dedup stages."""
+    import corpus_pipeline as cp
+
+    a, b, c = prose(120), prose(120), prose(120)
+    docs = table(spark, [a, a, b, b, c, c, prose(120)], ids=[1, 1, None, None, None, 7, 9]).select(*cp.COLUMNS)
+    out = cp.passage_dedup(spark, cp.settle(cp.near_dedup(spark, docs, ""), "test"), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out if r["doc_id"] != 9) == [("1", a), ("7", c), ("None", b)]
+    assert len(out) == 4
