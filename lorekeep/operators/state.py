@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
+from lorekeep.plans.stages import settle
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -116,3 +117,21 @@ def freshness(memory: DataFrame, today: Column, max_flags: int = 25, age_limit:
 
 def first_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def budgeted(rows: DataFrame, key: str, size: Column, order: list[str], budget: int) -> DataFrame:
+    """key, run: the running sum of sizes in the order given, as far as the budget goes; the first row always.
+
+    Ranges of the order are summed on their own, each from the total of those before it.
+    """
+    keys = [F.col(f"_o{i}").desc() if o.startswith("-") else F.col(f"_o{i}").asc() for i, o in enumerate(order)]
+    own = rows.select(key, size.cast("long").alias("_size"), *[F.col(o.lstrip("-")).alias(f"_o{i}") for i, o in enumerate(order)])
+    own = settle(own.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "budget")
+    totals = own.groupBy("_part").agg(F.sum("_size").alias("_total"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.sum("_total").over(before).alias("_before"), (F.row_number().over(Window.orderBy("_part")) == 1).alias("_first"))
+    within = Window.partitionBy("_part").orderBy(*keys)
+    run = F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    near = own.join(F.broadcast(starts.where(F.col("_first") | (F.coalesce("_before", F.lit(0)) <= budget))), "_part")
+    out = near.withColumn("run", F.coalesce(run + F.coalesce("_before", F.lit(0)), "_before")).withColumn("_n", F.row_number().over(within))
+    return out.where((F.col("_first") & (F.col("_n") == 1)) | (F.col("run") <= budget)).select(key, "run")

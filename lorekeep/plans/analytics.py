@@ -153,7 +153,7 @@ query("K16_digest", lambda spark, sf: digest(B.lines(spark, sf)), f"WITH {L}, f
     + f"), n AS (SELECT *, row_number() OVER (PARTITION BY session, section ORDER BY line_no) AS k FROM f) SELECT session, section, line_no, CASE WHEN length({_strip('line')}) > 120 THEN substring({_strip('line')}, 1, 120) || '…' ELSE {_strip('line')} END AS item FROM n WHERE k <= 5")
 query("K17_key_points", lambda spark, sf: S.first_per(B.lines(spark, sf).where("line <> ''"), ["session"], ["line_no"], 5).select("session", "line_no", "line"),
     f"WITH {L} SELECT session, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line_no) AS k FROM lines WHERE line <> '') WHERE k <= 5")
-memory_query("K18_corpus_budget", lambda m: m.orderBy(F.desc("hit_count"), "memory_id").limit(500).withColumn("run", F.sum(F.char_length("body")).over(Window.orderBy(F.desc("hit_count"), "memory_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("hit_count"), "memory_id"))).where("rn = 1 or run <= 32000").select("memory_id", "run"),
+memory_query("K18_corpus_budget", lambda m: S.budgeted(m, "memory_id", F.char_length("body"), ["-hit_count", "memory_id"], 32000),
     ", t AS (SELECT *, sum(length(body)) OVER (ORDER BY hit_count DESC, memory_id ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (ORDER BY hit_count DESC, memory_id) AS rn FROM memory) SELECT memory_id, CAST(run AS BIGINT) AS run FROM t WHERE rn = 1 OR run <= 32000")
 memory_query("K19_revalidation_sample", lambda m: m.where(T.version_sensitive("summary") & ~F.col("stale")).orderBy("memory_id").limit(10).select("memory_id"),
     f"SELECT memory_id FROM memory WHERE ({_any(_low('summary'), T.VERSION_MARKERS)} OR regexp_matches(summary, '(^|[^A-Za-z0-9.])[vV]?[0-9]+\\.[0-9]+($|[^A-Za-z0-9])')) AND NOT stale ORDER BY memory_id LIMIT 10")

@@ -98,3 +98,12 @@ def test_reindex_plan(spark):
 def test_near_duplicate_pairs(spark):
     rows = spark.createDataFrame([(1, "acquire locks order"), (2, "acquire locks order always"), (3, "zebra"), (4, "zebra"), (5, None), (6, "")], "id int, x string")
     assert [tuple(r)[:2] for r in R.near_duplicate_pairs(rows, "id", "x").collect()] == [(1, 2)]
+
+
+def test_budget_of_short_rows(spark):
+    """The budget alone ends the running sum, not a count of rows."""
+    from lorekeep.operators import state
+
+    rows = [(i, 5 - i // 400, "x" * 20) for i in range(2000)]
+    got = state.budgeted(spark.createDataFrame(rows, "id long, hits int, body string"), "id", F.char_length("body"), ["-hits", "id"], 32000)
+    assert sorted(map(tuple, got.collect())) == [(i, 20 * i + 20) for i in range(1600)]
