@@ -204,7 +204,19 @@ def test_bpe_order_of_merges():
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     words = [b"a" * n for n in range(1, 12)] + [b"aabaab", b"baaaab", b""]
-    assert bpe.replay(words, ranks) == [plain(w) for w in words]
+    ids, counts = bpe.replay(words, bpe.Merges(ranks))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(w) for w in words]
+
+
+def test_spellings_forgotten():
+    """What is forgotten is learned again: ids stay the same however little is remembered."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = [f"word{i % 7} and number {i} again" for i in range(200)]
+    big, small = bpe.Codec(path, P.PATTERN), bpe.Codec(path, P.PATTERN, cache_words=5, cache_chars=30)
+    want = [x.tolist() for x in big.encode(texts)]
+    assert [x.tolist() for i in range(0, 200, 10) for x in small.encode(texts[i : i + 10])] == want
+    wide, tight = packing.Encoder(P.path("word_bpe_49k.json")), packing.Encoder(P.path("word_bpe_49k.json"), 5, 30)
+    assert [x.tolist() for i in range(0, 200, 10) for x in tight.encode(texts[i : i + 10])] == [x.tolist() for x in wide.encode(texts)]
 
 
 def test_embedding(spark):
