@@ -17,17 +17,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settle
+from .common import partitions, released, settle
+from .spelling import Spellings, slices
 
 SEQUENCE = 2048
 END_ID = 1
 DIMS, BITS = 3, 10
-#: Distinct chunks (between white space) that a Python worker remembers.
-CACHE_CHUNKS = 700_000
+#: Distinct chunks (between white space), and characters of them, that a task remembers between batches.
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 8_000_000
+#: Characters of text that are cut into chunks before their new chunks are encoded together.
+BATCH_CHARS = 4_000_000
 # What str.split() parts and the tokenizer's white space doesn't.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -45,6 +48,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
 class Encoder:
     """Token ids of whole texts by a tokenizers file that drops white space.
 
@@ -52,66 +67,62 @@ class Encoder:
     is encoded once; a text with one of the separators on which Python and the
     tokenizer differ is encoded in one piece.  Chunks of Latin letters are parted
     here and their distinct parts go to the tokenizer's model; others go through
-    the whole tokenizer.
+    the whole tokenizer.  What is remembered is bounded in chunks and in characters.
     """
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
-        import os
-
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_chars: int = CACHE_CHARS):
         import regex
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.split = regex.compile(_PARTS).findall
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.cache_chunks = cache_chunks
+        self.split = regex.compile(_PARTS + r"|\n").findall
+        self.chunks = Spellings(self._chunks, cache_chunks, cache_chars)
+        self.parts = Spellings(self._parts, cache_chunks, cache_chars)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> bytes:
-        # printable ASCII letters stand for themselves
-        letters = part if part.isascii() and part.isprintable() else part.encode("utf-8").decode("latin-1").translate(self.letters)
-        packed = self.packed
-        out = self.parts[part] = b"".join([packed[t.id] for t in self.model.tokenize(letters)])
-        return out
-
-    def _learn(self, chunks: list[str]) -> None:
-        other = []
-        get, part = self.parts.get, self._part
-        for chunk in chunks:
-            if chunk.isascii() or max(chunk) < _LATIN_END:
-                self.known[chunk] = b"".join([get(p) or part(p) for p in self.split(chunk.lower())])
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        counts = []
+        tokenize, table, add = self.model.tokenize, self.letters, ids.extend
+        for part in parts:
+            if part == "\n":
+                got = ()
+            elif part.isascii() and part.isprintable():  # such letters stand for themselves
+                got = tokenize(part)
             else:
-                other.append(chunk)
-        for i in range(0, len(other), 20_000):
-            now = other[i : i + 20_000]
-            self.known.update(zip(now, self._whole(now), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
+                got = tokenize(part.encode("utf-8").decode("latin-1").translate(table))
+            add([t.id for t in got])
+            counts.append(len(got))
+        return np.array(ids, dtype=np.uint32), np.array(counts, dtype=np.int64)
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.fromiter((c.isascii() or max(c) < _LATIN_END for c in chunks), dtype=bool, count=len(chunks))
+        out = np.zeros(len(chunks), dtype=np.int64)
+        # all chunks of Latin letters are parted in one pass, one to a line
+        lines = "\n".join([c for c, p in zip(chunks, plain.tolist(), strict=True) if p])
+        parts = self.split(lines.lower() + "\n") if plain.any() else []
+        ids, sizes = self.parts.flat(parts)
+        ends = np.fromiter((p == "\n" for p in parts), dtype=bool, count=len(parts))
+        sums = np.cumsum(sizes)[ends]
+        out[plain] = np.diff(sums, prepend=0)
+        other = np.flatnonzero(~plain)
+        if not len(other):
+            return ids, out
+        whole = self._whole([chunks[k] for k in other.tolist()])
+        out[other] = [len(x) // 4 for x in whole]
+        flat, starts = np.zeros(int(out.sum()), dtype=np.uint32), np.cumsum(out) - out
+        latin = np.repeat(plain, out)
+        flat[latin] = ids
+        flat[~latin] = np.frombuffer(b"".join(whole), dtype="<u4")
+        return flat, out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         odd = [any(c in t for c in _ODD_SPACE) for t in texts]
-        cut = [() if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > self.cache_chunks:
-            known.clear()
-            self.parts.clear()
-            new = {w for words in cut for w in words}
-        self._learn(list(new))
-        get = known.__getitem__
-        return [self._whole([t])[0] if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, cut, strict=True)]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+        out = self.chunks.spell(() if o else t.split() for t, o in zip(texts, odd, strict=True))
+        return [np.frombuffer(self._whole([t])[0], dtype="<u4") if o else ids for t, o, ids in zip(texts, odd, out, strict=True)]
 
 
 def signs(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -166,34 +177,29 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, batch_chars: int = 4_000_000) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """doc_id, curve (Hilbert number), packed (compressed ids, the end id last)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own, press = encoder(path), zstandard.ZstdCompressor(level=1)
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        own, press = Encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = [x or "" for x in batch["text"]]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= batch_chars):
-                    chars += len(texts[end])
-                    end += 1
-                ids = own.encode(texts[at:end])
-                cells = np.stack([position(np.frombuffer(x, dtype="<u4")) for x in ids])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at:end].to_list(), "curve": hilbert(cells), "packed": [press.compress(_halve(x + tail)) for x in ids]})
-                at = end
-
-    own = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
-    return own.mapInPandas(run, "doc_id string, curve long, packed binary").withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def _halve(ids: bytes) -> bytes:
+            names, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+            for part in slices(texts, batch_chars):
+                ids = own.encode(texts[part])
+                curve = hilbert(np.stack([position(x) for x in ids]))
+                packed = [press.compress(_halve(np.append(x, np.uint32(end_id)))) for x in ids]
+                yield pa.RecordBatch.from_arrays([names[part], pa.array(curve), pa.array(packed, pa.binary())], names=["doc_id", "curve", "packed"])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return own.mapInArrow(run, "doc_id long, curve long, packed binary")
+
+
+def _halve(ids: np.ndarray) -> bytes:
     """Little-endian 32-bit ids as their low halves followed by their high halves, which pack better."""
-    return np.frombuffer(ids, dtype="<u2").reshape(-1, 2).T.tobytes()
+    return ids.astype("<u4", copy=False).view("<u2").reshape(-1, 2).T.tobytes()
 
 
 def _whole(halves: bytes) -> np.ndarray:
@@ -222,62 +228,62 @@ def cut(lengths: list[int], sequence: int = SEQUENCE) -> Iterator[tuple[int, int
                 room = sequence if number < full else (sizes[number - full] if number - full < len(sizes) else 0)
 
 
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """One row a piece: where it stands in its document and in its sequence, and its ids' CRC."""
     tokens = settle(tokenize(docs, path), "tokens")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor().decompress
         open_: list[tuple] = []  # documents, or their rests, that are not packed yet: id, start, ids, all ids
-        used = 0
+        used = held = 0
 
-        def emit(last: bool) -> pd.DataFrame | None:
+        def emit(last: bool) -> pa.RecordBatch:
             nonlocal open_, used
-            lengths = [len(x[2]) for x in open_]
-            if not last:  # only whole sequences now
-                surplus = sum(lengths) % sequence
-                whole, k = open_, len(open_)
-                rest: list[tuple] = []
-                while surplus:
-                    k -= 1
-                    doc, start, ids, n = whole[k]
-                    take = min(surplus, len(ids))
-                    rest.append((doc, start + len(ids) - take, ids[len(ids) - take :], n))
-                    surplus -= take
-                    lengths[k] -= take
-                kept = lengths
-                open_next = rest[::-1]
-            else:
-                whole, kept, open_next = open_, lengths, []
-            rows = []
-            top = 0
-            for d, start, take, number, offset in cut(kept, sequence):
+            whole, lengths = open_, [len(x[2]) for x in open_]
+            open_ = []
+            surplus = 0 if last else sum(lengths) % sequence  # only whole sequences now
+            k = len(whole)
+            while surplus:
+                k -= 1
+                doc, start, ids, n = whole[k]
+                keep = max(0, len(ids) - surplus)
+                open_.append((doc, start + keep, ids[keep:], n))
+                surplus -= len(ids) - keep
+                lengths[k] = keep
+            open_.reverse()
+            pieces = list(cut(lengths, sequence))
+            names, starts, sizes, sums, totals = [], [], [], [], []
+            for d, start, take, _, _ in pieces:
                 doc, at, ids, n = whole[d]
-                piece = ids[start : start + take]
-                rows.append((doc, at + start, take, zlib.crc32(piece.tobytes()), n, base + used + number, offset))
-                top = number + 1
-            used += top
-            open_ = open_next
-            return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]) if rows else None
-
-        held = 0
+                names.append(doc)
+                starts.append(at + start)
+                sizes.append(take)
+                sums.append(zlib.crc32(ids[start : start + take]))
+                totals.append(n)
+            numbers = [base + used + x[3] for x in pieces]
+            used += pieces[-1][3] + 1 if pieces else 0
+            columns = [names, starts, sizes, sums, totals, numbers, [x[4] for x in pieces]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_PIECE)
+
         for batch in batches:
-            for doc, packed in zip(batch["doc_id"], batch["packed"], strict=True):
-                ids = _whole(unpack.decompress(bytes(packed)))
+            for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = _whole(unpack(packed.as_buffer()))
                 open_.append((doc, 0, ids, len(ids)))
                 held += len(ids)
                 if held > 4_000_000:
                     held = 0
-                    if (out := emit(False)) is not None:
-                        yield out
-        if open_ and (out := emit(True)) is not None:
-            yield out
+                    yield emit(False)
+        if open_:
+            yield emit(True)
 
     n = partitions(tokens.sparkSession)
     ordered = tokens.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
-    out = ordered.select(F.col("doc_id").cast("string"), "packed").mapInPandas(run, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return ordered.select("doc_id", "packed").mapInArrow(run, ", ".join(f"{c} long" for c in _PIECE))
