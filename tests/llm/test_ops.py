@@ -37,9 +37,12 @@ def test_secrets(spark):
     assert clean[1] is None and clean[4] == texts[4] and "AKIA" not in clean[0] and clean[0].endswith("é [SECRET]")
 
 
-@pytest.mark.parametrize(("crowd", "hot", "flush", "family"), [(256, 16, 1_000_000, 50_000), (3, 16, 300, 1), (256, 1, 50, 1)])
-def test_suffix(spark, prose, monkeypatch, crowd, hot, flush, family):
-    for name, value in (("CROWD", crowd), ("HOT", hot), ("FLUSH", flush), ("FAMILY", family)):
+@pytest.mark.parametrize(
+    ("crowd", "hot", "flush", "family", "small", "batch"),
+    [(20_000, 16, 500_000, 40_000, 6, 5_000), (3, 16, 300, 1, 6, 5_000), (256, 1, 50, 1, 2, 7), (20_000, 16, 500_000, 40_000, 1, 20), (20_000, 16, 500, 40_000, 100, 50)],
+)
+def test_suffix(spark, prose, monkeypatch, crowd, hot, flush, family, small, batch):
+    for name, value in (("CROWD", crowd), ("HOT", hot), ("FLUSH", flush), ("FAMILY", family), ("SMALL", small), ("BATCH", batch)):
         monkeypatch.setattr(suffix, name, value)
     rng = random.Random(1)
     shared, base = [prose(60) for _ in range(5)], prose(150)
