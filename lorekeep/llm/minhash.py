@@ -24,7 +24,9 @@ one tree meets in the others.
 
 Edge cases: a null, empty or blank text has an empty set and is linked with
 nothing; a null id is linked with nothing and kept; rows repeated with the same id
-give the same result each; an empty table gives an empty result.
+give a result each, by their own texts; an empty table gives an empty result; a
+very long text is one row's work, and its set goes whole into the confirmation;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, settle
+from .common import partitions, released, settle
 from .components import components
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
@@ -44,7 +46,8 @@ SLOTS = TREES * DEPTH
 CROWD, BLOCK = 64, 512
 #: How far the sketch's estimate may lie below the threshold, and how far above it a pair is certain.
 SLACK, SURE = 0.15, 0.06
-CACHE_WORDS = 600_000
+#: Distinct words that a task remembers, and the bytes of the longest.
+CACHE_WORDS, CACHE_LONGEST = 300_000, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +57,11 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_LONGEST:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -90,22 +97,26 @@ def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) >> np.uint64(16)).astype(np.uint16)
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key, sig: one row a document."""
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         words, seeds = Words(), _seeds()
         for batch in batches:
             n, keys, sigs = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, size, words)
                 n.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                keys.append(set_key(s))
                 sigs.append(signature(s, seeds).astype(">u2").tobytes() if len(s) else b"")
-                if len(words) > CACHE_WORDS:
-                    words.clear()
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_key": keys, "sig": sigs})
 
     own = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
@@ -114,7 +125,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def forest(first: DataFrame) -> DataFrame:
-    """tree, prefix, sketch, doc_id: a row for each class and tree."""
+    """tree, prefix, sketch, node: a row for each class and tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,9 +137,9 @@ def forest(first: DataFrame) -> DataFrame:
             packed = [x.tobytes() for x in sketch]
             for t in range(TREES):
                 part = np.ascontiguousarray(sigs[:, t * DEPTH : (t + 1) * DEPTH])
-                yield pd.DataFrame({"tree": np.int32(t), "prefix": [x.tobytes() for x in part], "sketch": packed, "doc_id": batch["doc_id"]})
+                yield pd.DataFrame({"tree": np.int32(t), "prefix": [x.tobytes() for x in part], "sketch": packed, "node": batch["node"]})
 
-    return first.select("doc_id", "sig").mapInPandas(run, "tree int, prefix binary, sketch binary, doc_id long")
+    return first.select("node", "sig").mapInPandas(run, "tree int, prefix binary, sketch binary, node long")
 
 
 def region_pairs(ids: np.ndarray, prefix: np.ndarray, lanes: np.ndarray, low: float, sure: float) -> list[tuple[int, int]]:
@@ -212,7 +223,7 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                     batch["tree"].to_numpy(dtype=np.int32),
                     np.frombuffer(b"".join(batch["prefix"]), dtype=">u2").reshape(-1, DEPTH),
                     np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint8).reshape(-1, SLOTS // 4),
-                    batch["doc_id"].to_numpy(dtype=np.int64),
+                    batch["node"].to_numpy(dtype=np.int64),
                 )
                 rest = now if rest is None else tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
             if rest is None or not len(rest[0]):
@@ -236,7 +247,7 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
                 yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
     n = partitions(rows.sparkSession)
-    ordered = rows.repartitionByRange(n, "tree", "prefix", "doc_id").sortWithinPartitions("tree", "prefix", "doc_id")
+    ordered = rows.repartitionByRange(n, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
     return ordered.mapInPandas(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -246,7 +257,7 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 
 def heads(first: DataFrame, groups: DataFrame) -> DataFrame:
-    """tree, head, doc_id, comp: the region and the component of each class in each tree."""
+    """tree, head, node, comp: the region and the component of each class in each tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,11 +266,11 @@ def heads(first: DataFrame, groups: DataFrame) -> DataFrame:
             sigs = np.stack([np.frombuffer(x, dtype=">u2") for x in batch["sig"]])
             for t in range(TREES):
                 head = np.ascontiguousarray(sigs[:, t * DEPTH : t * DEPTH + MIN_DEPTH]).view(np.int64).ravel()
-                yield pd.DataFrame({"tree": np.int32(t), "head": head, "doc_id": batch["doc_id"], "comp": batch["comp"]})
+                yield pd.DataFrame({"tree": np.int32(t), "head": head, "node": batch["node"], "comp": batch["comp"]})
 
-    own = first.select("doc_id", "sig").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("doc_id", "sig", F.coalesce("component", "doc_id").alias("comp"))
-    return own.mapInPandas(run, "tree int, head long, doc_id long, comp long")
+    own = first.select("node", "sig").join(groups, "node", "left")
+    own = own.select("node", "sig", F.coalesce("component", "node").alias("comp"))
+    return own.mapInPandas(run, "tree int, head long, node long, comp long")
 
 
 def block_pairs(ids: np.ndarray, comp: np.ndarray, minor: np.ndarray, left: np.ndarray, sigs: np.ndarray, low: float, best: bool) -> np.ndarray:
@@ -293,12 +304,12 @@ def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold:
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     regions = regions.select(*region, F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("lefts"), blocks(F.col("n")).alias("rights"))
     placed = members.join(regions, region).withColumn("minor", F.col("comp") != F.col("top"))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    fields = [*region, "doc_id", "comp", "minor"]
+    fields = [*region, "node", "comp", "minor"]
     lefts = placed.where("minor").select(*fields, F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j"))
     rights = placed.select(*fields, F.lit(False).alias("left"), every("lefts").alias("i"), own("rights").alias("j"))
-    seats = lefts.unionAll(rights).join(first.select("doc_id", "sig"), "doc_id")
+    seats = lefts.unionAll(rights).join(first.select("node", "sig"), "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -307,7 +318,7 @@ def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold:
                 now = (
                     batch[["tree", "head", "i", "j"]].to_numpy(dtype=np.int64),
                     np.frombuffer(b"".join(batch["sig"]), dtype=np.uint16).reshape(-1, SLOTS),
-                    *(batch[c].to_numpy(dtype=t) for c, t in (("doc_id", np.int64), ("comp", np.int64), ("minor", bool), ("left", bool))),
+                    *(batch[c].to_numpy(dtype=t) for c, t in (("node", np.int64), ("comp", np.int64), ("minor", bool), ("left", bool))),
                 )
                 rest = now if rest is None else tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
             if rest is None or not len(rest[0]):
@@ -329,24 +340,31 @@ def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold:
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, merge: bool = True) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int, percent: int, merge: bool = True) -> DataFrame:
+    """The pairs of nodes whose full sets have 100 * intersection >= percent * union.
+
+    A node's text is the one of its document whose set has the node's key, as ids
+    may repeat with other texts.
+    """
+    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    need = first.select("node", "low", F.col("set_key").alias("want")).join(need, "node", "left_semi")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
 
+    @released
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
-            out = []
-            for text in batch["text"]:
+            nodes, out = [], []
+            for node, want, text in zip(batch["node"], batch["want"], batch["text"], strict=True):
                 s = shingle_set(text, size, words)
-                out.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())  # six bytes tell two sets' members apart
-                if len(words) > CACHE_WORDS:
-                    words.clear()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": out})
+                if set_key(s) == bytes(want):
+                    nodes.append(node)
+                    out.append(np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())  # six bytes tell two sets' members apart
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "shingles": out})
 
     # a merge join at every size: what the stage shuffles then follows the input; a remainder is small as a rule
-    full = settle(texts.join(need.hint("merge") if merge else need, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    wanted = texts.join(need.hint("merge") if merge else need, "low").select("node", "want", "text")
+    full = settle(wanted.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -357,8 +375,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, merge:
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype="bool")
 
-    left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    left = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.where(linked("x", "y")).select("a", "b")
 
 
@@ -368,26 +386,42 @@ def _wide(six: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _nodes(some: DataFrame) -> DataFrame:
+    """set_key, low (its smallest id), node: a number for each class of equal sets.
+
+    It is ``low``, unless a repeated id is the lowest of several classes: then the
+    smallest key's class has it, and the others' numbers are hashes.
+    """
+    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("low"))
+    lead = classes.groupBy("low").agg(F.min("set_key").alias("lead"))
+    node = F.when(F.col("set_key") == F.col("lead"), F.col("low")).otherwise(F.xxhash64("set_key"))
+    return classes.join(lead, "low").select("set_key", "low", node.alias("node"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     docs = docs.select("doc_id", "text")
     sigs = settle(signatures(docs, size), "signatures")
     some = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
-    first = some.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    first = settle(first.select("doc_id", "sig"), "first")
+    nodes = settle(_nodes(some), "nodes")
+    first = some.join(nodes, "set_key").where("doc_id = low").select("node", "low", "set_key", "sig").dropDuplicates(["node"])
+    first = settle(first, "first")
     pairs = settle(candidates(settle(forest(first), "forest"), percent / 100), "pairs")
-    links = settle(confirmed(docs, pairs, size, percent), "links")
+    links = settle(confirmed(docs, first, pairs, size, percent), "links")
     groups = components(links)
     for best in (True, False):
         more = settle(remainder(first, groups, pairs, percent / 100, best), "remainder")
         if more.isEmpty():
             continue
         pairs = pairs.unionAll(more)
-        found = settle(confirmed(docs, more, size, percent, merge=False), "links")
+        found = settle(confirmed(docs, first, more, size, percent, merge=False), "links")
         if not found.isEmpty():
             groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
-    named = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
-    whole = sigs.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    linked = nodes.join(groups, "node").select("set_key", "low", "component")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lowest, "component").select("set_key", "component_id")
+    named = nodes.join(linked, "set_key", "left").select("set_key", F.coalesce("component_id", "low").alias("component_id"))
+    whole = sigs.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    whole = whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = whole.unionAll(sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

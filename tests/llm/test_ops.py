@@ -305,6 +305,13 @@ def test_pipeline(spark):
     assert pieces.select("doc_id").distinct().count() == docs.count()
 
 
+def test_minhash_repeated_ids(spark, prose):
+    """An id that repeats with two texts: each row is judged by its own text."""
+    x, y = prose(200), prose(200)
+    got = minhash.near_duplicates(table(spark, [x, y, y + " more", x + " tail", prose(90)], ids=[4, 4, 9, 7, 4]), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(4, 4, True)] * 3 + [(7, 4, False), (9, 4, False)]
+
+
 def test_minhash_crowded_region(spark):
     """Pairs of copies among many documents that nearly match: their partners lie far apart in regions deeper than any order."""
     rng = random.Random(1)
@@ -327,6 +334,22 @@ def test_minhash_failed_certain_pair(spark):
     assert {r["component_id"] for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()} == {0}
 
 
+def test_minhash_many_triples(spark):
+    """Thousands of triples at about 0.98, 0.86 and 0.84: each is one component, whichever pair seems certain."""
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.getrandbits(40):010x}" for _ in range(n)]
+    texts = []
+    for _ in range(2000):
+        base = words(200)
+        texts += [" ".join(x) for x in (base + words(5), base, words(1) + base[:174] + words(1))]
+    for i in range(0, 30, 3):
+        sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for t in texts[i : i + 3])]
+        sims = [len(a & b) / len(a | b) for a, b in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))]
+        assert sims[0] > 0.97 and sims[1] > 0.855 and 0.83 < sims[2] < 0.845
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()}
+    assert got == {i: i - i % 3 for i in range(6000)}
+
+
 def planted(n, cosine=0.951, dim=64):
     """Rows 2i and 2i + 1 lie at the cosine given."""
     rng = np.random.default_rng(3)
