@@ -14,9 +14,10 @@
 5. The remainder: in each region of several components, crowded or not, rows
    outside the largest are compared with all rows of other components, block by
    block, and what the signatures don't exclude is confirmed as well: first each
-   row's most similar partner, then, over the new components, every pair that is
-   left.  Components come from confirmed links alone, so no pair stays untested
-   because of one that only seemed certain.
+   row's most similar partner; then, over the new components, every pair that is
+   left, by the full sets, which go to the tasks of the rows concerned, so that no
+   rows are made for pairs that aren't links.  Components come from confirmed links
+   alone: no pair stays untested because of one that only seemed certain.
 6. All confirmed links together give the components.
 
 Range sorting splits hot regions over tasks; a pair that a boundary separates in
@@ -31,7 +32,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -273,34 +274,66 @@ def heads(first: DataFrame, groups: DataFrame) -> DataFrame:
     return own.mapInPandas(run, "tree int, head long, node long, comp long")
 
 
-def block_pairs(ids: np.ndarray, comp: np.ndarray, minor: np.ndarray, left: np.ndarray, sigs: np.ndarray, low: float, best: bool) -> np.ndarray:
-    """Pairs (a < b) of left and right rows of two components that their signatures don't exclude."""
+def _split(batches: Iterator[pd.DataFrame], parse: Callable[[pd.DataFrame], tuple]) -> Iterator[tuple]:
+    """The parsed columns of each task's rows; rows come sorted by task, whose mark is the first column."""
+    rest = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            now = parse(batch)
+            rest = now if rest is None else tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
+        if rest is None or not len(rest[0]):
+            continue
+        mark = rest[0]
+        bounds = np.concatenate([[0], np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1, [len(mark)]])
+        last = len(bounds) - 1 if batch is None else len(bounds) - 2  # the last task may go on
+        for a, b in zip(bounds[:last].tolist(), bounds[1 : last + 1].tolist(), strict=True):
+            yield tuple(x[a:b] for x in rest)
+        rest = tuple(x[int(bounds[last]) :] for x in rest)
+
+
+def open_pairs(tree: int, nodes: np.ndarray, comp: np.ndarray, minor: np.ndarray, left: np.ndarray, sigs: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left row, right row and estimate of the pairs of two components that their signatures don't exclude.
+
+    A pair belongs to the first tree where both are of one region.
+    """
     i, j = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(i) or not len(j):
+        return i[:0], j[:0], np.zeros(0)
     est = np.stack([(sigs[j] == sigs[x]).mean(axis=1) for x in i])
     # two rows outside the largest component meet on both sides: one of them counts
-    ok = (est >= low) & (comp[i][:, None] != comp[j][None, :]) & (best | ~minor[j][None, :] | (ids[i][:, None] < ids[j][None, :]))
-    if best:
-        top = np.where(ok, est, -1.0).argmax(axis=1)
-        one = np.zeros_like(ok)
-        one[np.arange(len(i)), top] = True
-        ok &= one
+    ok = (est >= low) & (comp[i][:, None] != comp[j][None, :]) & (~minor[j][None, :] | (nodes[i][:, None] < nodes[j][None, :]))
     a, b = np.nonzero(ok)
-    return np.sort(np.stack([ids[i[a]], ids[j[b]]], axis=1), axis=1)
+    head = np.ascontiguousarray(sigs.reshape(len(sigs), TREES, DEPTH)[:, :tree, :MIN_DEPTH]).view(np.int64)[:, :, 0]
+    mine = np.ones(len(a), dtype=bool)
+    for s in range(0, len(a), 50_000):
+        mine[s : s + 50_000] = ~(head[i[a[s : s + 50_000]]] == head[j[b[s : s + 50_000]]]).any(axis=1)
+    a, b = a[mine], b[mine]
+    return i[a], j[b], est[a, b]
 
 
-def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Distinct pairs (a < b) of the regions that join two components and aren't among the tested.
+def _columns_of(batch: pd.DataFrame) -> tuple:
+    return (
+        batch[["tree", "head", "i", "j"]].to_numpy(dtype=np.int64),
+        np.frombuffer(b"".join(batch["sig"]), dtype=np.uint16).reshape(-1, SLOTS),
+        *(batch[c].to_numpy(dtype=t) for c, t in (("node", np.int64), ("comp", np.int64), ("minor", bool), ("left", bool))),
+    )
 
-    With ``best`` only the most similar partner of each row in each block.
+
+_TASK = ["tree", "head", "i", "j"]
+
+
+def seats(first: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of the regions of several components, at their block tasks.
+
+    Rows outside the largest component (``minor``) are the left side, all rows the
+    right side: pairs within the largest need no test.
     """
-    low = threshold - SLACK
     region = ["tree", "head"]
     rows = heads(first, groups)
     mixed = rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     members = settle(rows.join(mixed.select(*region), region), "members")
     parts = members.groupBy(*region, "comp").agg(F.count("*").alias("c"))
     regions = parts.groupBy(*region).agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"))
-    # the rows outside the largest component against all: its own pairs need no test
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     regions = regions.select(*region, F.col("top.comp").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("lefts"), blocks(F.col("n")).alias("rights"))
     placed = members.join(regions, region).withColumn("minor", F.col("comp") != F.col("top"))
@@ -309,44 +342,96 @@ def remainder(first: DataFrame, groups: DataFrame, tested: DataFrame, threshold:
     fields = [*region, "node", "comp", "minor"]
     lefts = placed.where("minor").select(*fields, F.lit(True).alias("left"), own("lefts").alias("i"), every("rights").alias("j"))
     rights = placed.select(*fields, F.lit(False).alias("left"), every("lefts").alias("i"), own("rights").alias("j"))
-    seats = lefts.unionAll(rights).join(first.select("node", "sig"), "node")
+    return lefts.unionAll(rights)
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *_TASK).sortWithinPartitions(*_TASK)
+
+
+def best_partners(first: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) of nodes: each left row of a task and its most similar partner there."""
+    low = threshold - SLACK
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                now = (
-                    batch[["tree", "head", "i", "j"]].to_numpy(dtype=np.int64),
-                    np.frombuffer(b"".join(batch["sig"]), dtype=np.uint16).reshape(-1, SLOTS),
-                    *(batch[c].to_numpy(dtype=t) for c, t in (("node", np.int64), ("comp", np.int64), ("minor", bool), ("left", bool))),
-                )
-                rest = now if rest is None else tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
-            if rest is None or not len(rest[0]):
-                continue
-            mark, sigs, ids, comp, minor, left = rest
-            bounds = np.concatenate([[0], np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1, [len(mark)]])
-            last = len(bounds) - 1 if batch is None else len(bounds) - 2  # the last task may go on
-            found = []
-            for a, b in zip(bounds[:last].tolist(), bounds[1 : last + 1].tolist(), strict=True):
-                if left[a:b].any() and not left[a:b].all():
-                    found.append(block_pairs(ids[a:b], comp[a:b], minor[a:b], left[a:b], sigs[a:b], low, best))
-            cut = int(bounds[last])
-            rest = tuple(x[cut:] for x in rest)
-            if found and len(p := np.unique(np.concatenate(found), axis=0)):
+        for mark, sigs, nodes, comp, minor, left in _split(batches, _columns_of):
+            i, j, est = open_pairs(int(mark[0, 0]), nodes, comp, minor, left, sigs, low)
+            if len(i):
+                order = np.lexsort((nodes[j], -est, i))
+                i, j = i[order], j[order]
+                one = np.r_[True, i[1:] != i[:-1]]
+                p = np.sort(np.stack([nodes[i[one]], nodes[j[one]]], axis=1), axis=1)
                 yield pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
-    tasks = [*region, "i", "j"]
-    pairs = seats.repartition(partitions(seats.sparkSession), *tasks).sortWithinPartitions(*tasks).mapInPandas(compare, "a long, b long")
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    rows = seats(first, groups).join(first.select("node", "sig"), "node")
+    return _by_task(rows).mapInPandas(compare, "a long, b long").distinct()
 
 
-def confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int, percent: int, merge: bool = True) -> DataFrame:
-    """The pairs of nodes whose full sets have 100 * intersection >= percent * union.
+def remainder(docs: DataFrame, first: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from all pairs that the signatures don't exclude.
+
+    A first pass names the rows of each task that have such a pair; their full sets
+    go to the task, which compares them there.  Of the links that join the same two
+    components in a task one is returned.
+    """
+    low = percent / 100 - SLACK
+
+    @released
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for mark, sigs, nodes, comp, minor, left in _split(batches, _columns_of):
+            i, j, _ = open_pairs(int(mark[0, 0]), nodes, comp, minor, left, sigs, low)
+            if len(i):
+                r = np.unique(np.concatenate([i, j]))
+                yield pd.DataFrame({c: mark[r, k] for k, c in enumerate(_TASK)} | {"node": nodes[r], "comp": comp[r], "minor": minor[r], "left": left[r]})
+
+    task = "tree int, head long, i int, j int, node long, comp long, minor boolean, left boolean"
+    rows = seats(first, groups).join(first.select("node", "sig"), "node")
+    named = settle(_by_task(rows).mapInPandas(name, task), "named")
+    if named.isEmpty():
+        return named.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    sets = full_sets(docs, first, named.select("node").distinct(), size)
+
+    def parse(batch: pd.DataFrame) -> tuple:
+        own = np.empty(len(batch), dtype=object)
+        own[:] = [np.sort(_wide(np.frombuffer(x, dtype="V6"))) for x in batch["shingles"]]
+        return (*_columns_of(batch), own)
+
+    @released
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for mark, sigs, nodes, comp, minor, left, own in _split(batches, parse):
+            i, j, est = open_pairs(int(mark[0, 0]), nodes, comp, minor, left, sigs, low)
+            order = np.argsort(i, kind="stable")
+            i, j, est = i[order], j[order], est[order]
+            joined: set[tuple[int, int]] = set()
+            out = []
+            for x in np.unique(i).tolist():
+                a, b = np.searchsorted(i, [x, x + 1])
+                partners = j[a:b][np.argsort(-est[a:b], kind="stable")]
+                for s in range(0, len(partners), 64):
+                    now = np.array([y for y in partners[s : s + 64].tolist() if (comp[x], comp[y]) not in joined], dtype=np.int64)
+                    if not len(now):
+                        continue
+                    sizes = np.array([len(own[y]) for y in now.tolist()])
+                    flat = np.concatenate([own[y] for y in now.tolist()])
+                    at = np.minimum(np.searchsorted(own[x], flat), len(own[x]) - 1)
+                    both = np.add.reduceat((own[x][at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for y in now[100 * both >= percent * (len(own[x]) + sizes - both)].tolist():
+                        if (comp[x], comp[y]) not in joined:
+                            joined.add((comp[x], comp[y]))
+                            out.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    seated = named.join(first.select("node", "sig"), "node").join(sets, "node")
+    return _by_task(seated).mapInPandas(verify, "a long, b long").distinct()
+
+
+def full_sets(docs: DataFrame, first: DataFrame, need: DataFrame, size: int, merge: bool = False) -> DataFrame:
+    """node, shingles (six bytes each, packed) of the nodes asked for.
 
     A node's text is the one of its document whose set has the node's key, as ids
     may repeat with other texts.
     """
-    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
     need = first.select("node", "low", F.col("set_key").alias("want")).join(need, "node", "left_semi")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("low"), F.col("text").cast("string").alias("text"))
 
@@ -364,7 +449,13 @@ def confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int, pe
 
     # a merge join at every size: what the stage shuffles then follows the input; a remainder is small as a rule
     wanted = texts.join(need.hint("merge") if merge else need, "low").select("node", "want", "text")
-    full = settle(wanted.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    return settle(wanted.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, size: int, percent: int, merge: bool = True) -> DataFrame:
+    """The pairs of nodes whose full sets have 100 * intersection >= percent * union."""
+    need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    full = full_sets(docs, first, need, size, merge)
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -409,14 +500,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = settle(candidates(settle(forest(first), "forest"), percent / 100), "pairs")
     links = settle(confirmed(docs, first, pairs, size, percent), "links")
     groups = components(links)
-    for best in (True, False):
-        more = settle(remainder(first, groups, pairs, percent / 100, best), "remainder")
-        if more.isEmpty():
-            continue
-        pairs = pairs.unionAll(more)
-        found = settle(confirmed(docs, first, more, size, percent, merge=False), "links")
-        if not found.isEmpty():
-            groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
+    again = lambda found: components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found))
+    likely = settle(best_partners(first, groups, percent / 100).join(pairs, ["a", "b"], "left_anti"), "likely")
+    if not likely.isEmpty():
+        found = settle(confirmed(docs, first, likely, size, percent, merge=False), "links")
+        groups = groups if found.isEmpty() else again(found)
+    rest = settle(remainder(docs, first, groups, size, percent), "remainder")
+    groups = groups if rest.isEmpty() else again(rest)
     linked = nodes.join(groups, "node").select("set_key", "low", "component")
     lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = linked.join(lowest, "component").select("set_key", "component_id")
