@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     with them beside the next stage's.
     """
 
+    @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
@@ -76,3 +79,29 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
                 pass
 
     return wrapped
+
+
+def sampled(docs: DataFrame, chosen: DataFrame, group: list[str], max_bytes: int) -> list:
+    """Rows (doc_id, *group, text) of the chosen documents, one for each id.
+
+    ``chosen`` (doc_id, *group, _h) has a bounded number of rows, and no id twice
+    in a group; of rows that repeat an id the smallest text counts.  In the order of
+    ``_h`` texts are taken while a group's stay within ``max_bytes``, whatever
+    their lengths.
+    """
+    keys = ["doc_id", *group]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in group if c in docs.columns])
+    on = [c for c in keys if c in texts.columns]
+    rows = texts.where("text is not null and text <> ''").join(F.broadcast(chosen), on)
+    rows = settle(rows.groupBy(*keys, "_h").agg(F.min("text").alias("text")), "sample")
+    sizes = sorted(rows.select("_h", *keys, F.octet_length("text").alias("n")).collect())
+    held: dict[tuple, int] = defaultdict(int)
+    keep = []
+    for row in sizes:
+        which = tuple(row[c] for c in group)
+        held[which] += row["n"]
+        if held[which] <= max_bytes:
+            keep.append(tuple(row[c] for c in keys))
+    if len(keep) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(keep, rows.select(*keys).schema)), keys, "left_semi") if keep else rows.limit(0)
+    return rows.select(*keys, "text").collect()

@@ -5,36 +5,40 @@ for each piece, learned by expectation-maximisation: the forward-backward sums
 over all segmentations of a word give the expected counts.  A text's score in a
 language is the sum of its words' forward log-probabilities.
 
-The fit reads at most ``MAX_TEXTS`` texts of at most ``MAX_BYTES`` bytes of each
-language and hash shard (``SHARDS`` shards), in the order of a hash of the id:
-the documented bound of the sample.  All rows are scored, whole.
-
-Edge cases: ``und`` with score 0 where a text is null or has no letter, or where
-no language could be learned; ties go to the first language by name.
+The fit reads at most ``MAX_TEXTS`` texts of each language and hash shard
+(``SHARDS`` shards), in the order of a hash of the id, while a language's stay
+within ``MAX_BYTES`` bytes: the documented bound of the sample, for each language.
+All rows are scored, whole.
+
+Edge cases: ``und`` with score 0 where a text is null or has no letter (\\p{L}), or
+where no language could be learned; ties go to the first language by name; of rows
+that repeat an id and language the smallest text is learned; repeated rows score
+alike; an empty table gives no rows; a word of any length is summed step by step;
+columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, released, sampled
 
-MAX_TEXTS, SHARDS, MAX_BYTES = 16, 16, 16_384
+MAX_TEXTS, SHARDS, MAX_BYTES = 16, 16, 2 << 20
 ROUNDS = 3
-MAX_PIECE = 12
 UNKNOWN = 1e-7
-CACHE_CHUNKS = 500_000
+#: Distinct chunks (between white space) that a task remembers between batches.
+CACHE_CHUNKS = 300_000
 SPAN = 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
@@ -50,7 +54,7 @@ def vocabulary(path: str) -> list[str]:
 
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     keep = {own.id_to_piece(i).lower() for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))}
-    return sorted(p for p in keep if len(p) <= MAX_PIECE and _LETTERS.fullmatch(p.removeprefix("▁") or "a"))
+    return sorted(p for p in keep if _LETTERS.fullmatch(p.removeprefix("▁") or "a"))
 
 
 def words_of(text: str) -> list[str]:
@@ -59,34 +63,40 @@ def words_of(text: str) -> list[str]:
 
 
 def expected(words: Counter, prob: dict[str, float]) -> dict[str, float]:
-    """Expected counts of the pieces over all segmentations of the words."""
+    """Expected counts of the pieces over all segmentations of the words.
+
+    Sums are kept in steps: a position's is relative to the scale of its block of
+    16, so that words of any length neither overflow nor vanish.
+    """
     out: dict[str, float] = defaultdict(float)
-    get = prob.get
+    get, longest = prob.get, max(map(len, prob), default=1)
     for word, times in words.items():
         n = len(word)
-        if n > 64:
-            continue  # such strings say little about pieces
-        arcs = []
-        ahead = [1.0] + [0.0] * n
+        arcs: list[list[tuple[int, float]]] = [[]]
+        ahead, scale = [1.0], [0.0]  # ahead[i] * exp(scale[i]) is the sum up to i
+        now = 0.0
         for i in range(1, n + 1):
-            total = 0.0
-            for j in range(max(0, i - MAX_PIECE), i):
+            total, here = 0.0, []
+            for j in range(max(0, i - longest), i):
                 p = get(word[j:i])
                 if p is None:
                     if i - j > 1:
                         continue
                     p = UNKNOWN
-                arcs.append((j, i, p))
-                total += ahead[j] * p
-            ahead[i] = total
-        if ahead[n] <= 0.0:
-            continue
-        back = [0.0] * n + [1.0]
-        for j, i, p in reversed(arcs):
-            back[j] += back[i] * p
-        scale = times / ahead[n]
-        for j, i, p in arcs:
-            out[word[j:i]] += ahead[j] * p * back[i] * scale
+                here.append((j, p))
+                total += ahead[j] * p * (math.exp(scale[j] - now) if scale[j] != now else 1.0)
+            if i % 16 == 0 and total > 0.0:
+                now, total = now + math.log(total), 1.0
+            arcs.append(here)
+            ahead.append(total)
+            scale.append(now)
+        # back[i]: what follows i, times the sum up to i, over the whole: each piece's share is ahead * p * what follows
+        back = [0.0] * n + [1.0 / ahead[n]]
+        for i in range(n, 0, -1):
+            for j, p in arcs[i]:
+                share = p * back[i] * (math.exp(scale[j] - scale[i]) if scale[j] != scale[i] else 1.0)
+                back[j] += share
+                out[word[j:i]] += times * ahead[j] * share
     return out
 
 
@@ -130,6 +140,7 @@ class Scorer:
         self.number = {p: k for k, p in enumerate(model.pieces)}
         # every prefix of a piece, with the piece's number or -1: a search that leaves it ends
         self.trie = {p[:k]: -1 for p in model.pieces for k in range(1, len(p))} | self.number
+        self.longest = max(map(len, model.pieces), default=1)
         self.prob = np.array([*model.pieces.values(), (UNKNOWN,) * self.n]).reshape(-1, max(1, self.n))
         self._forget()
 
@@ -145,13 +156,13 @@ class Scorer:
         logs = np.zeros(self.n)
         for i in range(1, len(word) + 1):
             row = np.zeros(self.n)
-            for j in range(max(0, i - MAX_PIECE), i):
+            for j in range(max(0, i - self.longest), i):
                 k = self.number.get(word[j:i])
                 if k is None and i - j > 1:
                     continue
                 row = row + window[j - i] * self.prob[-1 if k is None else k]
             window.append(row)
-            if len(window) > MAX_PIECE:
+            if len(window) > self.longest:
                 window.pop(0)
             if i % 16 == 0:
                 scale = row.copy()
@@ -168,7 +179,7 @@ class Scorer:
                 out[k] = self.word(w)
         if not short:
             return out
-        arcs: list[list[list[int]]] = [[[] for _ in range(MAX_PIECE + 1)] for _ in range(25)]
+        arcs: list[list[list[int]]] = [[[] for _ in range(self.longest + 1)] for _ in range(25)]
         get, unknown = self.trie.get, len(self.prob) - 1
         for at, k in enumerate(short):
             w = words[k]
@@ -186,7 +197,7 @@ class Scorer:
         sums = np.zeros((25, len(short), self.n))
         sums[0] = 1.0
         for i in range(1, 25):
-            for size in range(1, min(i, MAX_PIECE) + 1):
+            for size in range(1, min(i, self.longest) + 1):
                 if arcs[i][size]:
                     pair = np.array(arcs[i][size], dtype=np.int64)
                     at = pair >> 20
@@ -241,18 +252,19 @@ def sample(docs: DataFrame, held_out: int = 0, folds: int = 5, max_texts: int =
     language from meeting in one task.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    own = own.where(f"lang is not null and text is not null and octet_length(text) <= {max_bytes}").where(crc_mod("doc_id", folds) != held_out)
-    own = own.withColumn("_h", F.xxhash64("doc_id")).withColumn("_shard", F.pmod("_h", F.lit(shards)))
-    first = own.select("doc_id", "lang", "_h", "_shard").withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_shard").orderBy("_h", "doc_id"))).where(f"_n <= {max_texts}")
+    own = own.where("lang is not null and text is not null and text <> ''").where(crc_mod("doc_id", folds) != held_out)
+    named = own.withColumn("_h", F.xxhash64("doc_id")).withColumn("_shard", F.pmod("_h", F.lit(shards))).select("doc_id", "lang", "_h", "_shard").distinct()
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_shard").orderBy("_h", "doc_id"))).where(f"_n <= {max_texts}")
     # at most max_texts * shards ids a language: the number of languages bounds the broadcast
-    rows = own.select("doc_id", "lang", "text").join(F.broadcast(first.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
-    return sorted((r["lang"], r["text"]) for r in rows.collect())
+    rows = sampled(own, first.select("doc_id", "lang", "_h"), ["lang"], max_bytes)
+    return sorted((r["lang"], r["text"]) for r in rows)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in batches:

@@ -1,17 +1,22 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained on whole good and bad labelled texts.  A
-text is compressed in blocks with either; the difference of the sizes over the
-plain compressed size becomes a score by a logistic curve, fitted to labelled
-rows that the dictionaries haven't seen.
-
-The fit reads at most ``MAX_TEXTS`` texts of at most ``MAX_BYTES`` bytes of each
-label and part, taken in the order of a hash of their ids; this is the documented
-bound of the classifier's sample.  All rows are scored, whole.
-
-Edge cases: null texts count as empty and score like any text without evidence;
-with fewer than two labels to learn from every score is 0.5; labels without a
-document, null labels and labels other than 0 and 1 are ignored.
+text is compressed in blocks with either and with none.  Three normalised size
+differences become a score by a logistic curve, fitted to labelled rows that the
+dictionaries haven't seen: bad less good over the plain size, of the whole text and
+of its worst block, and none less good over the length (what the good dictionary
+saves, which is little where a text repeats itself).
+
+The fit reads at most ``MAX_TEXTS`` texts of each label and part, in the order of a
+hash of their ids, while they stay within ``MAX_BYTES`` bytes together: the
+documented bound of the classifier's sample.  All rows are scored, whole.
+
+Edge cases: null and empty texts have a difference of 0 and score alike; with
+fewer than two labels to learn from every score is 0.5; labels without a document,
+null labels, labels other than 0 and 1 and ids with both labels are ignored; of
+documents that repeat a labelled id the smallest text is learned; repeated rows
+score alike; an empty table gives no rows; a very long text is compressed block by
+block; a column ``score`` of the input is replaced, others are carried along.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, released, sampled
 
 MAX_TEXTS = 1200
-MAX_BYTES = 32_768
+MAX_BYTES = 16 << 20
 DICT_BYTES = 131_072
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
 
 
@@ -56,19 +61,18 @@ class Scorer:
             self.sides.append(press(own) if own is not None else self.plain)
 
     def features(self, text: str) -> tuple[float, ...]:
-        """1, the normalised size difference, and how far blocks of the text differ at worst."""
+        """1 and normalised size differences: bad less good, also of the worst block, and none less good."""
         data = text.encode("utf-8", "surrogatepass")
-        good = bad = plain = 0
-        worst = 1.0
+        sums = np.zeros(3, dtype=np.int64)
+        worst = None
         for i in range(0, len(data), BLOCK):
             block = data[i : i + BLOCK]
-            g, b, p = len(self.sides[0].compress(block)), len(self.sides[1].compress(block)), len(self.plain.compress(block))
-            good, bad, plain = good + g, bad + b, plain + p
-            if len(block) >= 256 or i == 0:
-                worst = min(worst, (b - g) / p)
-        if not data:
-            return (1.0, 0.0, 0.0, 0.0)
-        return (1.0, (bad - good) / plain, worst, math.log(plain / len(data)))
+            good, bad, plain = (len(x.compress(block)) for x in (*self.sides, self.plain))
+            sums += (good, bad, plain)
+            if worst is None or (len(block) >= 256 and (bad - good) / plain < worst):
+                worst = (bad - good) / plain
+        good, bad, plain = sums.tolist()
+        return (1.0, (bad - good) / plain, worst, (plain - good) / len(data)) if data else (1.0, 0.0, 0.0, 0.0)
 
     def score(self, text: str) -> float:
         if not self.weights:
@@ -99,17 +103,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
 def sample(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> list:
     """(part, quality, text) rows to learn from: never of the held-out fold."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
-    ids = ids.withColumn("_fold", crc_mod("doc_id", folds)).where(F.col("_fold") != held_out)
-    ids = ids.withColumn("_part", (F.xxhash64("doc_id") % 2 != 0).cast("int"))
+    ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    ids = ids.where(crc_mod("doc_id", folds) != held_out).withColumn("_part", (F.xxhash64("doc_id") % 2 != 0).cast("int")).withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
     chosen = None
     for quality in (0, 1):
         for part in (0, 1):
-            one = ids.where((F.col("quality") == quality) & (F.col("_part") == part)).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_texts)
+            one = ids.where((F.col("quality") == quality) & (F.col("_part") == part)).orderBy("_h", "doc_id").limit(max_texts)
             chosen = one if chosen is None else chosen.unionAll(one)
-    chosen = chosen.select("doc_id", "quality", "_part").dropDuplicates(["doc_id"])
-    # at most 4 * max_texts rows of three numbers: the broadcast has a fixed bound
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"text is not null and octet_length(text) between 1 and {max_bytes}").join(F.broadcast(chosen), "doc_id")
-    return sorted((r["_part"], r["quality"], r["text"]) for r in rows.collect())
+    # at most 4 * max_texts rows of four numbers: the broadcast has a fixed bound
+    rows = sampled(docs.select("doc_id", "text"), chosen.select("doc_id", "_part", "quality", "_h"), ["_part", "quality"], max_bytes)
+    return sorted((r["_part"], r["quality"], r["text"]) for r in rows)
 
 
 def fit(rows: list) -> Model:
@@ -141,6 +144,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     @F.pandas_udf("double")
+    @released
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for batch in batches:

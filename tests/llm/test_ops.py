@@ -127,13 +127,21 @@ def test_quality(spark):
     assert np.mean([got[i]["predicted"] == i % 2 for i in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 243
     assert {r["score"] for r in quality_zstd.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality_zstd.classify(docs.limit(0), labels).count() == 0
+    # an id with both labels teaches nothing; of a repeated id one text is learned; long texts count like others
+    both = labels.unionAll(spark.createDataFrame([(0, 1, 0)], labels.schema))
+    long = table(spark, [bad() * 900, bad(), bad()], ids=[8, 10, 10])
+    rows = quality_zstd.sample(long.unionAll(docs.where("doc_id not in (8, 10)")), both)
+    ids = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(rows) == len(ids) - (0 in ids) and max(len(r[2]) for r in rows) > 400_000
+    assert len(quality_zstd.sample(docs, labels, max_bytes=2000)) < 40
 
 
 def test_language(spark):
     rng = random.Random(3)
     syllables = {"aa": ["ther", "ing", "and"], "bb": ["sch", "ung", "keit"]}
     text = lambda k: " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3))) for _ in range(60))
-    rows = [(i, text("aa" if i % 2 else "bb"), "aa" if i % 2 else "bb") for i in range(120)] + [(500, None, "aa"), (501, "123 !!", "aa"), (502, "", None), (503, "ther" * 30_000, None)]
+    rows = [(i, text("aa" if i % 2 else "bb"), "aa" if i % 2 else "bb") for i in range(120)] + [(500, None, "aa"), (501, "123 !! ² ½ Ⅷ", "aa"), (502, "", None), (503, "ther" * 30_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in langid.identify(docs, P.path("piece_bpe_32k.model")).collect()}
     assert all(got[i]["lang_pred"] == ("aa" if i % 2 else "bb") for i in range(120))
@@ -142,6 +150,33 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.where("lang is null"), P.path("piece_bpe_32k.model")).collect()} == {"und"}
 
 
+def test_language_expected_counts():
+    """Against all segmentations written out, also where words are longer than a block of the scale."""
+    prob = {"a": 0.2, "b": 0.1, "ab": 0.3, "bab": 0.05, "aba": 0.02}
+
+    def brute(word):
+        total, out = 0.0, Counter()
+
+        def walk(rest, pieces, p):
+            nonlocal total
+            if not rest:
+                total += p
+                for x in pieces:
+                    out[x] += p
+                return
+            for n in (1, 2, 3):
+                if rest[:n] in prob and len(rest) >= n:
+                    walk(rest[n:], [*pieces, rest[:n]], p * prob[rest[:n]])
+
+        walk(word, [], 1.0)
+        return {x: v / total for x, v in out.items()}
+
+    for word in ("a", "ab", "abab", "babab", "ab" * 9):
+        assert langid.expected(Counter({word: 1}), prob) == pytest.approx(brute(word))
+    far = langid.expected(Counter({"ab" * 3000: 1}), prob)
+    assert sum(far[x] * len(x) for x in far) == pytest.approx(6000)
+
+
 def test_language_forward_sum():
     model = langid.Model(("x",), (0.0,), {"▁": (0.1,), "a": (0.2,), "▁a": (0.3,), "aa": (0.05,)})
     # the segmentations of "▁aa": ▁|a|a, ▁a|a, ▁|aa
