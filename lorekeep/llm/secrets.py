@@ -7,8 +7,10 @@ and a window whose Shannon entropy passes its character class's threshold marks
 the candidate.  Allow-listed candidates are suppressed; base spans never are.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows give
-repeated results; other columns of the input are carried along untouched
-(columns of the same names as the results are replaced).
+repeated results; spans that start together are ordered by kind; an empty table
+gives no rows; very long texts and candidates take time in proportion (folds copy
+nothing that grows); other columns of the input are carried along untouched, but
+for columns named secret_base and secret_spans, which are replaced.
 """
 
 from __future__ import annotations
@@ -41,55 +43,67 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(text: str, pattern: str, body: str) -> str:
-    """SQL: array of ``body`` structs for the matches of a pattern.
+def _running(values: str, zero: str, op) -> str:
+    """SQL: for each of an array of ints, ``op`` over those before it.
 
-    ``body`` may use ``z.hit`` (the matched string), ``s`` and ``e`` stand for its
-    code point offsets: a running sum of the pieces between matches and the
-    matches themselves.  The fold starts from a first element that gives the
-    array its type and is cut off at the end.
+    Two levels of blocks: a plain fold would copy its growing array at each step.
     """
-    p = _quote(pattern)
-    start = "(acc.pos + length(z.gap))"
-    body = body.replace("{s}", start).replace("{e}", f"({start} + length(z.hit))")
+    size = 64
+    part = f"slice(v, cast(b * {size} + 1 as int), {size})"
+    blocks = f"sequence(0, cast((size(v) - 1) div {size} as int))"
+    fold = lambda seq, start: f"aggregate({seq}, array({start}), (acc, x) -> concat(acc, array({op('element_at(acc, -1)', 'x')})))"
+    heads = fold(f"transform({blocks}, b -> aggregate({part}, {zero}, (acc, x) -> {op('acc', 'x')}))", zero)
+    inner = f"slice({fold(part, 'h[b]')}, 1, size({part}))"
     return (
-        f"CASE WHEN {text} RLIKE {p} THEN aggregate("
-        f"zip_with(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), (h, g) -> named_struct('hit', h, 'gap', g)), "
-        f"named_struct('pos', 0, 'out', array({body.replace('z.hit', repr('')).replace('z.gap', repr('')).replace('acc.pos', '0')})), "
-        f"(acc, z) -> named_struct('pos', acc.pos + length(z.gap) + length(z.hit), 'out', concat(acc.out, array({body}))), "
-        f"acc -> slice(acc.out, 2, greatest(size(acc.out) - 1, 0))) END"
+        f"transform(array({values}), v -> CASE WHEN size(v) = 0 THEN cast(array() as array<int>) "
+        f"ELSE transform(array({heads}), h -> flatten(transform({blocks}, b -> {inner})))[0] END)[0]"
     )
 
 
+def _sum(a: str, b: str) -> str:
+    return f"{a} + {b}"
+
+
+def _greatest(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def _matches(text: str, pattern: str) -> str:
+    """SQL: array of struct(s, e, hit) for the matches of a pattern, null if there is none.
+
+    Offsets count code points, from a running sum over the pieces between matches
+    and the matches themselves.
+    """
+    p = _quote(pattern)
+    pieces = f"zip_with(regexp_extract_all({text}, {p}, 0), slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), (h, g) -> named_struct('hit', h, 'gap', length(g)))"
+    ahead = _running("transform(m, x -> x.gap + length(x.hit))", "0", _sum)
+    span = "named_struct('s', a + x.gap, 'e', a + x.gap + length(x.hit), 'hit', x.hit)"
+    return f"CASE WHEN {text} RLIKE {p} THEN transform(array({pieces}), m -> zip_with(m, {ahead}, (x, a) -> {span}))[0] END"
+
+
 def _entropy(hit: str, alphabet: str, bits: float, window: int) -> str:
-    """SQL: struct(first, last) of the high-entropy windows of ``hit``, or null.
+    """SQL: struct(first, last) of the high-entropy windows of ``hit``, or -1 and -1.
 
-    The fold keeps one count per symbol and the sum of c*log2(c); each step adds
-    the entering symbol and removes the one that leaves the window, so that the
-    entropy log2(window) - sum/window costs no recount.
+    The fold keeps one count per symbol and the sum of c*log2(c); each step takes
+    the symbol that leaves the window out of them and adds the one that enters, so
+    that the entropy log2(window) - sum/window costs no recount.
     """
     gain = ", ".join(f"{k * math.log2(k) if k else 0.0!r}D" for k in range(window + 2))
     a, n = _quote(alphabet), len(alphabet)
-    into = f"instr({a}, substring({hit}, i + 1, 1))"
-    out = f"CASE WHEN i >= {window} THEN instr({a}, substring({hit}, i + 1 - {window}, 1)) ELSE 0 END"
+    codes = f"transform(slice(split({hit}, ''), 1, length({hit})), x -> instr({a}, x) - 1)"
+    moves = f"transform(array({codes}), c -> zip_with(c, concat(array_repeat(-1, {window}), slice(c, 1, greatest(size(c) - {window}, 0))), (i, o) -> named_struct('i', i, 'o', o)))[0]"
+    left = "CASE WHEN x.o >= 0 THEN acc.c[x.o] ELSE 0 END"
+    came = "acc.c[x.i] - CASE WHEN x.o = x.i THEN 1 ELSE 0 END"
+    change = f"CASE WHEN x.o >= 0 THEN g[{left} - 1] - g[{left}] ELSE 0D END + g[{came} + 1] - g[{came}]"
+    hot = f"t.n >= {window} AND {math.log2(window)!r}D - t.s / {window} >= {bits!r}D"
     step = (
-        # in two moves: the symbol that leaves, then the one that enters
-        f"(acc, i) -> transform(array(named_struct('in', {into}, 'out', {out})), x -> "
-        f"transform(array(named_struct('in', x.in, 's', acc.s + CASE WHEN x.out > 0 THEN element_at(g, acc.c[x.out - 1]) - element_at(g, acc.c[x.out - 1] + 1) ELSE 0D END, "
-        f"'c', CASE WHEN x.out > 0 THEN transform(acc.c, (v, k) -> v - CASE WHEN k = x.out - 1 THEN 1 ELSE 0 END) ELSE acc.c END)), y -> "
-        f"named_struct('c', transform(y.c, (v, k) -> v + CASE WHEN k = y.in - 1 THEN 1 ELSE 0 END), "
-        f"'s', y.s + element_at(g, y.c[y.in - 1] + 2) - element_at(g, y.c[y.in - 1] + 1), 'first', acc.first, 'last', acc.last))[0])[0]"
+        f"transform(array(named_struct('n', acc.n + 1, 's', acc.s + {change})), t -> named_struct("
+        "'c', transform(acc.c, (v, k) -> v + CASE WHEN k = x.i THEN 1 ELSE 0 END - CASE WHEN k = x.o THEN 1 ELSE 0 END), 'n', t.n, 's', t.s, "
+        f"'first', CASE WHEN acc.first < 0 AND {hot} THEN t.n - {window} ELSE acc.first END, 'last', CASE WHEN {hot} THEN t.n ELSE acc.last END))[0]"
     )
-    mark = (
-        f"named_struct('c', t.c, 's', t.s, "
-        f"'first', CASE WHEN i >= {window - 1} AND {math.log2(window)!r}D - t.s / {window} >= {bits!r}D AND t.first < 0 THEN i - {window - 1} ELSE t.first END, "
-        f"'last', CASE WHEN i >= {window - 1} AND {math.log2(window)!r}D - t.s / {window} >= {bits!r}D THEN i + 1 ELSE t.last END)"
-    )
-    step = step.replace("(acc, i) -> ", f"(acc, i) -> transform(array(", 1) + f"), t -> {mark})[0]"
-    return (
-        f"aggregate(sequence(0, length({hit}) - 1), named_struct('c', array_repeat(0, {n}), 's', 0D, 'first', -1, 'last', -1), {step}, "
-        f"acc -> named_struct('first', acc.first, 'last', acc.last))"
-    ).replace("element_at(g,", f"element_at(array({gain}),")
+    start = f"named_struct('c', array_repeat(0, {n}), 'n', 0, 's', 0D, 'first', -1, 'last', -1)"
+    fold = f"aggregate(moves, {start}, (acc, x) -> {step}, acc -> named_struct('first', acc.first, 'last', acc.last))"
+    return f"transform(array({moves}), moves -> transform(array(array({gain})), g -> {fold})[0])[0]"
 
 
 def secret_spans(
@@ -100,37 +114,31 @@ def secret_spans(
     base64_bits: float = BASE64_BITS,
     allow: tuple[str, ...] = ALLOW,
 ) -> DataFrame:
-    """``docs`` with ``base`` and ``found``: arrays of struct(s, k, e), by start and kind.
+    """``docs`` with ``secret_base`` and ``secret_spans``: arrays of struct(s, k, e), by start and kind.
 
     ``k`` indexes KINDS, from 0; offsets count code points, the end is exclusive.
-    ``found`` holds the base spans and those of the entropy windows; a window
+    ``secret_spans`` holds the base spans and those of the entropy windows; a window
     inside a base span is not reported again.
     """
-    t = "_text"
-    span = "named_struct('s', {s}, 'k', KIND, 'e', {e}, 'hit', z.hit)"
-    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
-    plain = "x -> named_struct('s', x.s, 'k', x.k, 'e', x.e)"
-    assign = _matches(t, ASSIGN, span.replace("KIND", "0"))
-    assign = f"transform(filter({assign}, x -> length(regexp_extract(x.hit, {_quote(ASSIGN)}, 2)) >= 8), {plain})"
-    access = f"transform({_matches(t, ACCESS, span.replace('KIND', '1'))}, {plain})"
-    hexes = f"transform({_matches(t, HEX, span.replace('KIND', '2'))}, {plain})"
+    t, none = "_secret_text", "cast(array() as array<struct<s:int,k:int,e:int>>)"
+
+    def spans(kind: int, pattern: str, where: str = "true") -> str:
+        return f"coalesce(transform(filter({_matches(t, pattern)}, x -> {where}), x -> named_struct('s', x.s, 'k', {kind}, 'e', x.e)), {none})"
+
+    base = ", ".join([spans(0, ASSIGN, f"length(regexp_extract(x.hit, {_quote(ASSIGN)}, 2)) >= 8"), spans(1, ACCESS), spans(2, HEX)])
     suspect = " AND ".join(["x.hit RLIKE '[0-9]'", "x.hit RLIKE '[A-Za-z]'", *(f"NOT x.hit RLIKE {_quote(a)}" for a in allow)])
-    candidates = f"coalesce(filter({_matches(t, CANDIDATE, span.replace('KIND', '3'))}, x -> {suspect}), cast(array() as array<struct<s:int,k:int,e:int,hit:string>>))"
-    hot = (
-        "transform(_cand, x -> named_struct('s', x.s, 'hex', x.hit RLIKE '^[0-9A-Fa-f]+$', 'w', "
-        f"CASE WHEN x.hit RLIKE '^[0-9A-Fa-f]+$' THEN {_entropy('lower(x.hit)', '0123456789abcdef', hex_bits, window)} "
-        f"ELSE {_entropy('x.hit', BASE64, base64_bits, window)} END))"
-    )
-    added = (
-        "transform(filter(_hot, x -> x.w.first >= 0 AND NOT exists(base, b -> b.s <= x.s + x.w.first AND b.e >= x.s + x.w.last)), "
-        "x -> named_struct('s', x.s + x.w.first, 'k', CASE WHEN x.hex THEN 3 ELSE 4 END, 'e', x.s + x.w.last))"
+    windows = (
+        f"transform(filter({_matches(t, CANDIDATE)}, x -> {suspect}), x -> named_struct('s', x.s, 'hex', x.hit RLIKE '^[0-9A-Fa-f]+$', 'w', "
+        f"CASE WHEN x.hit RLIKE '^[0-9A-Fa-f]+$' THEN {_entropy('lower(x.hit)', '0123456789abcdef', hex_bits, window)} ELSE {_entropy('x.hit', BASE64, base64_bits, window)} END))"
     )
-    keep = [c for c in docs.columns if c not in ("base", "found", t, "_cand", "_hot")]
-    out = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(t))
-    out = out.withColumn("base", F.expr(f"array_sort(concat(coalesce({assign}, {none}), coalesce({access}, {none}), coalesce({hexes}, {none})))"))
-    out = out.withColumn("_cand", F.expr(candidates)).withColumn("_hot", F.expr(hot))
-    out = out.withColumn("found", F.expr(f"array_sort(concat(base, {added}))"))
-    return out.drop("_cand", "_hot", t)
+    hot = f"coalesce(transform(filter({windows}, x -> x.w.first >= 0), x -> named_struct('s', x.s + x.w.first, 'k', CASE WHEN x.hex THEN 3 ELSE 4 END, 'e', x.s + x.w.last)), {none})"
+    # in the joint order a window lies within a base span if one before it ends no earlier
+    reach = _running("transform(o, x -> CASE WHEN x.k < 3 THEN x.e ELSE 0 END)", "0", _greatest)
+    found = f"transform(array(array_sort(concat(secret_base, _secret_hot))), o -> transform(filter(zip_with(o, {reach}, (x, r) -> named_struct('x', x, 'r', r)), y -> y.x.k < 3 OR y.r < y.x.e), y -> y.x))[0]"
+    out = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    out = out.withColumn("secret_base", F.expr(f"array_sort(concat({base}))")).withColumn("_secret_hot", F.expr(hot))
+    out = out.withColumn("secret_spans", F.expr(f"CASE WHEN size(_secret_hot) = 0 THEN secret_base ELSE {found} END"))
+    return out.drop("_secret_hot", t)
 
 
 def joined(spans: str):
@@ -145,24 +153,26 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     Overlapping spans are merged first.  A null text stays null.
     """
     out = secret_spans(docs, text)
-    fold = (
-        f"aggregate(found, named_struct('at', 0, 'out', ''), (acc, x) -> CASE "
-        f"WHEN x.s >= acc.at THEN named_struct('at', x.e, 'out', concat(acc.out, substring({text}, acc.at + 1, x.s - acc.at), {_quote(mark)})) "
-        f"WHEN x.e > acc.at THEN named_struct('at', x.e, 'out', acc.out) ELSE acc END, "
-        f"acc -> concat(acc.out, substring({text}, acc.at + 1)))"
+    quoted = "`" + text.replace("`", "``") + "`"
+    ends = "transform(secret_spans, x -> x.e)"
+    # what stands between a span and the furthest end before it, and a mark for the span
+    parts = (
+        f"transform(filter(zip_with(secret_spans, {_running(ends, '0', _greatest)}, (x, r) -> named_struct('s', x.s, 'r', r)), y -> y.s >= y.r), "
+        f"y -> concat(substring({quoted}, y.r + 1, y.s - y.r), {_quote(mark)}))"
     )
-    return out.withColumn(text, F.expr(f"CASE WHEN {text} IS NULL THEN NULL WHEN size(found) = 0 THEN {text} ELSE {fold} END")).drop("base", "found")
+    clean = f"concat(array_join({parts}, ''), substring({quoted}, array_max({ends}) + 1))"
+    return out.withColumn(text, F.expr(f"CASE WHEN {quoted} IS NULL THEN NULL WHEN size(secret_spans) = 0 THEN {quoted} ELSE {clean} END")).drop("secret_base", "secret_spans")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: counts per kind, the digest of the base spans, and all spans."""
     out = secret_spans(docs.select("doc_id", "text"))
-    count = lambda k: F.expr(f"cast(size(filter(base, x -> x.k = {k})) as bigint)")
+    count = lambda k: F.expr(f"cast(size(filter(secret_base, x -> x.k = {k})) as bigint)")
     return out.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
-        joined("found").alias("spans"),
+        F.sha2(joined("secret_base").cast("binary"), 256).alias("base_sha256"),
+        joined("secret_spans").alias("spans"),
     )

@@ -37,6 +37,66 @@ def test_secrets(spark):
     assert clean[1] is None and clean[4] == texts[4] and "AKIA" not in clean[0] and clean[0].endswith("é [SECRET]")
 
 
+def entropy_spans(x, base):
+    """Windows of 20 symbols, counted anew, in the candidates of a text; none inside a base span."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", x):
+        hit = m[0]
+        if not (re.search("[0-9]", hit) and re.search("[A-Za-z]", hit)) or any(re.search(a, hit) for a in secrets.ALLOW):
+            continue
+        hexed = re.fullmatch("[0-9A-Fa-f]+", hit) is not None
+        hot = []
+        for i in range(len(hit) - 19):
+            n = Counter((hit.lower() if hexed else hit)[i : i + 20])
+            bits = -sum(c / 20 * np.log2(c / 20) for c in n.values())
+            if bits >= (secrets.HEX_BITS if hexed else secrets.BASE64_BITS) - 1e-9:
+                hot.append(i)
+        if hot:
+            s, e = m.start() + hot[0], m.start() + hot[-1] + 20
+            if not any(a <= s and b >= e for a, _, b in base):
+                out.append((s, 3 if hexed else 4, e))
+    return out
+
+
+def test_secrets_entropy(spark):
+    """All spans against brute force, and the redacted texts against the spans."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(0, 12)):
+            pick = rng.choice([letters, letters[:20], "0123456789abcdef", "0123456789ABCDEF", "ab1"])
+            word = "".join(rng.choice(pick) for _ in range(rng.choice([3, 19, 20, 21, 45, 80])))
+            parts.append(rng.choice(["", "é ", "token=", "Secret: '", "AKIA", "example"]) + word + rng.choice(["", "=", "=="]))
+        texts.append(rng.choice([" ", "\n", " ü "]).join(parts))
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(table(spark, texts)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, texts)).collect()}
+    for i, x in enumerate(texts):
+        base = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 32]
+        spans = sorted(base + entropy_spans(x, base))
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in spans)
+        at, want = 0, ""
+        for a, _, e in spans:
+            want += x[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, e)
+        assert clean[i] == want + x[at:]
+    assert any("entropy_hex" in s for s in got.values()) and any("entropy_base64" in s for s in got.values())
+
+
+def test_secrets_long(spark):
+    """A candidate of a million characters, and thousands of spans in one text."""
+    rng = random.Random(13)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    many = " ".join(f"token=abcdefgh{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, blob, "b", "f"), (2, many, "b", "f")], "doc_id long, text string, base string, found string")
+    got = {r["doc_id"]: r for r in secrets.report(docs).collect()}
+    assert got[1]["spans"] == "entropy_base64:0:1000000" and got[2]["n_assign"] == 20_000
+    clean = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert clean[1]["text"] == "[SECRET]" and clean[2]["text"] == " ".join(["[SECRET]"] * 20_000) and (clean[1]["base"], clean[2]["found"]) == ("b", "f")
+
+
 @pytest.mark.parametrize(
     ("crowd", "hot", "flush", "family", "small", "batch"),
     [(20_000, 16, 500_000, 40_000, 6, 5_000), (3, 16, 300, 1, 6, 5_000), (256, 1, 50, 1, 2, 7), (20_000, 16, 500_000, 40_000, 1, 20), (20_000, 16, 500, 40_000, 100, 50)],
