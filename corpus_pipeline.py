@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages, each written as Parquet and read again.
 
 Quality classifier, MinHash near-dedup, suffix-array dedup, secret scans, packing.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; other columns are
+dropped.  Every stage takes an empty table (and gives one), null texts (as empty),
+null and repeated ids, and texts of any length; a row that repeats is kept once, by
+the near-dedup stage.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of 0.5 or more)."""
+    """Documents that the classifier accepts (score of 0.5 or more).
+
+    Null and empty texts share a score; without labels of both kinds all stay.
+    """
     model = quality_zstd.fit(quality_zstd.sample(docs, table(spark, sf_dir, "labels")))
     return _columns(quality_zstd.score(_columns(docs), model).where("score >= 0.5"))
 
@@ -28,7 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the first by id, a null id last.
 
-    Rows are told apart by a key of id and text, since ids may repeat or be null.
+    Rows are told apart by a key of id and text, since ids may repeat or be null; of
+    rows that agree in both the first by the other columns stays.  Texts without a
+    word are linked with nothing and stay, once for each id.
     """
     docs = docs.withColumn("_key", F.xxhash64("doc_id", "text", F.col("text").isNull()))
     groups = minhash.near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"))
@@ -42,9 +50,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages cut out of the texts.
+    """Repeated passages cut out of the texts; no row goes.
 
-    A removed range gives way at either end to whole characters, so that the rest
+    Null texts stay null.  A removed range gives way at either end to whole characters, so that the rest
     stays valid UTF-8.
     """
     rest = suffix.remove_repeats(docs, COLUMNS, whole_characters=True)
@@ -53,13 +61,13 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets replaced by a mark."""
+    """Secrets replaced by a mark, overlapping ones by one; no row goes and null texts stay null."""
     out = secrets.redact(_columns(docs).withColumn("_was", F.col("text")))
     return _columns(out.withColumn("n_chars", F.when(F.col("text") != F.col("_was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens along the curve."""
+    """Pieces of sequences of at most 2048 tokens along the curve; an empty text is its end id alone."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
