@@ -8,14 +8,15 @@ Content-Length and checks block and payload digests.
 
 Edge cases: a null payload counts as empty; a null url gives an empty target; a
 null page id gives record id ``urn:page:null``; of repeated rows with the same id
-and payload each is a response; an empty table gives no archives.
+and payload each is a response; an empty table gives no archives; a very long
+payload is one record, read and written in memory by one task; columns other than
+page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,8 @@ from .common import settle
 CHUNK = 1 << 20
 #: Archives end after the record that passes this many bytes.
 ARCHIVE_BYTES = 32 << 20
+#: Places that share the copies of a payload while they find the first one.
+SALTS = 32
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -119,11 +122,13 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("_body"),
     ).withColumn("_key", F.sha2("_body", 256))
-    first = own.groupBy("_key").agg(F.min("page_id").alias("_first"))
-    own = own.join(first, "_key").select(
-        "page_id", "url", "_body",
-        F.when((F.octet_length("_body") >= min_revisit_bytes) & (F.col("page_id") != F.col("_first")), F.col("_first")).alias("_refers"),
-    )
+    # only keys meet here, in SALTS places each; the bodies are dealt by page, so that a common payload's copies stay apart
+    keys = own.select("page_id", "_key").where(F.octet_length("_body") >= min_revisit_bytes)
+    first = keys.groupBy("_key").agg(F.min("page_id").alias("_refers"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("_key", "_refers", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    keys = keys.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    again = keys.join(first, ["_key", "_salt"]).where("page_id <> _refers").select("page_id", "_key", "_refers").distinct()
+    own = own.join(again, ["page_id", "_key"], "left")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
