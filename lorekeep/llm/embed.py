@@ -5,8 +5,9 @@ the largest size, with its sign, is a hash.  A few hashes joined name a bucket o
 a table; multiprobe adds the buckets of the runner-up coordinates.  Candidates of
 a bucket are compared exactly, by cosine in double precision.
 
-Equal vectors form one class with a weight and are never expanded into pairs.  A
-pair that meets in several tables or buckets counts in the first one only, so each
+Tables, hashes and probes are the same at every size, and so is recall.  Equal
+vectors form one class with a weight and are never expanded into pairs.
+A pair that meets in several tables or buckets counts in the first one only, so each
 task returns counts and a spanning forest of its links instead of pairs.  Buckets
 beyond BLOCK rows are cut into blocks, and each pair of blocks is a task of its
 own.
@@ -14,7 +15,8 @@ own.
 Edge cases: vectors that are null, zero or hold null or non-finite components link
 with nothing; vectors of different lengths never link; a null id counts as a
 vector but gets no component; rows that repeat an id and vector count as two
-vectors; an empty table gives no rows.
+vectors; an empty table gives no rows; columns other than vec_id and embedding are
+not read.
 """
 
 from __future__ import annotations
@@ -29,14 +31,8 @@ from pyspark.sql import functions as F
 from .common import partitions, settle
 from .components import components
 
-TABLES, PROBES, BLOCK = 10, 3, 512
-#: Tables and probes by the number of hashes: each hash is varied in a probe, and recall stays the same.
-SEATS = {2: (TABLES, PROBES), 3: (16, 4), 4: (24, 5)}
-
-
-def hashes_for(rows: int) -> int:
-    """Hashes joined in a bucket's name: buckets keep a few rows each at any size."""
-    return 2 if rows < 400_000 else 3 if rows < 50_000_000 else 4
+#: Tables, hashes joined in a bucket's name, buckets of a vector in each table (its own and runners-up), rows of a block.
+TABLES, HASHES, PROBES, BLOCK = 16, 3, 4, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,7 +46,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def codes(vectors: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+def codes(vectors: np.ndarray, hashes: int = HASHES, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """Bucket codes, rows x tables x probes; the first is the vector's own bucket."""
     n, dim = vectors.shape
     width = 1 << max(1, (dim - 1).bit_length())
@@ -107,7 +103,7 @@ def _groups(links: np.ndarray) -> np.ndarray:
     return group
 
 
-def links(classes: DataFrame, threshold: float, hashes: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def links(classes: DataFrame, threshold: float, hashes: int = HASHES, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """From (class_id, weight, embedding): rows (class_id, n, other).
 
     ``n`` sums the weights of linked classes found in one task; ``other`` is a row
@@ -119,10 +115,16 @@ def links(classes: DataFrame, threshold: float, hashes: int, tables: int = TABLE
             sizes = batch["embedding"].map(len)
             for dim in sorted(sizes.unique()):
                 part = batch[sizes == dim]
-                own = codes(np.stack(part["embedding"].to_list()).astype(np.float64), hashes, tables, probes)
-                yield pd.DataFrame({"class_id": part["class_id"], "weight": part["weight"], "dim": np.int32(dim), "embedding": part["embedding"], "codes": list(own.reshape(len(part), -1))})
-
-    hashed = settle(classes.mapInPandas(hash_rows, "class_id long, weight long, dim int, embedding array<double>, codes array<long>"), "codes")
+                x = np.stack(part["embedding"].to_list()).astype(np.float64)
+                own = codes(x, hashes, tables, probes).reshape(len(part), -1)
+                # what travels: 32-bit components and codes where they say the same
+                slim = x.astype("<f4")
+                with np.errstate(over="ignore", invalid="ignore"):
+                    x = slim if (slim == x).all() else x.astype("<f8")
+                small = own.astype("<i4") if own.max() < 2**31 else own.astype("<i8")
+                yield pd.DataFrame({"class_id": part["class_id"], "weight": part["weight"], "dim": np.int32(dim), "vector": [r.tobytes() for r in x], "codes": list(own), "packed": [r.tobytes() for r in small]})
+
+    hashed = settle(classes.mapInPandas(hash_rows, "class_id long, weight long, dim int, vector binary, codes array<long>, packed binary"), "codes")
     seats = hashed.select("class_id", "dim", F.posexplode("codes").alias("at", "code")).select("class_id", "dim", (F.col("at") / probes).cast("int").alias("tab"), "code").distinct()
     key = ["tab", "dim", "code"]
     crowds = seats.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
@@ -130,11 +132,12 @@ def links(classes: DataFrame, threshold: float, hashes: int, tables: int = TABLE
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     placed = placed.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("class_id", *key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    heavy = placed.join(hashed.select("class_id", "weight", "embedding", "codes"), "class_id")
+    heavy = placed.join(hashed.select("class_id", "weight", "vector", "packed"), "class_id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(rows: pd.DataFrame) -> pd.DataFrame | None:
-            x = np.stack(rows["embedding"].to_list())
+            dim = int(rows["dim"].iloc[0])
+            x = np.stack([np.frombuffer(v, dtype=f"<f{len(v) // dim}").astype(np.float64) for v in rows["vector"]])
             norm = np.linalg.norm(x, axis=1)
             close = x @ x.T >= threshold * norm[:, None] * norm[None, :]
             np.fill_diagonal(close, False)
@@ -145,7 +148,7 @@ def links(classes: DataFrame, threshold: float, hashes: int, tables: int = TABLE
             if not len(a):
                 return None
             t, code = int(rows["tab"].iloc[0]), int(rows["code"].iloc[0])
-            all_codes = np.stack(rows["codes"].to_list()).reshape(len(rows), tables, probes)
+            all_codes = np.stack([np.frombuffer(c, dtype=f"<i{len(c) // (tables * probes)}") for c in rows["packed"]]).reshape(len(rows), tables, probes).astype(np.int64)
             keep = np.zeros(len(a), dtype=bool)
             for s in range(0, len(a), 20_000):
                 p, q = all_codes[a[s : s + 20_000], : t + 1], all_codes[b[s : s + 20_000], : t + 1]
@@ -185,7 +188,7 @@ def links(classes: DataFrame, threshold: float, hashes: int, tables: int = TABLE
     return heavy.repartition(n, *tasks).sortWithinPartitions(*tasks).mapInPandas(compare, "class_id long, n long, other long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, hashes: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = own.where(valid()).withColumn("key", F.unhex(F.sha2(F.to_json("embedding").cast("binary"), 256)))
@@ -193,8 +196,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, hashes: int | N
     classes = good.groupBy("key").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"), F.min(F.struct(F.col("vec_id").isNull().alias("n"), F.col("vec_id").alias("v"), F.col("embedding").alias("embedding"))).alias("one"))
     # classes get an id of their own: vec ids may be null
     classes = settle(classes.select("key", "weight", "low", F.coalesce("low", F.xxhash64("key")).alias("class_id"), "one.embedding"), "classes")
-    hashes = hashes or hashes_for(classes.count())
-    found = settle(links(classes.select("class_id", "weight", "embedding"), threshold, hashes, *SEATS.get(hashes, (TABLES, PROBES))), "links")
+    found = settle(links(classes.select("class_id", "weight", "embedding"), threshold), "links")
     counts = found.groupBy("class_id").agg(F.sum("n").alias("n"))
     groups = components(found.select("class_id", "other").where("class_id <> other").distinct(), "class_id", "other")
     named = classes.select("key", "weight", "class_id").join(counts, "class_id", "left").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
