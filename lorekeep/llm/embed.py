@@ -33,6 +33,8 @@ from .components import components
 
 #: Tables, hashes joined in a bucket's name, buckets of a vector in each table (its own and runners-up), rows of a block.
 TABLES, HASHES, PROBES, BLOCK = 16, 3, 4, 512
+#: Buckets of so many rows are compared together, to tell which hold a link.
+FEW = 12
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -81,6 +83,11 @@ def codes(vectors: np.ndarray, hashes: int = HASHES, tables: int = TABLES, probe
     return out
 
 
+def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
 def valid(column: str = "embedding"):
     """Whether a vector can link: not null, all components finite, not all zero."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -170,18 +177,44 @@ def links(classes: DataFrame, threshold: float, hashes: int = HASHES, tables: in
             group = _groups(net[np.ix_(some, some)])
             return pd.DataFrame({"class_id": ids[some], "n": count[some].astype(np.int64), "other": ids[some][group]})
 
+        def close_groups(rows: pd.DataFrame, bounds: list[int]) -> np.ndarray:
+            """Which groups of sorted rows may hold a link; small ones are compared all at once."""
+            sizes = np.diff(bounds)
+            maybe = sizes > FEW
+            small = np.flatnonzero((sizes > 1) & (sizes <= FEW))
+            if not len(small):
+                return np.flatnonzero(maybe)
+            at = np.concatenate([np.arange(bounds[g], bounds[g + 1]) for g in small.tolist()])
+            group = np.repeat(small, sizes[small])
+            dims = rows["dim"].to_numpy()[at]
+            x = np.zeros((len(at), int(dims.max())))
+            for k, (v, d) in enumerate(zip(rows["vector"].iloc[at], dims.tolist(), strict=True)):
+                x[k, :d] = np.frombuffer(v, dtype=f"<f{len(v) // d}")
+            norm = np.linalg.norm(x, axis=1)
+            for step in range(1, FEW):
+                a = np.flatnonzero(group[step:] == group[:-step])
+                if not len(a):
+                    break
+                b = a + step
+                # a hair below the threshold: the exact comparison follows
+                near = np.einsum("ij,ij->i", x[a], x[b]) >= (threshold - 1e-6) * norm[a] * norm[b]
+                maybe[group[a[near]]] = True
+            return np.flatnonzero(maybe)
+
         rest = None
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
             mark = rest[["tab", "dim", "code", "i", "j"]].to_numpy()
-            edges = np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1
-            bounds = [0, *edges.tolist()]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                if e - s > 1 and (got := out(rest.iloc[s:e])) is not None:
+            bounds = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1).tolist()]
+            if batch is None:
+                bounds.append(len(rest))  # else the last group may go on
+            for g in close_groups(rest, bounds).tolist():
+                if (got := out(rest.iloc[bounds[g] : bounds[g + 1]])) is not None:
                     yield got
             rest = rest.iloc[bounds[-1] :]
-        if rest is not None and len(rest) > 1 and (got := out(rest)) is not None:
-            yield got
 
     n = partitions(heavy.sparkSession)
     tasks = [*key, "i", "j"]
