@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.plans.stages import settle
+from .stages import settle
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int, node: str = "node") ->
 
 def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` undirected hops, without the starts."""
-    return hops(undirected(edges), starts, depth).where("hops > 0")
+    return hops(settle(undirected(edges), "undirected"), starts, depth).where("hops > 0")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, bound: int = 6) -> list[str]:
@@ -70,6 +70,7 @@ def dependents(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     Of several paths of the same length one without heuristic edges counts.
     """
     own = edges.where(F.col("kind").isin("calls", "uses")).select(F.col("dst").alias("to_node"), F.col("src").alias("from_node"), "heuristic")
+    own = settle(own, "callers")
     known = settle(seeds.select("node").distinct().withColumn("hops", F.lit(0)).withColumn("via_heuristic", F.lit(False)), "dependents")
     front = known
     for hop in range(1, depth + 1):

@@ -1,4 +1,4 @@
-"""Retrieval: inverted index, BM25, vectors, hybrid ranking, precedence of stores."""
+"""Retrieval: BM25, vectors, hybrid ranking, precedence of stores."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 
+from .stages import settle
+
 K1, B = 1.2, 0.75
 #: Accented letters folded as the tokenizer of the index does.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -19,12 +21,6 @@ def folded(x: str | Column) -> Column:
     return F.lower(F.translate(T.col(x), ACCENTED, PLAIN))
 
 
-def tokens(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """key, term, at: one row a token."""
-    words = F.filter(F.split(folded(body), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
-    return rows.select(key, F.posexplode(words).alias("at", "term"))
-
-
 def _matches(term: str):
     """A test of a token: by prefix for terms of four characters or more."""
     low = folded(F.lit(term))
@@ -36,8 +32,8 @@ def bm25(rows: DataFrame, query: str, key: str = "memory_id", body: str = "body"
 
     Terms of four characters or more match as prefixes.  Statistics run over all
     rows; ``eligible`` filters what may be returned.  With three terms or more at
-    least two must occur as substrings.  One pass over the rows: each row's term
-    counts are computed in place and only two numbers a term are aggregated.
+    least two must occur as substrings.  Each row's term counts are computed in place
+    and stored with the rows that hold a term; two numbers a term are aggregated.
     """
     terms = T.significant_terms(query)
     if not terms:
@@ -46,7 +42,12 @@ def bm25(rows: DataFrame, query: str, key: str = "memory_id", body: str = "body"
     own = rows.withColumn("_words", words).withColumn("_len", F.size("_words"))
     for i, term in enumerate(terms):
         own = own.withColumn(f"_tf{i}", F.size(F.filter("_words", _matches(term))))
-    own = own.drop("_words")
+    some = F.lit(False)
+    for i in range(len(terms)):
+        some = some | (F.col(f"_tf{i}") > 0)
+    # each text is read once: lengths of all rows are kept, the rows themselves where a term occurs
+    own = own.select("_len", *[f"_tf{i}" for i in range(len(terms))], some.alias("_some"), *[F.when(some, F.col(c)).alias(c) for c in rows.columns])
+    own = settle(own, "terms")
     stats = own.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
     both = own.crossJoin(F.broadcast(stats))  # a single row of statistics
     score = F.lit(0.0)
@@ -57,10 +58,7 @@ def bm25(rows: DataFrame, query: str, key: str = "memory_id", body: str = "body"
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     low = T.ascii_lower(body)
     covered = sum((F.contains(low, T.ascii_lower(F.lit(t))).cast("int") for t in terms), F.lit(0))
-    some = F.lit(False)
-    for i in range(len(terms)):
-        some = some | (F.col(f"_tf{i}") > 0)
-    out = both.where(some & ((covered >= 2) if len(terms) >= 3 else F.lit(True)))
+    out = both.where(F.col("_some") & ((covered >= 2) if len(terms) >= 3 else F.lit(True)))
     if eligible is not None:
         out = out.where(eligible)
     return out.select(*rows.columns, F.greatest(F.lit(1), F.round(score * 100)).cast("long").alias("score"), F.round(score, 6).alias("rank_score"))
@@ -101,11 +99,25 @@ def downweight_foreign(hits: DataFrame, device: str | None, weight: float, score
     return hits.withColumn(score, F.when(foreign, F.col(score).cast("double")).otherwise(F.col(score) * weight))
 
 
-def rerank_window(hits: DataFrame, window: int, order: Sequence[Column], cosine_: str = "cosine") -> DataFrame:
+def ranked(rows: DataFrame, order: Sequence, column: str) -> DataFrame:
+    """``rows`` with their number in the order, from 1.
+
+    Ranges of the order are numbered on their own, each from the count of those
+    before it, so that no task sees all rows.
+    """
+    own = settle(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_size"))  # a row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    out = own.withColumn(column, F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(starts), "_part")
+    return out.withColumn(column, F.col(column) + F.col("_before")).drop("_part", "_before")
+
+
+def rerank_window(hits: DataFrame, window: int, order: Sequence, cosine_: str = "cosine") -> DataFrame:
     """The first ``window`` hits by cosine, the rest as they were: column ``position``."""
-    ranked = hits.withColumn("_base", F.row_number().over(Window.orderBy(*order)))
-    near = F.when(F.col("_base") <= window, -F.col(cosine_))
-    return ranked.withColumn("position", F.row_number().over(Window.orderBy((F.col("_base") > window).cast("int"), near, "_base"))).drop("_base")
+    own = ranked(hits, order, "position")
+    near = own.where(F.col("position") <= window)
+    near = near.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last(cosine_), "position")).cast("long"))
+    return near.unionByName(own.where(F.col("position") > window))
 
 
 def rerank_scored(hits: DataFrame, window: int, rank: str = "rank", score: str = "cosine") -> DataFrame:

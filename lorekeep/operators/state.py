@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
-from lorekeep.plans.stages import settle
+from .stages import settle
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,6 +46,18 @@ def contradictions(memory: DataFrame, entities: DataFrame, key: str = "memory_id
     return pairs.select(F.col("x").alias("memory_id"), F.col("y").alias("target")).unionAll(pairs.select(F.col("y").alias("memory_id"), F.col("x").alias("target")))
 
 
+def all_contradictions(memory: DataFrame, entities: DataFrame, said: DataFrame, key: str = "memory_id") -> DataFrame:
+    """Pairs both ways: those stated (key, target) and those of opposite polarity that share an entity."""
+    both = said.select(key, "target").unionAll(said.select(F.col("target").alias(key), F.col(key).alias("target")))
+    return contradictions(memory, entities, key).unionAll(both).distinct()
+
+
+def freshness_pass(memory: DataFrame, today: Column, scopes: tuple[str, ...], max_flags: int = 25, dry_run: bool = False) -> DataFrame:
+    """memory with its ``stale`` flag after a pass over the scopes; as it was in a dry run."""
+    due = freshness(memory.where(F.col("store").isin(*scopes)), today, max_flags)
+    return memory if dry_run else mark(memory, due, "memory_id", "stale", F.lit(True))
+
+
 def relationships(memory: DataFrame, key: str = "memory_id") -> DataFrame:
     """memory_id, relation_kind, target: category, session, file and entity rows without repeats."""
     one = lambda kind, c: memory.where(F.col(c).isNotNull()).select(key, F.lit(kind).alias("relation_kind"), F.col(c).cast("string").alias("target"))

@@ -134,7 +134,7 @@ memory_query("K10_freshness_age", lambda m: m.select("memory_id", F.when((_age()
     f"SELECT memory_id, CASE WHEN {_AGE} >= 180 AND ({_any(_low('summary'), T.VERSION_MARKERS)} OR regexp_matches(summary, '(^|[^A-Za-z0-9.])[vV]?[0-9]+\\.[0-9]+($|[^A-Za-z0-9])')) THEN 'VersionSensitive' WHEN hit_count = 0 AND {_AGE} >= 90 THEN 'Unused' WHEN {_AGE} >= 365 THEN 'Age' END AS reason FROM memory")
 memory_query("A11_freshness_counts", lambda m: m.where(f"{ACTIVE} and not stale").select(F.when((F.col("hit_count") == 0) & (_age() >= 90), "Unused").when(_age() >= 365, "Age").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
     f"SELECT CASE WHEN hit_count = 0 AND {_AGE} >= 90 THEN 'Unused' WHEN {_AGE} >= 365 THEN 'Age' END AS reason, count(*) AS n FROM memory WHERE {ACTIVE} AND NOT stale GROUP BY 1")
-query("K15_user_corrections", lambda spark, sf: B.lines(spark, sf).where(T.starts_any(T.ascii_lower("line"), ("user:",))).withColumn("rest", F.trim(F.substring("line", 6, 1_000_000))).where(T.starts_any(T.ascii_lower("rest"), T.CORRECTIONS) & T.lesson_like("rest")).select("session", "line_no", F.concat(F.lit("User correction: "), T.truncate("rest")).alias("summary")),
+query("K15_user_corrections", lambda spark, sf: B.lines(spark, sf).where(T.starts_any(T.ascii_lower("line"), ("user:",))).withColumn("rest", F.trim(F.substr(F.col("line"), F.lit(6)))).where(T.starts_any(T.ascii_lower("rest"), T.CORRECTIONS) & T.lesson_like("rest")).select("session", "line_no", F.concat(F.lit("User correction: "), T.truncate("rest")).alias("summary")),
     f"WITH {L}, r AS (SELECT session, line_no, trim(substring(line, 6)) AS rest FROM lines WHERE starts_with({_low('line')}, 'user:')) SELECT session, line_no, 'User correction: ' || CASE WHEN length(rest) > 120 THEN substring(rest, 1, 120) || '…' ELSE rest END AS summary FROM r "
     "WHERE (" + " OR ".join(f"starts_with({_low('rest')}, '{m.replace(chr(39), chr(39) * 2)}')" for m in T.CORRECTIONS) + f") AND {_lesson('rest')}")
 _SECTIONS = {"progress": ("fixed", "implemented", "passed"), "decisions": ("decided", "prefer", "instead"), "commands": ("failed", "error"), "risks": ("blocked", "risk"), "next_steps": ("next", "todo", "pending")}
@@ -160,7 +160,8 @@ memory_query("K19_revalidation_sample", lambda m: m.where(T.version_sensitive("s
 query("F_failure_lines", lambda spark, sf: B.lines(spark, sf).where(T.failure_line("line") & T.lesson_like(T.strip_speaker("line"))).select("session", "line_no"), f"WITH {L} SELECT session, line_no FROM lines WHERE {_FAIL} AND {_lesson(_strip('line'))}")
 
 # joins on review states
-memory_query("J5_promoted_flag", lambda m: m.select("memory_id", (F.col("hit_count") > 4).alias("promoted")), "SELECT memory_id, hit_count > 4 AS promoted FROM memory")
+query("J5_promoted_flag", lambda spark, sf: B.memory(spark, sf).select("memory_id").join(B.read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("memory_id"), F.lit(True).alias("_p")).distinct(), "memory_id", "left").select("memory_id", F.col("_p").isNotNull().alias("promoted")),
+    f"WITH {M} SELECT memory_id, memory_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS promoted FROM memory")
 query("J6_awaiting_promotion", lambda spark, sf: (m := B.memory(spark, sf)).where("category <> 'Process'").join(m.where("hit_count > 4").select("memory_id"), "memory_id", "left_anti").select("memory_id"),
     f"WITH {M} SELECT memory_id FROM memory WHERE category <> 'Process' AND memory_id NOT IN (SELECT memory_id FROM memory WHERE hit_count > 4)")
 
@@ -176,9 +177,13 @@ query("M8_bump_usage", lambda spark, sf: S.bump_usage(B.memory(spark, sf).select
     f"WITH {M} SELECT memory_id, hit_count + CASE WHEN {ACTIVE} AND memory_id IN (SELECT user_id FROM events) THEN 1 ELSE 0 END AS hit_count FROM memory")
 query("M9_flag_stale", lambda spark, sf: S.mark(B.memory(spark, sf).select("memory_id", "stale"), B.memory(spark, sf).where("hit_count = 0"), "memory_id", "stale", F.lit(True)), f"WITH {M} SELECT memory_id, stale OR hit_count = 0 AS stale FROM memory")
 _ENT = lambda m: m.where("category in ('Process', 'ToolUse', 'CodePattern')").select("memory_id", F.concat(F.col("source_session"), F.lit("/"), F.col("category")).alias("entity"))
-query("M6_contradictions", lambda spark, sf: S.contradictions((m := B.memory(spark, sf)).withColumn("body", F.col("summary")), _ENT(m)),
-    f"WITH {M}, e AS (SELECT memory_id, source_session || '/' || category AS entity FROM memory WHERE category IN ('Process', 'ToolUse', 'CodePattern')), p AS (SELECT memory_id, {_any(_low('summary'), T.PROHIBITIONS)} AS no FROM memory WHERE {ACTIVE}) "
-    "SELECT DISTINCT a.memory_id, b.memory_id AS target FROM e a JOIN p pa ON a.memory_id = pa.memory_id JOIN e b ON a.entity = b.entity JOIN p pb ON b.memory_id = pb.memory_id WHERE pa.no <> pb.no")
+_said = lambda spark, sf: B.memory(spark, sf).where("memory_id % 10 = 3").select("memory_id", (F.col("memory_id") + 7).alias("target"))
+query("M6_contradictions", lambda spark, sf: S.all_contradictions((m := B.memory(spark, sf)), _ENT(m), _said(spark, sf)),
+    f"WITH {M}, e AS (SELECT memory_id, source_session || '/' || category AS entity FROM memory WHERE category IN ('Process', 'ToolUse', 'CodePattern')), p AS (SELECT memory_id, {_any(_low('body'), T.PROHIBITIONS)} AS no FROM memory WHERE {ACTIVE}), "
+    "s AS (SELECT memory_id, memory_id + 7 AS target FROM memory WHERE memory_id % 10 = 3) "
+    "SELECT DISTINCT a.memory_id, b.memory_id AS target FROM e a JOIN p pa ON a.memory_id = pa.memory_id JOIN e b ON a.entity = b.entity JOIN p pb ON b.memory_id = pb.memory_id WHERE pa.no <> pb.no UNION SELECT memory_id, target FROM s UNION SELECT target, memory_id FROM s")
+query("M6_flags", lambda spark, sf: S.mark((m := B.memory(spark, sf)).select("memory_id", "status", "contradicted"), S.all_contradictions(m, _ENT(m), _said(spark, sf)).join(m.where(ACTIVE).select("memory_id"), "memory_id", "left_semi"), "memory_id", "contradicted", F.lit(True)).select("memory_id", "contradicted"),
+    f"WITH x AS ({ORACLES['M6_contradictions']}), {M} SELECT memory_id, contradicted OR (status = 'active' AND memory_id IN (SELECT memory_id FROM x)) AS contradicted FROM memory")
 query("M7_relationships", lambda spark, sf: S.relationships(B.memory(spark, sf).withColumn("related_files", F.array(F.concat(F.lit("f"), F.col("memory_id") % 7))).withColumn("related_entities", F.array(F.lit("x"), F.lit("x")))),
     f"WITH {M} SELECT memory_id, 'category' AS relation_kind, category AS target FROM memory UNION SELECT memory_id, 'session', source_session FROM memory UNION SELECT memory_id, 'file', 'f' || (memory_id % 7) FROM memory UNION SELECT memory_id, 'entity', 'x' FROM memory")
 query("M10_replace_chunks", lambda spark, sf: S.replace_by_path((d := B.read(spark, sf, "documents").select(F.col("source").alias("path"), "doc_id", F.lit("old").alias("age"))), d.where("path in ('src1', 'src2')").withColumn("age", F.lit("new"))),
@@ -201,9 +206,6 @@ query("M25_cursor_diff", lambda spark, sf: S.cursor_diff(m := _ver(B.memory(spar
     f"WITH {M} SELECT memory_id, op FROM (SELECT memory_id, CASE WHEN status <> 'active' THEN CASE WHEN store = 'project' THEN 'supersede' END WHEN store <> 'project' THEN 'create' WHEN substr(sha256(category), 1, 16) <= '8' THEN 'update' END AS op FROM memory) WHERE op IS NOT NULL")
 query("M26_route_ops", lambda spark, sf: S.route_ops((m := _ver(B.memory(spark, sf))).select(F.col("memory_id").alias("op_id"), (F.col("memory_id") * 2).alias("memory_id"), F.when(F.col("memory_id") % 5 == 0, "supersede").otherwise("upsert").alias("kind"), "version"), m, B.memory(spark, sf).where("hit_count = 7").select(F.col("memory_id").alias("op_id"))),
     f"WITH {M} SELECT a.memory_id AS op_id, CASE WHEN a.hit_count = 7 THEN 'skip' WHEN a.memory_id % 5 = 0 THEN CASE WHEN b.memory_id IS NOT NULL THEN 'flag' ELSE 'skip' END WHEN b.memory_id IS NULL THEN 'candidate' WHEN a.category = b.category THEN 'same' ELSE 'conflict' END AS route FROM memory a LEFT JOIN memory b ON b.memory_id = a.memory_id * 2")
-memory_query("A16_anchor_strength", lambda m: m.groupBy("source_session").agg(F.max("confidence").alias("strength")), "SELECT source_session, max(confidence) AS strength FROM memory GROUP BY source_session")
-
-
 def eval_scores(spark, sf):
     """Precision and recall of one keyword rule against the quality labels, per source."""
     rows = B.memory(spark, sf).select("source_session", F.col("stale").alias("expected"), T.version_sensitive("summary").alias("found"))

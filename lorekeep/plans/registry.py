@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, retrieval, reviews, texts
+from . import analytics, exchange, retrieval, reviews, texts, workspace
 
-_MODULES = (texts, analytics, retrieval, reviews)
+_MODULES = (texts, analytics, retrieval, reviews, workspace, exchange)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import extraction as X
 from lorekeep.operators import graph as G
 from lorekeep.operators import search as R
+from lorekeep.operators import state as S
+from lorekeep.operators import workspace as W
 from lorekeep.sources import files as files_
 
 from . import bindings as B
@@ -74,9 +75,9 @@ query("U2_vector_precedence", lambda spark, sf: (c := scan(spark, sf)).where("la
     f"WITH {_COS} SELECT label, round(max(cosine), 6) AS best FROM cs WHERE label % 2 = 0 OR label - 1 NOT IN (SELECT label FROM cs WHERE label % 2 = 0) GROUP BY label")
 query("K7_downweight_foreign", lambda spark, sf: R.downweight_foreign(hits(spark, sf), "dev1", 0.85).select("memory_id", F.round("score", 4).alias("weighted")),
     f"WITH {M}, {_HITS} SELECT memory_id, round(CASE WHEN coalesce(origin_device, '') IN ('', 'dev1') THEN CAST(score AS DOUBLE) ELSE score * 0.85 END, 4) AS weighted FROM hits")
-_ranked = lambda spark, sf: scan(spark, sf).orderBy("vec_id").limit(200).withColumn("rank", F.row_number().over(Window.orderBy("vec_id")))
-_RANKED = f"{_COS}, rk AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM (SELECT * FROM cs ORDER BY vec_id LIMIT 200))"
-query("K11_rerank_window", lambda spark, sf: R.rerank_window(_ranked(spark, sf), 20, ["vec_id"]).select("vec_id", "position"),
+_ranked = lambda spark, sf: R.ranked(scan(spark, sf), ["vec_id"], "rank")
+_RANKED = f"{_COS}, rk AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM cs)"
+query("K11_rerank_window", lambda spark, sf: R.rerank_window(scan(spark, sf), 20, ["vec_id"]).select("vec_id", "position"),
     f"WITH {_RANKED} SELECT vec_id, row_number() OVER (ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, CASE WHEN rank <= 20 THEN -cosine END, rank) AS position FROM rk")
 query("K12_rerank_scored", lambda spark, sf: R.rerank_scored(_ranked(spark, sf).withColumn("cosine", F.when(F.col("label") > 2, F.col("cosine"))), 50).select("vec_id", "position"),
     f"WITH {_RANKED}, s AS (SELECT *, row_number() OVER (ORDER BY rank) AS seat, row_number() OVER (ORDER BY cosine DESC, rank) AS k FROM rk WHERE rank <= 50 AND label > 2) SELECT a.vec_id, b.rank AS position FROM s a JOIN s b ON a.k = b.seat UNION ALL SELECT vec_id, rank FROM rk WHERE rank > 50 OR coalesce(label, 0) <= 2")
@@ -88,10 +89,14 @@ query("R9_accepted_match", lambda spark, sf: hits(spark, sf).select("memory_id",
     f"WITH {M}, {_HITS}, o AS (SELECT memory_id, CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END AS o FROM (SELECT memory_id, {_TOKENS('summary')} AS a, {_TOKENS(chr(39) + B.QUERY + chr(39))} AS b FROM hits)) SELECT memory_id, round(o, 6) AS overlap, o >= 0.6 AS duplicate FROM o ORDER BY o.o DESC, memory_id LIMIT 1")
 query("R12_passages", lambda spark, sf: B.read(spark, sf, "documents").where("source = 'src1'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "body")).select("doc_id", F.col("ordinal").cast("long"), "body"),
     "SELECT doc_id, unnest(range(len(t))) AS ordinal, unnest(t) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE source = 'src1')")
-query("R11_relationships", lambda spark, sf: B.memory(spark, sf).where("memory_id = 7").select(F.inline(F.array(F.struct(F.lit("category").alias("kind"), F.col("category").alias("target")), F.struct(F.lit("session").alias("kind"), F.col("source_session").alias("target"))))),
-    f"WITH {M} SELECT 'category' AS kind, category AS target FROM memory WHERE memory_id = 7 UNION ALL SELECT 'session', source_session FROM memory WHERE memory_id = 7")
-query("R8_embed_gate", lambda spark, sf: B.memory(spark, sf).select("memory_id", F.md5("body").alias("f")).join(B.read(spark, sf, "documents").select(F.col("doc_id").alias("memory_id"), F.when(F.col("source") == "src2", "stale").alias("f")).join(B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("memory_id")), "memory_id"), ["memory_id", "f"], "left_anti").select("memory_id"),
-    f"WITH {M} SELECT memory_id FROM memory")
+_rel = lambda m: S.relationships(m.withColumn("related_files", F.array(F.concat(F.lit("f"), F.col("memory_id") % 7))).withColumn("related_entities", F.array(F.concat(F.lit("x"), F.col("memory_id") % 5), F.lit("x0"))))
+_REL = "rel AS (SELECT memory_id, 'category' AS relation_kind, category AS target FROM memory UNION SELECT memory_id, 'session', source_session FROM memory UNION SELECT memory_id, 'file', 'f' || (memory_id % 7) FROM memory UNION SELECT memory_id, 'entity', 'x' || (memory_id % 5) FROM memory UNION SELECT memory_id, 'entity', 'x0' FROM memory)"
+query("R11_relationships", lambda spark, sf: _rel(B.memory(spark, sf)).where("memory_id = 7").orderBy("relation_kind", "target").select("relation_kind", "target"),
+    f"WITH {M}, {_REL} SELECT relation_kind, target FROM rel WHERE memory_id = 7 ORDER BY relation_kind, target")
+query("J2_shared_entities", lambda spark, sf: (r := _rel(B.memory(spark, sf)).where("relation_kind = 'entity' and target <> 'x0'")).where("memory_id in (1, 2, 3)").select("target", F.col("memory_id").alias("asked")).join(r.join(B.memory(spark, sf).where(_ACTIVE).select("memory_id"), "memory_id"), "target").where("memory_id <> asked").select("asked", "memory_id").distinct(),
+    f"WITH {M}, {_REL}, e AS (SELECT * FROM rel WHERE relation_kind = 'entity' AND target <> 'x0') SELECT DISTINCT a.memory_id AS asked, b.memory_id FROM e a JOIN e b ON a.target = b.target AND a.memory_id <> b.memory_id JOIN memory m ON m.memory_id = b.memory_id WHERE a.memory_id IN (1, 2, 3) AND m.status = 'active'")
+query("R8_embed_gate", lambda spark, sf: (m := B.memory(spark, sf).select("memory_id", F.md5(F.col("body").cast("binary")).alias("fingerprint"))).join(m.join(B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("memory_id")), "memory_id").select("memory_id", F.when(F.col("memory_id") % 3 == 0, F.lit("stale")).otherwise(F.col("fingerprint")).alias("fingerprint")), ["memory_id", "fingerprint"], "left_anti").select("memory_id"),
+    f"WITH {M} SELECT memory_id FROM memory WHERE NOT (memory_id IN (SELECT vec_id FROM embeddings) AND memory_id % 3 <> 0)")
 
 # graph
 _one = lambda spark, node: spark.createDataFrame([(node,)], "node string")
@@ -105,9 +110,9 @@ query("G2_focus_distances", lambda spark, sf: G.hops(G.undirected(B.edges(spark,
 query("G3_path_length", lambda spark, sf: spark.createDataFrame([(len(G.shortest_path(B.edges(spark, sf), "n1", "n2")) - 1,)], "length long"), f"{_BFS('n1', 6)} SELECT CAST(coalesce(min(h), -1) AS BIGINT) AS length FROM w WHERE node = 'n2'")
 _DEP = "WITH RECURSIVE " + B.EDGES + ", ce AS (SELECT dst, src, heuristic FROM edges WHERE kind IN ('calls', 'uses')), w(node, h, v) AS (SELECT 's3', 0, false UNION SELECT ce.src, h + 1, v OR ce.heuristic FROM w JOIN ce ON ce.dst = w.node WHERE h < 3), mh AS (SELECT node, min(h) AS h FROM w GROUP BY node), r AS (SELECT w.node, w.h AS hops, bool_and(v) AS via_heuristic FROM w JOIN mh ON w.node = mh.node AND w.h = mh.h GROUP BY w.node, w.h)"
 query("G5_dependents", lambda spark, sf: G.dependents(B.edges(spark, sf), _one(spark, "s3")), f"{_DEP} SELECT node, hops, via_heuristic FROM r")
-query("G6_impact", lambda spark, sf: G.impact(G.dependents(B.edges(spark, sf), _one(spark, "s3"))).select("node", "hops", "tier"),
-    f"{_DEP} SELECT node, hops, CASE hops WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS tier FROM r WHERE hops > 0 ORDER BY hops, node LIMIT 20")
-query("G4_tests_of", lambda spark, sf: B.edges(spark, sf).where("dst = 'p5' and kind = 'uses'").select("src"), f"WITH {B.EDGES} SELECT src FROM edges WHERE dst = 'p5' AND kind = 'uses'")
+query("G6_impact", lambda spark, sf: W.change_impact(G.dependents(B.edges(spark, sf), B.nodes(spark, sf).where("shard = 3 and kind = 'type'").select("node")), B.nodes(spark, sf)).select("node", "hops", "tier"),
+    _DEP.replace("SELECT 's3', 0, false UNION", "SELECT node, 0, false FROM nodes WHERE shard = 3 AND kind = 'type' UNION").replace("WITH RECURSIVE ", f"WITH RECURSIVE {B.NODES}, ") + ", sy AS (SELECT r.* FROM r JOIN nodes USING (node) WHERE kind IN ('function', 'type')) "
+    "SELECT node, hops, 'Direct' AS tier FROM sy WHERE hops = 0 UNION ALL SELECT * FROM (SELECT node, hops, CASE hops WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS tier FROM sy WHERE hops > 0 ORDER BY hops, node LIMIT 20)")
 _anch = lambda spark, sf: B.memory(spark, sf).select("memory_id", F.concat(F.lit("p"), F.col("hit_count") * 100 + F.floor(F.col("confidence") * 100)).alias("node"), F.col("confidence").alias("strength"))
 _ANCH = "an AS (SELECT memory_id, 'p' || CAST(hit_count * 100 + floor(confidence * 100) AS BIGINT) AS node, confidence AS strength FROM memory)"
 query("J7_anchored_memories", lambda spark, sf: _anch(spark, sf).join(B.nodes(spark, sf).select("node", "name"), "node").select("memory_id", "node", "name"), f"WITH {M}, {B.NODES}, {_ANCH} SELECT memory_id, node, name FROM an JOIN nodes USING (node)")
@@ -135,8 +140,8 @@ query("F9_span_overlap", lambda spark, sf: G.span_overlap(B.read(spark, sf, "ord
     "SELECT o_orderkey AS item FROM orders WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM nation WHERE o_custkey <= n_nationkey * 10 + 2 AND n_nationkey * 10 <= o_custkey + 5)")
 query("J14_innermost_definition", lambda spark, sf: G.innermost(B.read(spark, sf, "nation").select(F.lit("a").alias("path"), (F.col("n_nationkey") * 7).cast("long").alias("at")), B.read(spark, sf, "supplier").select(F.lit("a").alias("path"), F.col("s_suppkey").alias("item"), F.col("s_suppkey").alias("byte_start"), (F.col("s_suppkey") + 9).alias("byte_end"))),
     "SELECT 'a' AS path, CAST(n_nationkey * 7 AS BIGINT) AS at, max_by(s_suppkey, s_suppkey) AS item FROM nation JOIN supplier ON s_suppkey <= n_nationkey * 7 AND n_nationkey * 7 < s_suppkey + 9 GROUP BY 1, 2")
-query("J12_doc_mentions", lambda spark, sf: B.memory(spark, sf).select("memory_id", F.explode(F.regexp_extract_all("summary", F.lit("`([^`]+)`"), F.lit(1))).alias("name")).join(spark.createDataFrame([("parse(x, y)", "p1"), ("other", "p2")], "name string, node string"), "name").select("memory_id", "node").distinct(),
-    f"WITH {M} SELECT DISTINCT memory_id, 'p1' AS node FROM memory WHERE list_contains(regexp_extract_all(summary, '`([^`]+)`', 1), 'parse(x, y)')")
+query("J12_doc_mentions", lambda spark, sf: B.read(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" `small ring` and `Supplier#"), F.lpad((F.col("doc_id") % 150).cast("string"), 9, "0"), F.lit("`")).alias("text")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), F.lit(1))).alias("name")).distinct().join(B.nodes(spark, sf).where("kind in ('function', 'type')").select("name", "node"), "name").select("doc_id", "node").distinct(),
+    f"WITH {B.NODES}, t AS (SELECT doc_id, unnest(regexp_extract_all(text || ' `small ring` and `Supplier#' || lpad(CAST(doc_id % 150 AS VARCHAR), 9, '0') || '`', '`([^`]+)`', 1)) AS name FROM documents) SELECT DISTINCT doc_id, node FROM t JOIN nodes USING (name) WHERE kind IN ('function', 'type')")
 query("J13_containment", lambda spark, sf: B.read(spark, sf, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"), F.lit(1.0).alias("confidence")), "SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst, CAST(1.0 AS DOUBLE) AS confidence FROM supplier")
 query("J1_hits_by_memory", lambda spark, sf: hits(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.max("score").alias("best")), f"WITH {M}, {_HITS} SELECT category, count(*) AS n, max(score) AS best FROM hits GROUP BY category")
 
