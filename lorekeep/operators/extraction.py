@@ -5,12 +5,16 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lorekeep.functions import text as T
 
+from .graph import resolve_calls
+from .stages import settle
+from .workspace import tests_of_functions
+
 WINDOW = 30
 
 
@@ -114,15 +118,60 @@ def parse_python(path: str, source: str) -> tuple[list[tuple], list[tuple]]:
     return items, calls
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """path, kind, name, line_start, line_end of the definitions of Python files."""
+_FACTS = "path string, what string, kind string, name string, line_start long, line_end long"
+
+
+def _facts(files: DataFrame) -> DataFrame:
+    """Definitions (``what`` = item) and calls (name calls kind) of Python files, each parsed once."""
 
     def run(batches):
         for batch in batches:
-            rows = [(p, *item) for p, t in zip(batch["path"], batch["text"], strict=True) for item in parse_python(p, t or "")[0]]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "line_start", "line_end"])
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                items, calls = parse_python(path, text or "")
+                rows += [(path, "item", *item) for item in items]
+                rows += [(path, "call", callee, caller, None, None) for caller, callee in calls]
+            yield pd.DataFrame(rows, columns=["path", "what", "kind", "name", "line_start", "line_end"]).astype({"line_start": "Int64", "line_end": "Int64"})
+
+    return files.select("path", "text").mapInPandas(run, _FACTS)
+
 
-    return files.select("path", "text").mapInPandas(run, "path string, kind string, name string, line_start long, line_end long")
+def parse_files(files: DataFrame) -> DataFrame:
+    """path, kind, name, line_start, line_end of the definitions of Python files."""
+    return _facts(files).where("what = 'item'").drop("what")
+
+
+def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, kind, path) and edges (src, dst, kind, confidence) of Python files.
+
+    Files contain their definitions; calls and tests lead to the only function of
+    the name in the file, or else anywhere.
+    """
+    facts = settle(_facts(files), "facts")
+    items = facts.where("what = 'item'")
+    nodes = items.select(F.col("name").alias("node"), "kind", "path").unionAll(files.select(F.col("path").alias("node"), F.lit("file"), "path"))
+    functions = items.where("kind = 'function'").select(F.col("path").alias("file"), F.col("name").alias("node"), F.element_at(F.split("name", "::"), -1).alias("name"))
+    calls = facts.where("what = 'call'").select(F.col("path").alias("file"), F.col("name").alias("caller"), F.col("kind").alias("callee")).distinct()
+    inside = items.select(F.col("path").alias("src"), F.col("name").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+    called = resolve_calls(calls, functions).select("src", "dst", F.lit("calls").alias("kind"), "confidence")
+    tests = calls.join(items.where("kind = 'test'").select(F.col("name").alias("caller")), "caller", "left_semi").withColumnRenamed("caller", "test")
+    tested = tests_of_functions(tests, functions).select("src", "dst", F.lit("tested_by").alias("kind"), "confidence")
+    return nodes, inside.unionAll(called).unionAll(tested)
+
+
+def reindex(nodes: DataFrame, present: DataFrame, changed: DataFrame) -> DataFrame:
+    """node, path, state after a run: nodes of files that are gone are pruned, of changed files read anew, others kept."""
+    fresh = ingest(changed)[0]
+    here = present.select("path", F.lit(True).alias("_here"))
+    old = nodes.join(changed.select("path"), "path", "left_anti").join(here, "path", "left")
+    kept = old.select("node", "path", F.when(F.col("_here"), "kept").otherwise("pruned").alias("state"))
+    return kept.unionAll(fresh.select("node", "path", F.lit("indexed")))
+
+
+def search_state(chunks: Column, embedder: Column, reachable: Column, vectors: Column, matching: Column) -> Column:
+    """The first thing that stands in the way of a document search, or Searched."""
+    ladder = F.when(chunks == 0, "NoDocChunks").when(~embedder, "EmbeddingsNotConfigured").when(~reachable, "EndpointUnavailable")
+    return ladder.when(vectors == 0, "NoDocVectors").when(matching == 0, "IndexMismatch").otherwise("Searched")
 
 
 def doc_search_state(chunks: int, embedder: bool, reachable: bool, vectors: int, matching: int) -> str:

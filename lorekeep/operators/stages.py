@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or where it is unset (tests, local mode) one temporary folder a session."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lorekeep.stages.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("lorekeep.stages.dir", base)
-    path = f"{base.rstrip('/')}/lorekeep-{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back."""
+    path = f"{folder(df.sparkSession)}/lorekeep-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lorekeep.functions import hashing as H
 from lorekeep.functions import text as T
 
 from . import bindings as B
@@ -109,16 +108,18 @@ over_memory(
 ORACLES["T31_package_and_stem"] = ORACLES["T31_package_and_stem"].removesuffix(" FROM memory")
 _EXTS = ("py", ".RS", "tsx", "hpp", "zig", "sh")
 _ext = lambda: F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("memory_id") % len(_EXTS)).cast("int") + 1)
-over_memory("T11_extension_language", f"['python', 'rust', 'typescript', 'cpp', NULL, 'bash'][CAST(memory_id % {len(_EXTS)} AS INT) + 1] AS programming", programming=lambda: T.extension_language(_ext()))
-over_memory("T32_verdict", "CASE WHEN memory_id % 3 = 0 THEN 'no_longer_true' WHEN memory_id % 3 = 1 THEN 'still_current' ELSE 'unknown' END AS verdict",
-    verdict=lambda: T.verdict(F.when(F.col("memory_id") % 3 == 0, "It is NO LONGER TRUE, not still_current").when(F.col("memory_id") % 3 == 1, "still current").otherwise("cannot say")))
+_WORDY = "regexp_extract(summary, '([A-Za-z]+)[^A-Za-z]*$', 1)"
+over_memory("T11_extension_language", f"CASE lower(x) WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'tsx' THEN 'typescript' WHEN 'hpp' THEN 'cpp' WHEN 'sh' THEN 'bash' END AS programming FROM (SELECT memory_id, CASE WHEN memory_id % 2 = 0 THEN {_list(_EXTS).replace(_q('.RS'), _q('RS'))}[CAST(memory_id % {len(_EXTS)} AS INT) + 1] ELSE {_WORDY} END AS x FROM memory)",
+    programming=lambda: T.extension_language(F.when(F.col("memory_id") % 2 == 0, _ext()).otherwise(F.regexp_extract("summary", "([A-Za-z]+)[^A-Za-z]*$", 1))))
+ORACLES["T11_extension_language"] = ORACLES["T11_extension_language"].removesuffix(" FROM memory")
+over_memory("T32_verdict", f"CASE WHEN {_any(_low('said'), ('no_longer_true', 'no longer true'))} THEN 'no_longer_true' WHEN {_any(_low('said'), ('still_current', 'still current'))} THEN 'still_current' ELSE 'unknown' END AS verdict FROM (SELECT memory_id, summary || CASE memory_id % 5 WHEN 0 THEN ': this is NO LONGER TRUE, not still_current' WHEN 1 THEN ' Still current.' ELSE '' END AS said FROM memory)",
+    verdict=lambda: T.verdict(F.concat("summary", F.when(F.col("memory_id") % 5 == 0, ": this is NO LONGER TRUE, not still_current").when(F.col("memory_id") % 5 == 1, " Still current.").otherwise(""))))
+ORACLES["T32_verdict"] = ORACLES["T32_verdict"].removesuffix(" FROM memory")
 _RAW = ("code pattern", " Security-Review ", "best practice for tests", "Gotcha", "cli usage", "doc_update", "workflow", "Weird Thing", "tool_use")
 _raw = lambda: F.element_at(F.array(*map(F.lit, _RAW)), (F.col("memory_id") % len(_RAW)).cast("int") + 1)
 _names = ("CodePattern", "SecurityWarning", "TestingStrategy", "AntiPattern", "ToolingNote", "DocumentationUpdate", "Process", "Weird Thing", "ToolUse")
 over_memory("T18_map_category", f"{_list(_names)}[CAST(memory_id % {len(_RAW)} AS INT) + 1] AS mapped", mapped=lambda: T.category(_raw()))
 QUERIES["T15_quality"] = lambda spark, sf: B.memory(spark, sf).select("memory_id", T.quality_label(F.col("category"), F.concat(F.col("summary"), F.lit("\n"))).alias("quality"))
-QUERIES["T2_canonical_hash"] = lambda spark, sf: B.memory(spark, sf).select("memory_id", H.fnv_hex(T.canonical("summary")).alias("hash"))
-QUERIES["T6_fingerprint"] = lambda spark, sf: B.memory(spark, sf).select("memory_id", H.fingerprint_hex(F.array("category", "summary")).alias("fingerprint"))
 
 # lines of transcripts
 _strip = lambda x: f"regexp_replace({x}, '(?i)^(user|assistant|system|tool):\\s*', '')"

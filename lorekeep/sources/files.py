@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from lorekeep.functions import hashing as H
+from lorekeep.functions import text as T
+
 # Folders that hold no documents of the project, and the size of a chunk.
 SKIPPED = ("target", "node_modules", "dist", "build", ".venv", "venv")
 MAX_CHUNK_CHARS = 1600
@@ -122,6 +125,12 @@ def bullets(text: pd.Series) -> pd.Series:
     return text.map(lambda t: lesson_bullets(t or ""))
 
 
+def import_transcripts(rows: DataFrame, raw: str, source: str, form: str) -> DataFrame:
+    """``rows`` with redacted text, the session id named by it, and the format's label."""
+    clean = T.redact(raw)
+    return rows.withColumn("redacted", clean).withColumn("session_id", H.fnv_hex(F.concat(F.lit(f"{source}\n"), "redacted"))).withColumn("format", F.lit(form))
+
+
 def json_payload(reply: str | Column) -> Column:
     """The JSON object within a model's reply: after thoughts, within fences, between the outer braces."""
     x = F.regexp_replace(reply, r"(?s)^.*</think>", "")
