@@ -57,12 +57,14 @@ RESOLUTIONS = ("fixed", "fix was", "fix:", "resolved", "works now", "passing", "
 CORRECTIONS = ("no,", "no ", "actually", "instead", "don't", "do not", "stop ", "that's wrong", "that is wrong", "not what")
 CODE_MARKERS = ("fn ", "=>", "impl ", "pub use", "pub fn", "#[", "Result<", "Box<dyn", "{reason}", ":new(", "let mut ", "});")
 #: Exact names first, then words looked for in this order.
+# Names of categories and the words that stand for them.
 CATEGORY_NAMES = {
     "user_preference": "UserPreference", "project_convention": "ProjectConvention", "architecture_rule": "ArchitectureRule",
     "code_pattern": "CodePattern", "debugging_recipe": "DebuggingRecipe", "tooling_note": "ToolingNote", "testing_strategy": "TestingStrategy",
     "deployment_rule": "DeploymentRule", "anti_pattern": "AntiPattern", "security_warning": "SecurityWarning",
     "documentation_update": "DocumentationUpdate", "candidate_skill": "CandidateSkill", "process": "Process", "tool_use": "ToolUse",
 }
+# Names of categories and the words that stand for them.
 CATEGORY_WORDS = (
     (("convention",), "ProjectConvention"), (("architecture",), "ArchitectureRule"), (("security",), "SecurityWarning"), (("deploy",), "DeploymentRule"),
     (("test",), "TestingStrategy"), (("doc",), "DocumentationUpdate"), (("anti", "pitfall", "gotcha", "best_practice", "avoid", "mistake"), "AntiPattern"),
@@ -70,6 +72,7 @@ CATEGORY_WORDS = (
     (("preference",), "UserPreference"), (("pattern",), "CodePattern"),
 )
 #: Redaction rules in order: a span goes to the first rule that matches it.
+# The rules of redaction, in their order.
 REDACTIONS = (
     ("private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
     ("aws_access_key_id", r"\b(?:A3T[A-Z0-9]|AKIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{16}\b"),
