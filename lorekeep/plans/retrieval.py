@@ -81,8 +81,8 @@ query("K11_rerank_window", lambda spark, sf: R.rerank_window(scan(spark, sf), 20
     f"WITH {_RANKED} SELECT vec_id, row_number() OVER (ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, CASE WHEN rank <= 20 THEN -cosine END, rank) AS position FROM rk")
 query("K12_rerank_scored", lambda spark, sf: R.rerank_scored(_ranked(spark, sf).withColumn("cosine", F.when(F.col("label") > 2, F.col("cosine"))), 50).select("vec_id", "position"),
     f"WITH {_RANKED}, s AS (SELECT *, row_number() OVER (ORDER BY rank) AS seat, row_number() OVER (ORDER BY cosine DESC, rank) AS k FROM rk WHERE rank <= 50 AND label > 2) SELECT a.vec_id, b.rank AS position FROM s a JOIN s b ON a.k = b.seat UNION ALL SELECT vec_id, rank FROM rk WHERE rank > 50 OR coalesce(label, 0) <= 2")
-query("J18_near_duplicates", lambda spark, sf: R.near_duplicate_pairs(B.read(spark, sf, "benchmark"), "item_id", "text", 0.4),
-    f"WITH s AS (SELECT item_id, list_sort({_TOKENS('text')}) AS t FROM benchmark), c AS (SELECT t, min(item_id) AS id FROM s WHERE len(t) > 0 GROUP BY t) SELECT a, b, round(n / m, 6) AS overlap FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS n, least(len(x.t), len(y.t)) AS m FROM c x JOIN c y ON x.id < y.id) WHERE n >= 0.4 * m AND n > 0")
+query("J18_near_duplicates", lambda spark, sf: R.near_duplicate_pairs(B.read(spark, sf, "benchmark"), "item_id", "text", 0.1),
+    f"WITH s AS (SELECT item_id, list_sort({_TOKENS('text')}) AS t FROM benchmark), c AS (SELECT t, min(item_id) AS id FROM s WHERE len(t) > 0 GROUP BY t) SELECT a, b, round(n / m, 6) AS overlap FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS n, least(len(x.t), len(y.t)) AS m FROM c x JOIN c y ON x.id < y.id) WHERE n >= 0.1 * m AND n > 0")
 query("T4_similarity", lambda spark, sf: B.memory(spark, sf).select("memory_id", F.round(T.overlap(T.token_set("summary"), T.token_set(F.lit("Never acquire locks before the service timeout"))), 6).alias("overlap")),
     f"WITH {M} SELECT memory_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END, 6) AS overlap FROM (SELECT memory_id, {_TOKENS('summary')} AS a, {_TOKENS(chr(39) + 'Never acquire locks before the service timeout' + chr(39))} AS b FROM memory)")
 query("R9_accepted_match", lambda spark, sf: hits(spark, sf).select("memory_id", T.overlap(T.token_set("summary"), T.token_set(F.lit(B.QUERY))).alias("o")).orderBy(F.desc("o"), "memory_id").limit(1).select("memory_id", F.round("o", 6).alias("overlap"), (F.col("o") >= 0.6).alias("duplicate")),
