@@ -31,14 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, released, sampled
+from .spelling import Rows, slices
 
 MAX_TEXTS, SHARDS, MAX_BYTES = 16, 16, 2 << 20
 ROUNDS = 3
 UNKNOWN = 1e-7
-#: Distinct chunks (between white space) that a task remembers between batches.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks (between white space), and characters of them, that a task remembers between batches.
+CACHE_CHUNKS, CACHE_CHARS = 400_000, 8_000_000
+#: Characters of text that are cut into chunks together, and of words that are summed together.
+BATCH_CHARS, SHORT = 4_000_000, 24
 SPAN = 20
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS, _LINES = regex.compile(r"\p{L}+"), regex.compile(r"\p{L}+|\n")
 
 
 @dataclass(frozen=True)
@@ -133,22 +136,33 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS, pr
 
 
 class Scorer:
-    """Log-probabilities of distinct words and chunks, remembered; texts are sums of chunks."""
+    """Log-probabilities of distinct words and chunks, remembered; texts are sums of chunks.
 
-    def __init__(self, model: Model):
+    Pieces of two letters or more form a trie, as a table of states by letter.
+    """
+
+    def __init__(self, model: Model, cache_chunks: int = CACHE_CHUNKS, cache_chars: int = CACHE_CHARS):
         self.model, self.n = model, len(model.langs)
         self.number = {p: k for k, p in enumerate(model.pieces)}
-        # every prefix of a piece, with the piece's number or -1: a search that leaves it ends
-        self.trie = {p[:k]: -1 for p in model.pieces for k in range(1, len(p))} | self.number
         self.longest = max(map(len, model.pieces), default=1)
         self.prob = np.array([*model.pieces.values(), (UNKNOWN,) * self.n]).reshape(-1, max(1, self.n))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.rows: dict[str, int] = {}
-        self.word_logs = np.zeros((0, self.n))
-        self.table = np.zeros((0, self.n + 1))
+        unknown = len(self.prob) - 1
+        long = [p for p in model.pieces if len(p) > 1]
+        letters = sorted({c for p in long for c in p})
+        self.code = np.zeros(0x110000, dtype=np.int32)  # letters of long pieces from 1, then other single pieces
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        others = [p for p in model.pieces if len(p) == 1 and not self.code[ord(p)]]
+        self.code[[ord(c) for c in others]] = np.arange(len(letters) + 1, len(letters) + len(others) + 1)
+        self.single = np.array([unknown, *(self.number.get(c, unknown) for c in (*letters, *others))])
+        states = {p: k for k, p in enumerate(sorted({p[:k] for p in long for k in range(1, len(p) + 1)}), 1)}
+        self.step = np.zeros((len(states) + 1, len(letters) + 1), dtype=np.int32)
+        self.piece = np.full(len(states) + 1, -1, dtype=np.int64)
+        for prefix, k in states.items():
+            self.step[states.get(prefix[:-1], 0), self.code[ord(prefix[-1])]] = k
+            if len(prefix) > 1:
+                self.piece[k] = self.number.get(prefix, -1)
+        self.words = Rows(self.forward, cache_chunks, cache_chars, self.n)
+        self.chunks = Rows(self.learn, cache_chunks, cache_chars, self.n + 1)
 
     def word(self, word: str) -> np.ndarray:
         """One long word: the forward sum, rescaled as it goes."""
@@ -173,68 +187,64 @@ class Scorer:
     def forward(self, words: list[str]) -> np.ndarray:
         """Rows of log-probabilities: the sums over all segmentations, for all words step by step."""
         out = np.zeros((len(words), self.n))
-        short = [k for k, w in enumerate(words) if len(w) <= 24]
-        for k, w in enumerate(words):
-            if len(w) > 24:
-                out[k] = self.word(w)
-        if not short:
-            return out
-        arcs: list[list[list[int]]] = [[[] for _ in range(self.longest + 1)] for _ in range(25)]
-        get, unknown = self.trie.get, len(self.prob) - 1
-        for at, k in enumerate(short):
-            w = words[k]
-            n = len(w)
-            row = at << 20
-            for j in range(n):
-                p = get(w[j])
-                arcs[j + 1][1].append(row | (unknown if p is None or p < 0 else p))
-                i = j + 2
-                while p is not None and i <= n:
-                    p = get(w[j:i])
-                    if p is not None and p >= 0:
-                        arcs[i][i - j].append(row | p)
-                    i += 1
-        sums = np.zeros((25, len(short), self.n))
-        sums[0] = 1.0
-        for i in range(1, 25):
-            for size in range(1, min(i, self.longest) + 1):
-                if arcs[i][size]:
-                    pair = np.array(arcs[i][size], dtype=np.int64)
-                    at = pair >> 20
-                    sums[i, at] += sums[i - size, at] * self.prob[pair & 0xFFFFF]
-        ends = np.array([len(words[k]) for k in short])
-        out[short] = np.log(sums[ends, np.arange(len(short))])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for k in np.flatnonzero(sizes > SHORT).tolist():
+            out[k] = self.word(words[k])
+        short = np.flatnonzero(sizes <= SHORT)
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        for s in range(0, len(short), 20_000):
+            part = short[s : s + 20_000]
+            out[part] = self._together([words[k] for k in part.tolist()], sizes[part])
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        parts = [words_of(c) for c in chunks]
-        new = list({w for p in parts for w in p if w not in self.words})
-        for i in range(0, len(new), 20_000):
-            now = new[i : i + 20_000]
-            base = len(self.words)
-            self.words.update(zip(now, range(base, base + len(now)), strict=True))
-            self.word_logs = np.concatenate([self.word_logs, self.forward(now)])
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        flat = np.fromiter((self.words[w] for p in parts for w in p), dtype=np.int64, count=int(sizes.sum()))
+    def _together(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Words of falling length: from each start the pieces are followed through the trie for all of them."""
+        most = int(sizes[0])
+        flat = self.code[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
+        grid = np.zeros((len(words), most), dtype=np.int32)
+        grid[np.arange(most) < sizes[:, None]] = flat
+        sums = np.zeros((most + 1, len(words), self.n))
+        sums[0] = 1.0
+        width = self.step.shape[1]
+        for start in range(most):
+            rows = np.arange(int((sizes > start).sum()))
+            base, codes = sums[start], grid[rows, start]
+            sums[start + 1, rows] += base[rows] * self.prob[self.single[codes]]
+            state = self.step[0, np.where(codes < width, codes, 0)]
+            rows, state = rows[state > 0], state[state > 0]
+            at = start + 1
+            while len(rows) and at < most:
+                more = sizes[rows] > at
+                rows, state = rows[more], state[more]
+                codes = grid[rows, at]
+                state = self.step[state, np.where(codes < width, codes, 0)]
+                rows, state = rows[state > 0], state[state > 0]
+                piece = self.piece[state]
+                hit = piece >= 0
+                sums[at + 1, rows[hit]] += base[rows[hit]] * self.prob[piece[hit]]
+                at += 1
+        return np.log(sums[sizes, np.arange(len(words))])
+
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """Rows of chunks: the sums of their words' logs, and how many words they have."""
+        # all chunks in one pass, one to a line
+        parts = _LINES.findall("\n".join(chunks).lower() + "\n")
+        ends = np.fromiter((p == "\n" for p in parts), dtype=bool, count=len(parts))
+        own = self.words.numbered([["▁" + p for p in parts if p != "\n"]])[0]
+        sizes = np.diff(np.flatnonzero(ends), prepend=-1) - 1
         rows = np.zeros((len(chunks), self.n + 1))
-        np.add.at(rows[:, : self.n], np.repeat(np.arange(len(chunks)), sizes), self.word_logs[flat])
+        sums = np.concatenate([np.zeros((1, self.n)), np.cumsum(self.words.table[own], axis=0)])
+        last = np.cumsum(sizes)
+        rows[:, : self.n] = sums[last] - sums[last - sizes]
         rows[:, self.n] = sizes
-        base = len(self.rows)
-        self.rows.update(zip(chunks, range(base, base + len(chunks)), strict=True))
-        self.table = np.concatenate([self.table, rows])
+        return rows
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.n:
             return [("und", 0.0)] * len(texts)
-        cut = [(t or "").split() for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.rows})
-        if len(self.rows) + len(new) > CACHE_CHUNKS:
-            self._forget()
-            new = list({c for chunks in cut for c in chunks})
-        self.learn(new)
-        get, priors, out = self.rows.__getitem__, np.array(self.model.priors), []
-        for chunks in cut:
-            sums = self.table[np.fromiter(map(get, chunks), dtype=np.int64, count=len(chunks))].sum(axis=0)
+        priors, out = np.array(self.model.priors), []
+        for chunks in self.chunks.numbered((t or "").split() for t in texts):
+            sums = self.chunks.table[chunks].sum(axis=0)
             count = sums[-1]
             if count == 0:
                 out.append(("und", 0.0))
@@ -269,8 +279,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in batches:
             got = []
-            for i in range(0, len(batch), 1000):
-                got += scorer.predict(batch["text"].iloc[i : i + 1000].to_list())
+            texts = [x or "" for x in batch["text"]]
+            for part in slices(texts, BATCH_CHARS):
+                got += scorer.predict(texts[part])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
     own = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
