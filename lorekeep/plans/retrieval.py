@@ -93,8 +93,8 @@ _rel = lambda m: S.relationships(m.withColumn("related_files", F.array(F.concat(
 _REL = "rel AS (SELECT memory_id, 'category' AS relation_kind, category AS target FROM memory UNION SELECT memory_id, 'session', source_session FROM memory UNION SELECT memory_id, 'file', 'f' || (memory_id % 7) FROM memory UNION SELECT memory_id, 'entity', 'x' || (memory_id % 5) FROM memory UNION SELECT memory_id, 'entity', 'x0' FROM memory)"
 query("R11_relationships", lambda spark, sf: _rel(B.memory(spark, sf)).where("memory_id = 7").orderBy("relation_kind", "target").select("relation_kind", "target"),
     f"WITH {M}, {_REL} SELECT relation_kind, target FROM rel WHERE memory_id = 7 ORDER BY relation_kind, target")
-query("J2_shared_entities", lambda spark, sf: (r := _rel(B.memory(spark, sf)).where("relation_kind = 'entity' and target <> 'x0'")).where("memory_id % 100 = 0").select("target", F.col("memory_id").alias("asked")).join(r.join(B.memory(spark, sf).where(_ACTIVE).select("memory_id"), "memory_id"), "target").where("memory_id <> asked").select("asked", "memory_id").distinct(),
-    f"WITH {M}, {_REL}, e AS (SELECT * FROM rel WHERE relation_kind = 'entity' AND target <> 'x0') SELECT DISTINCT a.memory_id AS asked, b.memory_id FROM e a JOIN e b ON a.target = b.target AND a.memory_id <> b.memory_id JOIN memory m ON m.memory_id = b.memory_id WHERE a.memory_id % 100 = 0 AND m.status = 'active'")
+query("J2_shared_entities", lambda spark, sf: (r := _rel(B.memory(spark, sf)).where("relation_kind = 'entity' and target <> 'x0'")).where("memory_id % 100 = 7").select("target", F.col("memory_id").alias("asked")).join(r.join(B.memory(spark, sf).where(_ACTIVE).select("memory_id"), "memory_id"), "target").where("memory_id <> asked").select("asked", "memory_id").distinct(),
+    f"WITH {M}, {_REL}, e AS (SELECT * FROM rel WHERE relation_kind = 'entity' AND target <> 'x0') SELECT DISTINCT a.memory_id AS asked, b.memory_id FROM e a JOIN e b ON a.target = b.target AND a.memory_id <> b.memory_id JOIN memory m ON m.memory_id = b.memory_id WHERE a.memory_id % 100 = 7 AND m.status = 'active'")
 query("R8_embed_gate", lambda spark, sf: (m := B.memory(spark, sf).select("memory_id", F.md5(F.col("body").cast("binary")).alias("fingerprint"))).join(m.join(B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("memory_id")), "memory_id").select("memory_id", F.when(F.col("memory_id") % 3 == 0, F.lit("stale")).otherwise(F.col("fingerprint")).alias("fingerprint")), ["memory_id", "fingerprint"], "left_anti").select("memory_id"),
     f"WITH {M} SELECT memory_id FROM memory WHERE NOT (memory_id IN (SELECT vec_id FROM embeddings) AND memory_id % 3 <> 0)")
 
