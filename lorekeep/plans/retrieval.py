@@ -71,8 +71,9 @@ query("J4_passage_of_vector", lambda spark, sf: scan(spark, sf).where("cosine >=
     f"WITH {_COS} SELECT vec_id, source, round(cosine, 6) AS cosine FROM cs JOIN documents d ON d.doc_id = cs.vec_id WHERE cs.cosine >= 0.25 ORDER BY cs.cosine DESC, vec_id LIMIT 25")
 query("R3_hybrid", lambda spark, sf: R.hybrid(hits(spark, sf).select("memory_id", "score"), scan(spark, sf).withColumnRenamed("vec_id", "memory_id"), 15).select("memory_id", "hybrid"),
     f"WITH {M}, {_HITS}, {_COS}, nr AS (SELECT vec_id, cosine FROM cs ORDER BY cosine DESC, vec_id LIMIT 20) SELECT memory_id, round(score + greatest(coalesce(cosine, 0), 0) * 100, 6) AS hybrid FROM hits LEFT JOIN nr ON vec_id = memory_id ORDER BY hybrid DESC, memory_id LIMIT 15")
-query("U2_vector_precedence", lambda spark, sf: (c := scan(spark, sf)).where("label % 2 = 0").select("label", "cosine").unionAll(c.where("label % 2 = 1").join(c.where("label % 2 = 0").select((F.col("label") + 1).alias("label")).distinct(), "label", "left_anti").select("label", "cosine")).groupBy("label").agg(F.round(F.max("cosine"), 6).alias("best")),
-    f"WITH {_COS} SELECT label, round(max(cosine), 6) AS best FROM cs WHERE label % 2 = 0 OR label - 1 NOT IN (SELECT label FROM cs WHERE label % 2 = 0) GROUP BY label")
+_subject = lambda spark, sf: scan(spark, sf).select("vec_id", (F.col("label") % 3).alias("kind"), F.floor(F.col("vec_id") / 2).alias("id"), F.when(F.col("vec_id") % 2 == 0, "project").otherwise("global").alias("store"), "cosine")
+query("U2_vector_precedence", lambda spark, sf: (v := _subject(spark, sf)).where("store = 'project'").unionByName(v.where("store = 'global'").join(v.where("store = 'project'").select("kind", "id").distinct(), ["kind", "id"], "left_anti").select(*v.columns)).orderBy(F.desc("cosine"), "vec_id").select("vec_id", "store", F.round("cosine", 6).alias("cosine")),
+    f"WITH {_COS}, v AS (SELECT vec_id, label % 3 AS kind, CAST(floor(vec_id / 2) AS BIGINT) AS id, vec_id % 2 = 0 AS own, cosine FROM cs) SELECT vec_id, CASE WHEN own THEN 'project' ELSE 'global' END AS store, round(cosine, 6) AS cosine FROM v WHERE own OR NOT EXISTS (SELECT 1 FROM v p WHERE p.own AND p.kind = v.kind AND p.id = v.id)")
 query("K7_downweight_foreign", lambda spark, sf: R.downweight_foreign(hits(spark, sf), "dev1", 0.85).select("memory_id", F.round("score", 4).alias("weighted")),
     f"WITH {M}, {_HITS} SELECT memory_id, round(CASE WHEN coalesce(origin_device, '') IN ('', 'dev1') THEN CAST(score AS DOUBLE) ELSE score * 0.85 END, 4) AS weighted FROM hits")
 _ranked = lambda spark, sf: R.ranked(scan(spark, sf), ["vec_id"], "rank")
