@@ -107,3 +107,19 @@ def test_budget_of_short_rows(spark):
     rows = [(i, 5 - i // 400, "x" * 20) for i in range(2000)]
     got = state.budgeted(spark.createDataFrame(rows, "id long, hits int, body string"), "id", F.char_length("body"), ["-hits", "id"], 32000)
     assert sorted(map(tuple, got.collect())) == [(i, 20 * i + 20) for i in range(1600)]
+
+
+def test_freshness(spark):
+    """Versioned, unused, healthy and old memories 200 days on; the cap keeps the most actionable; a dry run writes nothing."""
+    rows = [
+        (1, "project", "active", False, "ProjectConvention", "Use MSRV 1.82, the older flag is deprecated in the tool", 3, "2025-01-01"), (2, "project", "active", False, "ProjectConvention", "Keep handlers small and name them by their effect", 0, "2025-01-01"),
+        (3, "project", "active", False, "ProjectConvention", "Prefer composition of small services over one large class", 1, "2025-01-01"), (4, "global", "active", False, "ProjectConvention", "Write the failing test before the fix in every service", 1, "2023-01-01"),
+        (5, "project", "superseded", False, "ProjectConvention", "Keep handlers small and name them by their effect", 0, "2025-01-01"), (6, "project", "active", True, "ProjectConvention", "Keep handlers small and name them by their effect", 0, "2025-01-01"),
+    ]
+    memory = spark.createDataFrame(rows, "memory_id long, store string, status string, stale boolean, category string, body string, hit_count long, created_at string")
+    today = F.date_add(F.lit("2025-01-01").cast("date"), 200)
+    assert {r["memory_id"]: r["reason"] for r in S.freshness(memory, today).collect()} == {1: "VersionSensitive", 2: "Unused", 4: "Age"}
+    assert [r["memory_id"] for r in S.freshness(memory, today, max_flags=1).collect()] == [1]
+    stale = lambda df: {r["memory_id"] for r in df.where("stale").collect()}
+    assert stale(S.freshness_pass(memory, today, ("project",))) == {1, 2, 6} and stale(S.freshness_pass(memory, today, ("project", "global"))) == {1, 2, 4, 6}
+    assert stale(S.freshness_pass(memory, today, ("project", "global"), dry_run=True)) == {6}
