@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale operations on documents, pages and vectors.
+"""Training-data operators: thirteen corpus-scale operations on documents, pages and vectors.
 
 Nothing else in the library imports this subpackage.
 """

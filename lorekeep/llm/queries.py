@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed, langid, minhash, packing, quality_zstd, rules, secrets, suffix, warc
+from . import bpe, bpe_rounds, embed, interactions, langid, layout, minhash, packing, quality_zstd, rules, secrets, suffix, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -60,8 +60,25 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_rounds.digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op12_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.clustered(table(spark, sf_dir, "documents"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_suffix_dedup, op3_warc, op4_packing, op5_quality, op6_language, op7_minhash, op8_bpe, op9_embedding, op10_rules)
+    own = (
+        op1_secret_scan, op2_suffix_dedup, op3_warc, op4_packing, op5_quality, op6_language, op7_minhash, op8_bpe, op9_embedding, op10_rules,
+        op11_bpe_rounds, op12_layout, op13_interactions,
+    )
     return {f.__name__: f for f in own}
 
 
