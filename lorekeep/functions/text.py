@@ -348,3 +348,10 @@ def significant_terms(query: str) -> list[str]:
         if term and term.lower() not in QUERY_STOP_WORDS:
             out.append(term)
     return out
+
+
+def significant(x: str | Column) -> Column:
+    """The same of a column of queries: an array of terms."""
+    edges = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
+    terms = F.transform(F.split(F.coalesce(col(x), F.lit("")), r"(?U)\s+"), lambda t: F.regexp_replace(t, edges, ""))
+    return F.filter(terms, lambda t: (t != "") & ~ascii_lower(t).isin(*QUERY_STOP_WORDS))

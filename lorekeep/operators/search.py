@@ -1,4 +1,4 @@
-"""Retrieval: BM25, vectors, hybrid ranking, precedence of stores."""
+"""Retrieval: vectors, hybrid ranking, precedence of stores.  Keyword search is in ``index``."""
 
 from __future__ import annotations
 
@@ -11,59 +11,6 @@ from lorekeep.functions import text as T
 
 from .stages import settle
 
-K1, B = 1.2, 0.75
-#: Accented letters folded as the tokenizer of the index does.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
-
-
-def folded(x: str | Column) -> Column:
-    return F.lower(F.translate(T.col(x), ACCENTED, PLAIN))
-
-
-def _matches(term: str):
-    """A test of a token: by prefix for terms of four characters or more."""
-    low = folded(F.lit(term))
-    return (lambda w: F.startswith(w, low)) if len(term) >= 4 else (lambda w: w == low)
-
-
-def bm25(rows: DataFrame, query: str, key: str = "memory_id", body: str = "body", eligible: Column | None = None) -> DataFrame:
-    """Ranked keyword search: key, score, rank_score.
-
-    Terms of four characters or more match as prefixes.  Statistics run over all
-    rows; ``eligible`` filters what may be returned.  With three terms or more at
-    least two must occur as substrings.  Each row's term counts are computed in place
-    and stored with the rows that hold a term; two numbers a term are aggregated.
-    """
-    terms = T.significant_terms(query)
-    if not terms:
-        return rows.select(key, F.lit(0).cast("long").alias("score"), F.lit(0.0).alias("rank_score")).limit(0)
-    words = F.filter(F.split(folded(body), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
-    own = rows.withColumn("_words", words).withColumn("_len", F.size("_words"))
-    for i, term in enumerate(terms):
-        own = own.withColumn(f"_tf{i}", F.size(F.filter("_words", _matches(term))))
-    some = F.lit(False)
-    for i in range(len(terms)):
-        some = some | (F.col(f"_tf{i}") > 0)
-    # each text is read once: lengths of all rows are kept, the rows themselves where a term occurs
-    own = own.select("_len", *[f"_tf{i}" for i in range(len(terms))], some.alias("_some"), *[F.when(some, F.col(c)).alias(c) for c in rows.columns])
-    own = settle(own, "terms")
-    stats = own.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
-    both = own.crossJoin(F.broadcast(stats))  # a single row of statistics
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        tf = F.col(f"_tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    low = T.ascii_lower(body)
-    covered = sum((F.contains(low, T.ascii_lower(F.lit(t))).cast("int") for t in terms), F.lit(0))
-    out = both.where(F.col("_some") & ((covered >= 2) if len(terms) >= 3 else F.lit(True)))
-    if eligible is not None:
-        out = out.where(eligible)
-    return out.select(*rows.columns, F.greatest(F.lit(1), F.round(score * 100)).cast("long").alias("score"), F.round(score, 6).alias("rank_score"))
-
-
 def with_precedence(hits: DataFrame, key: str = "memory_id", body: str = "body", store: str = "store") -> DataFrame:
     """Project hits, and those global hits whose id and body no project hit has."""
     project, other = hits.where(F.col(store) == "project"), hits.where(F.col(store) != "project")

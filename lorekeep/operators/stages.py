@@ -9,16 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests, local mode) one temporary folder a session."""
+    """spark.checkpoint.dir; where it is unset and the master is local, one temporary folder a session.
+
+    A cluster without that setting has no folder that all executors see: an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("lorekeep.stages.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("lorekeep.stages.dir", base)
     return base.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own, not made yet."""
+    return f"{folder(spark)}/lorekeep-{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
-    path = f"{folder(df.sparkSession)}/lorekeep-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import index as I
+
 CATEGORIES = (
     "UserPreference", "ProjectConvention", "ArchitectureRule", "CodePattern", "DebuggingRecipe", "ToolingNote", "TestingStrategy",
     "DeploymentRule", "AntiPattern", "SecurityWarning", "DocumentationUpdate", "CandidateSkill", "Process", "ToolUse", "Misc",
@@ -84,6 +86,24 @@ MEMORY = f"""memory AS (SELECT d.doc_id AS memory_id,
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+_INDEXES: dict[tuple[str, str], I.Index] = {}
+
+
+def memory_index(spark: SparkSession, sf: str) -> I.Index:
+    """The inverted index of ``memory``: built at its first use in a session, then reused by all searches."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        _INDEXES[at] = I.build(memory(spark, sf))
+    return _INDEXES[at]
+
+
+def hits(spark: SparkSession, sf: str, query: str = QUERY, eligible: str = "status = 'active'") -> DataFrame:
+    """The eligible memories that a query finds, each store searched by its own statistics: all columns, score, rank_score."""
+    rows = memory(spark, sf)
+    found = I.search_one(memory_index(spark, sf), query, rows)
+    return rows.where(eligible).join(found, ["memory_id", "store"]).select(*rows.columns, "score", "rank_score")
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Transcript lines: session, line number, line; the speaker stands before a turn's first line."""
     c = read(spark, sf, "conversations")

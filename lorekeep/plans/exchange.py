@@ -105,7 +105,7 @@ _STATES = ("pending", "accepted", "rejected", "edited")
 _items = lambda spark, sf: B.memory(spark, sf).select(F.col("memory_id").alias("id"), "summary", "category", F.element_at(F.array(*map(F.lit, _STATES)), (F.col("memory_id") % 4).cast("int") + 1).alias("state"), F.when(F.col("hit_count") == 3, "UpdateSkillDraft").otherwise("PromoteToMemory").alias("action"))
 _DRAFTS = f"dr AS (SELECT 'skill-' || memory_id AS draft_id, regexp_replace(regexp_replace({_low('summary')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS name, 'Suggested disabled workflow draft from review item ' || memory_id || '.' AS description, 'When work resembles: ' || summary AS trigger, true AS disabled FROM memory WHERE memory_id % 4 IN (1, 3) AND (category = 'CandidateSkill' OR hit_count = 3))"
 query("K22_skill_drafts", lambda spark, sf: E.skill_drafts(_items(spark, sf)), f"WITH {M}, {_DRAFTS} SELECT * FROM dr")
-query("K21_context_export", lambda spark, sf: E.context_lines(R.bm25(B.memory(spark, sf), B.QUERY, eligible=F.expr(_ACTIVE)), E.skill_drafts(_items(spark, sf)), "Context", B.QUERY),
+query("K21_context_export", lambda spark, sf: E.context_lines(B.hits(spark, sf), E.skill_drafts(_items(spark, sf)), "Context", B.QUERY),
     f"WITH {M}, {_DRAFTS}, {bm25_sql(B.QUERY, _ACTIVE)} SELECT '0' AS at, '# Context' AS line UNION ALL SELECT '1', 'Query: `{B.QUERY}`' UNION ALL SELECT '2', '## Accepted Memory' UNION ALL SELECT '4', '## Suggested Skills' UNION ALL "
     "SELECT * FROM (SELECT '3.' || lpad(CAST(memory_id AS VARCHAR), 12, '0') AS at, '- `' || memory_id || '` score=' || score AS line FROM (SELECT * FROM hits ORDER BY rank_score DESC, memory_id LIMIT 6)) UNION ALL "
     "SELECT '5.' || draft_id, '- `' || draft_id || '` `' || name || '`: ' || description FROM (SELECT * FROM dr ORDER BY draft_id LIMIT 6)")

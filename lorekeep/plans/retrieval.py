@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import extraction as X
 from lorekeep.operators import graph as G
+from lorekeep.operators import index as I
 from lorekeep.operators import search as R
 from lorekeep.operators import state as S
 from lorekeep.operators import workspace as W
@@ -26,32 +29,49 @@ def query(name: str, run, sql: str | None = None) -> None:
         ORACLES[name] = sql
 
 
+def _term_sql(term: str) -> str:
+    """SQL: how often a term, as a phrase of its parts, occurs among the words ``ws``."""
+    parts = [p.translate(str.maketrans(I.ACCENTED, I.PLAIN)).lower() for p in re.findall(r"[^\W_]+", term)]
+    last = len(parts) - 1
+    tests = [
+        f"starts_with(ws[i + {k}], '{p}')" if k == last and len(term) >= I.MIN_PREFIX else f"ws[i + {k}] = '{p}'"
+        for k, p in enumerate(parts)
+    ]
+    return f"len(list_filter(range(1, len(ws) - {last} + 1), lambda i: {' AND '.join(tests)}))"
+
+
 def bm25_sql(query_: str, eligible: str = "true") -> str:
     """SQL common table expressions ending in hits(memory_id, ..., score, rank_score)."""
     terms = T.significant_terms(query_)
-    fold = lambda x: f"lower(translate({x}, '{R.ACCENTED}', '{R.PLAIN}'))"
-    tf = lambda i, t: f"len(list_filter(ws, lambda w: {'starts_with(w, ' + chr(39) + t.lower() + chr(39) + ')' if len(t) >= 4 else 'w = ' + chr(39) + t.lower() + chr(39)})) AS tf{i}"
+    fold = lambda x: f"lower(translate({x}, '{I.ACCENTED}', '{I.PLAIN}'))"
+    idf = lambda i: f"ln((n - df{i} + 0.5) / (df{i} + 0.5))"
     score = " + ".join(
-        f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END) * tf{i} * {R.K1 + 1} / (tf{i} + {R.K1} * (1 - {R.B} + {R.B} * len / av))"
+        f"(CASE WHEN {idf(i)} <= 0 THEN 1e-6 ELSE {idf(i)} END) * tf{i} * {I.K1 + 1} / (tf{i} + {I.K1} * (1 - {I.B} + {I.B} * len / av))"
         for i in range(len(terms))
     )
     covered = " + ".join(f"CAST(contains({_low('body')}, {_low(chr(39) + t + chr(39))}) AS INT)" for t in terms)
     return (
         f"tk AS (SELECT *, list_filter(regexp_split_to_array({fold('body')}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM memory), "
-        f"tc AS (SELECT * EXCLUDE (ws), len(ws) AS len, {', '.join(tf(i, t) for i, t in enumerate(terms))} FROM tk), "
-        f"st AS (SELECT count(*) AS n, avg(len) AS av, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(terms)))} FROM tc), "
-        f"hits AS (SELECT tc.*, CAST(greatest(1, round(({score}) * 100)) AS BIGINT) AS score, round({score}, 6) AS rank_score FROM tc, st "
+        f"tc AS (SELECT * EXCLUDE (ws), len(ws) AS len, {', '.join(f'{_term_sql(t)} AS tf{i}' for i, t in enumerate(terms))} FROM tk), "
+        f"st AS (SELECT store, count(*) AS n, avg(len) AS av, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(terms)))} FROM tc GROUP BY store), "
+        f"hits AS (SELECT tc.*, CAST(greatest(1, round(({score}) * 100)) AS BIGINT) AS score, round({score}, 6) AS rank_score FROM tc JOIN st USING (store) "
         f"WHERE ({' OR '.join(f'tf{i} > 0' for i in range(len(terms)))}) AND {f'({covered}) >= 2' if len(terms) >= 3 else 'true'} AND {eligible})"
     )
 
 
 _ACTIVE = "status = 'active'"
 _HITS = bm25_sql(B.QUERY, _ACTIVE)
-hits = lambda spark, sf: R.bm25(B.memory(spark, sf), B.QUERY, eligible=F.expr(_ACTIVE))
+#: Terms of several parts, matched as phrases.
+COMPOUND = "install left-pad, error[E0107] in (src/core/mod.rs:10)"
+hits = B.hits
 query("R1_bm25_search", lambda spark, sf: hits(spark, sf).orderBy(F.desc("rank_score"), "memory_id").limit(10).select("memory_id", "score", "rank_score"),
     f"WITH {M}, {_HITS} SELECT memory_id, score, rank_score FROM hits ORDER BY rank_score DESC, memory_id LIMIT 10")
 query("R1_bm25_all_hits", lambda spark, sf: hits(spark, sf).select("memory_id", "score"), f"WITH {M}, {_HITS} SELECT memory_id, score FROM hits")
-query("F1_language_search", lambda spark, sf: R.bm25(B.memory(spark, sf), B.QUERY, eligible=F.expr(f"{_ACTIVE} and (language = 'en' or language is null)")).select("memory_id", "score"),
+query("R1_compound_terms", lambda spark, sf: hits(spark, sf, COMPOUND).select("memory_id", "store", "score", "rank_score"),
+    f"WITH {M}, {bm25_sql(COMPOUND, _ACTIVE)} SELECT memory_id, store, score, rank_score FROM hits")
+query("R1_index_stats", lambda spark, sf: B.memory_index(spark, sf).table("stats").select("store", F.col("n").alias("texts"), F.round("mean", 6).alias("mean_length")),
+    f"WITH {M}, {_HITS} SELECT store, count(*) AS texts, round(avg(len), 6) AS mean_length FROM tc GROUP BY store")
+query("F1_language_search", lambda spark, sf: hits(spark, sf, B.QUERY, f"{_ACTIVE} and (language = 'en' or language is null)").select("memory_id", "score"),
     f"WITH {M}, {bm25_sql(B.QUERY, _ACTIVE + chr(32) + 'AND (language = ' + chr(39) + 'en' + chr(39) + ' OR language IS NULL)')} SELECT memory_id, score FROM hits")
 query("U1_store_precedence", lambda spark, sf: R.with_precedence(hits(spark, sf)).select("memory_id", "store", "score"),
     f"WITH {M}, {_HITS} SELECT memory_id, store, score FROM hits WHERE store = 'project' OR (memory_id NOT IN (SELECT memory_id FROM hits WHERE store = 'project') AND body NOT IN (SELECT body FROM hits WHERE store = 'project'))")

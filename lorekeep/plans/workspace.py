@@ -26,7 +26,7 @@ def query(name: str, run, sql: str | None = None) -> None:
 
 _today = lambda: F.lit(TODAY).cast("date")
 _nodes = lambda spark, sf: B.nodes(spark, sf).withColumn("confidence", 0.5 + F.col("shard") / 20).withColumn("created_at", F.date_add(F.lit("2024-11-01").cast("date"), F.col("shard").cast("int")))
-_hits = lambda spark, sf: R.bm25(B.memory(spark, sf), ASKED, eligible=F.expr(_ACTIVE))
+_hits = lambda spark, sf: B.hits(spark, sf, ASKED)
 
 
 def workspace(spark, sf, focus: str | None):

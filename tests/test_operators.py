@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import graph as G
+from lorekeep.operators import index as I
 from lorekeep.operators import search as R
 from lorekeep.operators import state as S
 
@@ -13,24 +14,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("query", ["locks", "locks order", "deadlock locks order", "the of"])
-def test_bm25_like_sqlite(spark, query):
-    rows = spark.createDataFrame(ROWS, "memory_id long, body string, store string").repartition(3)
-    got = {r["memory_id"]: r["rank_score"] for r in R.bm25(rows, query).collect()}
-    con = sqlite3.connect(":memory:")
-    con.execute("create virtual table f using fts5(body)")
-    con.executemany("insert into f(rowid, body) values (?, ?)", [(i, b) for i, b, _ in ROWS])
-    terms = R.T.significant_terms(query)
-    want = {}
-    if terms:
-        match = " OR ".join(f'"{t}"*' if len(t) >= 4 else f'"{t}"' for t in terms)
-        want = {i: round(-s, 6) for i, s, b in con.execute("select rowid, bm25(f), body from f where f match ?", (match,)) if len(terms) < 3 or sum(t.lower() in b.lower() for t in terms) >= 2}
-    assert got == pytest.approx(want, abs=2e-6)
-
-
 def test_store_precedence(spark):
     rows = spark.createDataFrame(ROWS, "memory_id long, body string, store string")
-    assert sorted(r["memory_id"] for r in R.with_precedence(R.bm25(rows, "locks")).collect()) == [1, 2, 4]
+    hits = rows.join(I.search_one(I.build(rows), "locks"), ["memory_id", "store"])
+    assert sorted(r["memory_id"] for r in R.with_precedence(hits).collect()) == [1, 2, 4]
 
 
 def test_rerank(spark):
