@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, local mode) one temporary folder is made
-    for the session and used for checkpoints as well.
+    Where the setting is absent and the master is local, one temporary folder is made
+    for the session and used for checkpoints as well; a cluster without it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not own:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lorekeep-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
@@ -81,13 +84,14 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return wrapped
 
 
-def sampled(docs: DataFrame, chosen: DataFrame, group: list[str], max_bytes: int) -> list:
+def sampled(docs: DataFrame, chosen: DataFrame, group: list[str], max_bytes: int) -> DataFrame:
     """Rows (doc_id, *group, text) of the chosen documents, one for each id.
 
     ``chosen`` (doc_id, *group, _h) has a bounded number of rows, and no id twice
     in a group; of rows that repeat an id the smallest text counts.  In the order of
-    ``_h`` texts are taken while a group's stay within ``max_bytes``, whatever
-    their lengths.
+    ``_h`` every text is taken that fits into what is left of its group's ``max_bytes``;
+    longer ones are passed over and take nothing from the others.  Of a group in
+    which no text fits the shortest one gives its beginning.
     """
     keys = ["doc_id", *group]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in group if c in docs.columns])
@@ -96,12 +100,18 @@ def sampled(docs: DataFrame, chosen: DataFrame, group: list[str], max_bytes: int
     rows = settle(rows.groupBy(*keys, "_h").agg(F.min("text").alias("text")), "sample")
     sizes = sorted(rows.select("_h", *keys, F.octet_length("text").alias("n")).collect())
     held: dict[tuple, int] = defaultdict(int)
-    keep = []
+    keep, shortest = [], {}
     for row in sizes:
         which = tuple(row[c] for c in group)
-        held[which] += row["n"]
-        if held[which] <= max_bytes:
-            keep.append(tuple(row[c] for c in keys))
-    if len(keep) < len(sizes):
-        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(keep, rows.select(*keys).schema)), keys, "left_semi") if keep else rows.limit(0)
-    return rows.select(*keys, "text").collect()
+        if held[which] + row["n"] <= max_bytes:
+            held[which] += row["n"]
+            keep.append((*(row[c] for c in keys), False))
+        elif which not in shortest or row["n"] < shortest[which]["n"]:
+            shortest[which] = row
+    keep += [(*(row[c] for c in keys), True) for which, row in shortest.items() if not held[which]]
+    if not keep:
+        return rows.limit(0).select(*keys, "text")
+    kept = docs.sparkSession.createDataFrame(keep, rows.select(*keys, F.lit(False).alias("_cut")).schema)
+    rows = rows.join(F.broadcast(kept), keys)  # no more rows than were chosen
+    begun = F.substring("text", 1, max(1, max_bytes // 4))  # a character takes four bytes at most
+    return rows.select(*keys, F.when(F.col("_cut"), begun).otherwise(F.col("text")).alias("text"))

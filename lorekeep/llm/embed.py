@@ -48,8 +48,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows times powers of two that bring their largest component near 1: no norm overflows or vanishes."""
+    largest = np.abs(x).max(axis=1, initial=0.0)
+    return np.ldexp(x, -np.frexp(largest)[1][:, None])
+
+
 def codes(vectors: np.ndarray, hashes: int = HASHES, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """Bucket codes, rows x tables x probes; the first is the vector's own bucket."""
+    vectors = scaled(np.asarray(vectors, dtype=np.float64))
     n, dim = vectors.shape
     width = 1 << max(1, (dim - 1).bit_length())
     unit = np.zeros((n, width))
@@ -145,6 +152,7 @@ def links(classes: DataFrame, threshold: float, hashes: int = HASHES, tables: in
         def out(rows: pd.DataFrame) -> pd.DataFrame | None:
             dim = int(rows["dim"].iloc[0])
             x = np.stack([np.frombuffer(v, dtype=f"<f{len(v) // dim}").astype(np.float64) for v in rows["vector"]])
+            x = scaled(x)
             norm = np.linalg.norm(x, axis=1)
             close = x @ x.T >= threshold * norm[:, None] * norm[None, :]
             np.fill_diagonal(close, False)
@@ -190,6 +198,7 @@ def links(classes: DataFrame, threshold: float, hashes: int = HASHES, tables: in
             x = np.zeros((len(at), int(dims.max())))
             for k, (v, d) in enumerate(zip(rows["vector"].iloc[at], dims.tolist(), strict=True)):
                 x[k, :d] = np.frombuffer(v, dtype=f"<f{len(v) // d}")
+            x = scaled(x)
             norm = np.linalg.norm(x, axis=1)
             for step in range(1, FEW):
                 a = np.flatnonzero(group[step:] == group[:-step])

@@ -103,23 +103,36 @@ def expected(words: Counter, prob: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS, prior_count: float = 500.0) -> Model:
-    """``rows``: (language, text)."""
-    by_lang: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in rows:
-        by_lang[lang].update(words_of(text))
-    langs = sorted(k for k, v in by_lang.items() if v)
+def piece_counts(texts: list[str], pieces: list[str], rounds: int = ROUNDS) -> dict[str, float]:
+    """Expected counts of the pieces in a language's texts, after some rounds of expectation and maximisation."""
+    words = Counter(w for text in texts for w in words_of(text))
+    prob, got = {p: 1.0 / len(pieces) for p in pieces}, {}
+    for _ in range(rounds if words else 0):
+        got = expected(words, prob)
+        total = sum(got.values()) + 1.0
+        prob = {p: (got.get(p, 0.0) + 1.0 / len(pieces)) / total for p in pieces if p in got or len(p) == 1}
+    return dict(got)
+
+
+def counted(rows: DataFrame, path: str, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
+    """Per language the counts of its pieces: a task for each language, whose texts have a bound."""
+
+    def run(texts: pd.DataFrame) -> pd.DataFrame:
+        got = piece_counts(sorted(texts["text"]), vocabulary(path), rounds)
+        return pd.DataFrame({"lang": texts["lang"].iloc[0], "piece": list(got), "n": list(got.values())})
+
+    out: dict[str, dict[str, float]] = defaultdict(dict)
+    for r in rows.select("lang", "text").groupBy("lang").applyInPandas(run, "lang string, piece string, n double").collect():
+        out[r["lang"]][r["piece"]] = r["n"]
+    return dict(out)
+
+
+def fit(counts: dict[str, dict[str, float]], share: dict[str, int], pieces: list[str], prior_count: float = 500.0) -> Model:
+    """The model of the languages' piece counts; ``share``: how many documents of all have each language."""
+    counts = {k: dict(sorted(counts[k].items())) for k in sorted(counts) if counts[k]}
+    langs = list(counts)
     if not langs:
         return Model((), (), {})
-    flat = {p: 1.0 / len(pieces) for p in pieces}
-    counts = {}
-    for lang in langs:
-        prob = flat
-        for _ in range(rounds):
-            got = expected(by_lang[lang], prob)
-            total = sum(got.values()) + 1.0
-            prob = {p: (got.get(p, 0.0) + 1.0 / len(pieces)) / total for p in pieces if p in got or len(p) == 1}
-        counts[lang] = got
     pooled: dict[str, float] = defaultdict(float)
     for got in counts.values():
         total = sum(got.values()) or 1.0
@@ -131,8 +144,8 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS, pr
         shared = prior_count * (0.9 * pooled.get(p, 0.0) + 0.1 / len(pieces))
         if p in pooled or len(p) == 1:
             table[p] = tuple((counts[lang].get(p, 0.0) + shared) / sums[lang] for lang in langs)
-    share = Counter(lang for lang, _ in rows)
-    return Model(tuple(langs), tuple(math.log((share[k] + 1.0) / (len(rows) + len(langs))) for k in langs), table)
+    total = sum(share.get(k, 0) for k in langs)
+    return Model(tuple(langs), tuple(math.log((share.get(k, 0) + 1.0) / (total + len(langs))) for k in langs), table)
 
 
 class Scorer:
@@ -255,8 +268,8 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, held_out: int = 0, folds: int = 5, max_texts: int = MAX_TEXTS, shards: int = SHARDS, max_bytes: int = MAX_BYTES) -> list[tuple[str, str]]:
-    """(language, text) rows to learn from, never of the held-out fold.
+def sample(docs: DataFrame, held_out: int = 0, folds: int = 5, max_texts: int = MAX_TEXTS, shards: int = SHARDS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) rows to learn from, never of the held-out fold, and each language's documents among all others.
 
     The first rows by hash of each language and shard; shards keep a common
     language from meeting in one task.
@@ -265,9 +278,10 @@ def sample(docs: DataFrame, held_out: int = 0, folds: int = 5, max_texts: int =
     own = own.where("lang is not null and text is not null and text <> ''").where(crc_mod("doc_id", folds) != held_out)
     named = own.withColumn("_h", F.xxhash64("doc_id")).withColumn("_shard", F.pmod("_h", F.lit(shards))).select("doc_id", "lang", "_h", "_shard").distinct()
     first = named.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_shard").orderBy("_h", "doc_id"))).where(f"_n <= {max_texts}")
+    share = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     # at most max_texts * shards ids a language: the number of languages bounds the broadcast
     rows = sampled(own, first.select("doc_id", "lang", "_h"), ["lang"], max_bytes)
-    return sorted((r["lang"], r["text"]) for r in rows)
+    return rows.select("lang", "text"), share
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,6 +304,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, vocabulary_path: str, held_out: int = 0, folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    model = fit(sample(docs, held_out, folds), vocabulary(vocabulary_path))
+    rows, share = sample(docs, held_out, folds)
+    model = fit(counted(rows, vocabulary_path), share, vocabulary(vocabulary_path))
     out = predict(docs, model)
     return out.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "lang_pred", "score")

@@ -7,7 +7,9 @@ sequences.  A partition's last, open sequence is cut into sequences of powers of
 two, which need no padding.
 
 Edge cases: a null text counts as empty (its document is the end id alone); equal
-texts share a curve number and are ordered by id; an empty table gives no rows.
+texts share a curve number and are ordered by id, and so are rows that repeat one;
+texts of any length are encoded whole and cut freely; an empty table gives no rows;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +58,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -65,7 +66,7 @@ class Encoder:
 
     Tokens never span white space, so texts are cut there and each distinct chunk
     is encoded once; a text with one of the separators on which Python and the
-    tokenizer differ is encoded in one piece.  Chunks of Latin letters are parted
+    tokenizer differ, or with the beginning of an added token, is encoded in one piece.  Chunks of Latin letters are parted
     here and their distinct parts go to the tokenizer's model; others go through
     the whole tokenizer.  What is remembered is bounded in chunks and in characters.
     """
@@ -75,6 +76,8 @@ class Encoder:
 
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
+        #: What all added tokens begin with; they are told from other text by the whole tokenizer.
+        self.added = commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])[:2] or "\0"
         self.letters = byte_letters()
         self.split = regex.compile(_PARTS + r"|\n").findall
         self.chunks = Spellings(self._chunks, cache_chunks, cache_chars)
@@ -120,7 +123,7 @@ class Encoder:
         return flat, out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [any(c in t for c in _ODD_SPACE) for t in texts]
+        odd = [self.added in t or any(c in t for c in _ODD_SPACE) for t in texts]
         out = self.chunks.spell(() if o else t.split() for t, o in zip(texts, odd, strict=True))
         return [np.frombuffer(self._whole([t])[0], dtype="<u4") if o else ids for t, o, ids in zip(texts, odd, out, strict=True)]
 

@@ -8,8 +8,9 @@ of its worst block, and none less good over the length (what the good dictionary
 saves, which is little where a text repeats itself).
 
 The fit reads at most ``MAX_TEXTS`` texts of each label and part, in the order of a
-hash of their ids, while they stay within ``MAX_BYTES`` bytes together: the
-documented bound of the classifier's sample.  All rows are scored, whole.
+hash of their ids, those that fit into ``MAX_BYTES`` bytes together: the documented
+bound of the classifier's sample.  The share of each label among all labelled rows is
+counted and restored in the curve.  All rows are scored, whole.
 
 Edge cases: null and empty texts have a difference of 0 and score alike; with
 fewer than two labels to learn from every score is 0.5; labels without a document,
@@ -100,11 +101,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> list:
-    """(part, quality, text) rows to learn from: never of the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, max_texts: int = MAX_TEXTS, max_bytes: int = MAX_BYTES) -> tuple[list, dict[int, int]]:
+    """(part, quality, text) rows to learn from, never of the held-out fold, and how many rows have each label."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     ids = ids.where(crc_mod("doc_id", folds) != held_out).withColumn("_part", (F.xxhash64("doc_id") % 2 != 0).cast("int")).withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
+    totals = {r["quality"]: r["n"] for r in ids.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for quality in (0, 1):
         for part in (0, 1):
@@ -112,10 +114,16 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3
             chosen = one if chosen is None else chosen.unionAll(one)
     # at most 4 * max_texts rows of four numbers: the broadcast has a fixed bound
     rows = sampled(docs.select("doc_id", "text"), chosen.select("doc_id", "_part", "quality", "_h"), ["_part", "quality"], max_bytes)
-    return sorted((r["_part"], r["quality"], r["text"]) for r in rows)
+    return sorted((r["_part"], r["quality"], r["text"]) for r in rows.collect()), totals
 
 
-def fit(rows: list) -> Model:
+def fit(rows: list, totals: dict[int, int] | None = None) -> Model:
+    """The model of a sample.
+
+    With ``totals`` the curve's intercept is moved from the labels' shares in the
+    sample to those of all labelled rows, so that a score means the same however many
+    rows the sample leaves out of either label.
+    """
     import zstandard as z
 
     def trained(texts: list[bytes]) -> bytes:
@@ -135,7 +143,10 @@ def fit(rows: list) -> Model:
         tune = [(t, q) for _, q, t in rows]
     scorer = Scorer(model)
     x, y = np.array([scorer.features(t) for t, _ in tune]), np.array([float(q) for _, q in tune])
-    return Model(model.good, model.bad, tuple(float(w) for w in logistic(x, y)))
+    weights = logistic(x, y)
+    if totals and all(totals.get(q) for q in (0, 1)) and 0 < y.sum() < len(y):
+        weights[0] += math.log(totals[1] / totals[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    return Model(model.good, model.bad, tuple(float(w) for w in weights))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -155,6 +166,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = fit(sample(docs, labels, held_out, folds))
+    model = fit(*sample(docs, labels, held_out, folds))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -150,7 +150,6 @@ def test_packing(spark, prose):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     texts = [prose(n) for n in (1, 30, 3000, 700)] + [None, "", "a\x1cb Σ ΑΣ É é x y", "dup", "dup"]
     rows = packing.pack(table(spark, texts), P.path("word_bpe_49k.json")).toPandas()
     for doc, part in rows.sort_values("start").groupby("doc_id"):
@@ -193,10 +192,10 @@ def test_quality(spark):
     # an id with both labels teaches nothing; of a repeated id one text is learned; long texts count like others
     both = labels.unionAll(spark.createDataFrame([(0, 1, 0)], labels.schema))
     long = table(spark, [bad() * 900, bad(), bad()], ids=[8, 10, 10])
-    rows = quality_zstd.sample(long.unionAll(docs.where("doc_id not in (8, 10)")), both)
+    rows, _ = quality_zstd.sample(long.unionAll(docs.where("doc_id not in (8, 10)")), both)
     ids = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1]
     assert len(rows) == len(ids) - (0 in ids) and max(len(r[2]) for r in rows) > 400_000
-    assert len(quality_zstd.sample(docs, labels, max_bytes=2000)) < 40
+    assert len(quality_zstd.sample(docs, labels, max_bytes=2000)[0]) < 40
 
 
 def test_language(spark):
@@ -381,7 +380,7 @@ def test_empty_tables(spark):
 
 def brute_quality(spark, rows, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
-    scorer = quality_zstd.Scorer(quality_zstd.fit(quality_zstd.sample(docs, labels)))
+    scorer = quality_zstd.Scorer(quality_zstd.fit(*quality_zstd.sample(docs, labels)))
     return {i: x for i, x in rows.items() if scorer.score(x or "") >= 0.5}
 
 
@@ -453,7 +452,6 @@ def test_pipeline(spark):
         docs = out
     assert docs.where("n_chars <> length(text)").count() == 0
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     pieces = cp.STAGES[-1][1](spark, docs, sf).toPandas()
     for doc, x in texts(docs).items():
         ids = np.array([*tok.encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4")
