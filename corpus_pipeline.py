@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts share a score; without labels of both kinds all stay.
     """
-    model = quality_zstd.fit(quality_zstd.sample(docs, table(spark, sf_dir, "labels")))
+    model = quality_zstd.fit(*quality_zstd.sample(docs, table(spark, sf_dir, "labels")))
     return _columns(quality_zstd.score(_columns(docs), model).where("score >= 0.5"))
 
 
@@ -35,7 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the first by id, a null id last.
 
     Rows are told apart by a key of id and text, since ids may repeat or be null; of
-    rows that agree in both the first by the other columns stays.  Texts without a
+    rows that agree in both (128 bits more tell texts whose keys collide) the first by
+    the other columns stays.  Texts without a
     word are linked with nothing and stay, once for each id.
     """
     docs = docs.withColumn("_key", F.xxhash64("doc_id", "text", F.col("text").isNull()))
@@ -45,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = docs.select("_key", "doc_id").distinct().join(groups, "_key").groupBy("component_id").agg(F.min(order).alias("one"))
     kept = docs.join(first.select(F.col("one._key").alias("_key")), "_key", "left_semi")
     rest = [F.col(c) for c in COLUMNS if c in docs.columns and c not in ("doc_id", "text")]
-    once = Window.partitionBy("_key").orderBy(*(rest or [F.col("_key")]))
+    once = Window.partitionBy("_key", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).orderBy(*(rest or [F.col("_key")]))
     return _columns(kept.withColumn("_n", F.row_number().over(once)).where("_n = 1"))
 
 
