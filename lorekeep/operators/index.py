@@ -110,9 +110,10 @@ def opened(spark: SparkSession, path: str, key: str = "memory_id", store: str =
 
 
 def query_terms(queries: DataFrame, ask: str = "ask", text: str = "query") -> DataFrame:
-    """ask, n, term, times: the significant terms of each query, in lower case, with how often each occurs."""
+    """ask, n, term, times, last: the significant terms of each query, in lower case, how often and where last each occurs."""
     found = queries.select(F.col(ask).alias("ask"), F.transform(T.significant(text), T.ascii_lower).alias("_t"))
-    return found.select("ask", F.size("_t").alias("n"), F.explode("_t").alias("term")).groupBy("ask", "n", "term").agg(F.count("*").alias("times"))
+    found = found.select("ask", F.size("_t").alias("n"), F.posexplode("_t").alias("_i", "term"))
+    return found.groupBy("ask", "n", "term").agg(F.count("*").alias("times"), F.max("_i").alias("last"))
 
 
 def _terms(asked: DataFrame) -> DataFrame:
@@ -150,11 +151,10 @@ def _serves(open_: Column, sub: Column, needle: Column) -> Column:
     return F.when(sub, F.contains(F.coalesce("raw", "word"), needle)).when(open_, F.startswith(word, needle)).otherwise(word == needle)
 
 
-def term_rows(index: Index, terms: DataFrame) -> DataFrame:
-    """term, key, store, len, tf, covered: the texts in which each term matches or occurs.
+def _met(index: Index, terms: DataFrame) -> DataFrame:
+    """term, key, store, len, pos, at, m, hit, covers: each place of each token that serves a part of a term.
 
-    Only the folders of the resolved tokens are opened.  A phrase of m parts counts
-    where m of its tokens stand at the places that follow one another.
+    Only the folders of the resolved tokens are opened.
     """
     words = settle(resolved(index, terms), "resolved")
     named = words.select("word", head(F.col("word")).alias("head")).distinct().limit(NAMED_TERMS + 1).collect()
@@ -165,15 +165,32 @@ def term_rows(index: Index, terms: DataFrame) -> DataFrame:
         postings = postings.where(F.col("term").isin(*{r["word"] for r in named}))
     postings = postings.withColumnRenamed("term", "word")
     same_raw = F.col("p.raw").eqNullSafe(F.col("w.raw"))
-    names_ = [index.key, index.store]
-    met = postings.alias("p").join(words.alias("w"), (F.col("p.word") == F.col("w.word")) & same_raw).select("w.term", "w.at", "hit", "covers", *[F.col(f"p.{c}") for c in (*names_, "len", "pos")])
-    met = met.join(terms.select("term", F.size("parts").alias("m")), "term")
-    phrases = met.where("m > 1 and hit").groupBy("term", *names_, "len", (F.col("pos") - F.col("at")).alias("_start"), "m").agg(F.count("*").alias("_c")).where("_c = m")
-    phrases = phrases.groupBy("term", *names_, "len").agg(F.count("*").alias("tf"), F.lit(False).alias("covered"))
-    single = met.where("m = 1").groupBy("term", *names_, "len").agg(F.count_if("hit").alias("tf"), F.max("covers").alias("covered"))
+    met = postings.alias("p").join(words.alias("w"), (F.col("p.word") == F.col("w.word")) & same_raw)
+    met = met.select("w.term", "w.at", "hit", "covers", *[F.col(f"p.{c}") for c in (index.key, index.store, "len", "pos")])
+    return met.join(terms.select("term", F.size("parts").alias("m")), "term")
+
+
+def _phrases(index: Index, met: DataFrame) -> DataFrame:
+    """term, key, store, len, m, pos: where the m parts of a term stand at places that follow one another."""
+    starts = met.where("m > 1 and hit").groupBy("term", index.key, index.store, "len", "m", (F.col("pos") - F.col("at")).alias("pos")).agg(F.count("*").alias("_c"))
+    return starts.where("_c = m").drop("_c")
+
+
+def term_rows(index: Index, terms: DataFrame) -> DataFrame:
+    """term, key, store, len, tf, covered: the texts in which each term matches or occurs."""
+    met, names = _met(index, terms), ["term", index.key, index.store, "len"]
+    phrases = _phrases(index, met).groupBy(*names).agg(F.count("*").alias("tf"), F.lit(False).alias("covered"))
+    single = met.where("m = 1").groupBy(*names).agg(F.count_if("hit").alias("tf"), F.max("covers").alias("covered"))
     return single.unionByName(phrases)
 
 
+def places(index: Index, terms: DataFrame) -> DataFrame:
+    """term, key, store, len, m, pos: every place at which a term matches."""
+    met = _met(index, terms.withColumn("cover", F.lit(False)))
+    single = met.where("m = 1 and hit").select("term", index.key, index.store, "len", "m", "pos")
+    return single.unionByName(_phrases(index, met))
+
+
 def weighed(index: Index, terms: DataFrame) -> DataFrame:
     """``term_rows`` with ``score``: what the term adds in that text, by the statistics of its store."""
     rows = settle(term_rows(index, terms), "term-rows")
