@@ -7,7 +7,6 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lorekeep.functions import text as T
 
@@ -45,54 +44,6 @@ def failure_resolutions(lines: DataFrame, limit: int = 5) -> DataFrame:
     return ranked.groupBy("session").applyInPandas(fold, "session long, fail_line long, fix_line long")
 
 
-def enqueue(rows: DataFrame, key: str, body: str, group: str, threshold: float = 0.7) -> DataFrame:
-    """id, seen_count: in order of the key, each candidate joins the first kept one that is near, within its group.
-
-    The fold is sequential within a group (a session), as each kept row is seen by
-    the next; equal texts are counted before it.
-    """
-    own = rows.select(F.col(key).alias("id"), F.col(group).cast("string").alias("grp"), T.canonical(body).alias("c"), F.array_sort(T.token_set(body)).alias("words"))
-    forms = own.groupBy("grp", "c").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("words", "id").alias("words"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in part.sort_values("id").itertuples():
-            words = set(r.words)
-            for k in kept:
-                if words and k[1] and len(words & k[1]) >= threshold * min(len(words), len(k[1])):
-                    k[2] += r.n
-                    break
-            else:
-                kept.append([r.id, words, r.n])
-        return pd.DataFrame([(k[0], k[2]) for k in kept], columns=["id", "seen_count"])
-
-    return forms.groupBy("grp").applyInPandas(fold, "id long, seen_count long")
-
-
-def snippet(text: str, terms: list[str], size: int = 32) -> str:
-    """The window of ``size`` words with most distinct terms, the first of equals."""
-    words = text.split()
-    if len(words) <= size:
-        return " ".join(words)
-    marks = [next((k for k, t in enumerate(terms) if t.lower() in w.lower()), -1) for w in words]
-    best, start = -1, 0
-    for i in range(len(words) - size + 1):
-        n = len({m for m in marks[i : i + size] if m >= 0})
-        if n > best:
-            best, start = n, i
-    return ("…" if start else "") + " ".join(words[start : start + size]) + ("…" if start + size < len(words) else "")
-
-
-def snippets(hits: DataFrame, query: str, key: str = "memory_id", body: str = "body") -> DataFrame:
-    terms = T.significant_terms(query)
-
-    @F.pandas_udf(StringType())
-    def cut(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: snippet(t or "", terms))
-
-    return hits.select(key, cut(body).alias("snippet"))
-
-
 def parse_python(path: str, source: str) -> tuple[list[tuple], list[tuple]]:
     """Definitions (kind, qualified name, first and last line) and calls (caller, callee) of a Python file."""
     try:

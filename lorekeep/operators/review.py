@@ -189,3 +189,8 @@ def skill_markdown(name: Column, description: Column, sections: dict[str, Column
     head = F.concat(F.lit("---\ndisabled: true\nname: "), name, F.lit("\n---\n\n# "), name, F.lit("\n\n"), description, F.lit("\n\n"))
     parts = [F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n\n- "), F.array_join(items, "\n- "), F.lit("\n\n"))).otherwise(F.lit("")) for title, items in sections.items()]
     return F.concat(head, *parts)
+
+
+def best_first(rows: DataFrame, group: str, score: str, tie: str, column: str) -> DataFrame:
+    """``rows`` with their number within each group, from 1: by falling score, then by ``tie``."""
+    return rows.withColumn(column, F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)))

@@ -86,7 +86,11 @@ def near_duplicate_pairs(rows: DataFrame, key: str, body: str, threshold: float
     that many sets hold is rarely among them.
     """
     sets = rows.select(key, F.array_sort(T.token_set(body)).alias("_set")).where(F.size("_set") > 0)
-    classes = settle(sets.groupBy("_set").agg(F.min(key).alias("id")).withColumn("n", F.size("_set")), "classes")
+    return set_pairs(settle(sets.groupBy("_set").agg(F.min(key).alias("id")).withColumn("n", F.size("_set")), "classes"), threshold)
+
+
+def set_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """The same of classes (id, _set, n) with distinct sets, none empty."""
     index = classes.select("id", "n", F.explode("_set").alias("term"))
     index = index.join(index.groupBy("term").agg(F.count("*").alias("df")), "term")
     rare = index.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms"))

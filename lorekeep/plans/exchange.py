@@ -104,7 +104,6 @@ query("F18_active_skill", lambda spark, sf: E.lifecycle(_skills(spark, sf), _act
 _STATES = ("pending", "accepted", "rejected", "edited")
 _items = lambda spark, sf: B.memory(spark, sf).select(F.col("memory_id").alias("id"), "summary", "category", F.element_at(F.array(*map(F.lit, _STATES)), (F.col("memory_id") % 4).cast("int") + 1).alias("state"), F.when(F.col("hit_count") == 3, "UpdateSkillDraft").otherwise("PromoteToMemory").alias("action"))
 _DRAFTS = f"dr AS (SELECT 'skill-' || memory_id AS draft_id, regexp_replace(regexp_replace({_low('summary')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS name, 'Suggested disabled workflow draft from review item ' || memory_id || '.' AS description, 'When work resembles: ' || summary AS trigger, true AS disabled FROM memory WHERE memory_id % 4 IN (1, 3) AND (category = 'CandidateSkill' OR hit_count = 3))"
-query("K22_skill_drafts", lambda spark, sf: E.skill_drafts(_items(spark, sf)), f"WITH {M}, {_DRAFTS} SELECT * FROM dr")
 query("K21_context_export", lambda spark, sf: E.context_lines(B.hits(spark, sf), E.skill_drafts(_items(spark, sf)), "Context", B.QUERY),
     f"WITH {M}, {_DRAFTS}, {bm25_sql(B.QUERY, _ACTIVE)} SELECT '0' AS at, '# Context' AS line UNION ALL SELECT '1', 'Query: `{B.QUERY}`' UNION ALL SELECT '2', '## Accepted Memory' UNION ALL SELECT '4', '## Suggested Skills' UNION ALL "
     "SELECT * FROM (SELECT '3.' || lpad(CAST(memory_id AS VARCHAR), 12, '0') AS at, '- `' || memory_id || '` score=' || score AS line FROM (SELECT * FROM hits ORDER BY rank_score DESC, memory_id LIMIT 6)) UNION ALL "
@@ -113,17 +112,3 @@ query("K21_context_export", lambda spark, sf: E.context_lines(B.hits(spark, sf),
 # statistics
 query("A8_api_status", lambda spark, sf: _items(spark, sf).join(B.read(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("_p")).distinct(), "id", "left").agg(F.count_if(F.col("state") == "pending").alias("pending"), F.count_if(F.col("_p").isNotNull()).alias("accepted"), F.count_if(F.col("state").isin("accepted", "edited") & F.col("_p").isNull()).alias("accepted_awaiting_promotion")),
     f"WITH {M}, p AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT count(*) FILTER (memory_id % 4 = 0) AS pending, count(doc_id) AS accepted, count(*) FILTER (memory_id % 4 IN (1, 3) AND doc_id IS NULL) AS accepted_awaiting_promotion FROM memory LEFT JOIN p ON doc_id = memory_id")
-
-
-def _eval(spark, sf, shift: int):
-    """Per source: recall of expected rows among the first five by an order, 1 where nothing is expected."""
-    rows = B.memory(spark, sf).select("source_session", "memory_id", F.col("stale").alias("expected"), ((F.col("memory_id") * 31 + shift) % 97).alias("at"))
-    first = S.first_per(rows.where("source_session is not null"), ["source_session"], ["at", "memory_id"], 5).where("expected").groupBy("source_session").agg(F.count("*").alias("hit"))
-    own = rows.where("source_session is not null").groupBy("source_session").agg(F.count_if("expected").alias("n"))
-    return own.join(first, "source_session", "left").select("source_session", F.round(F.when(F.col("n") == 0, 1.0).otherwise(F.coalesce("hit", F.lit(0)) / F.col("n")), 6).alias("recall_at_5"))
-
-
-_EVAL = lambda shift: f"SELECT source_session, round(CASE WHEN count(*) FILTER (stale) = 0 THEN 1.0 ELSE count(*) FILTER (stale AND k <= 5) / count(*) FILTER (stale) END, 6) AS recall_at_5 FROM (SELECT *, row_number() OVER (PARTITION BY source_session ORDER BY (memory_id * 31 + {shift}) % 97, memory_id) AS k FROM memory WHERE source_session IS NOT NULL) GROUP BY source_session"
-query("A14_recall_at_k", lambda spark, sf: _eval(spark, sf, 0), f"WITH {M} {_EVAL(0)}")
-query("A19_eval_lift", lambda spark, sf: _eval(spark, sf, 0).agg(F.coalesce(F.avg("recall_at_5"), F.lit(1.0)).alias("a")).crossJoin(F.broadcast(_eval(spark, sf, 50).agg(F.coalesce(F.avg("recall_at_5"), F.lit(1.0)).alias("b")))).select(F.round("a", 5).alias("baseline"), F.round(F.col("b") - F.col("a"), 5).alias("lift")),
-    f"WITH {M}, a AS ({_EVAL(0)}), b AS ({_EVAL(50)}), s AS (SELECT (SELECT coalesce(avg(recall_at_5), 1.0) FROM a) AS a, (SELECT coalesce(avg(recall_at_5), 1.0) FROM b) AS b) SELECT round(a, 5) AS baseline, round(b - a, 5) AS lift FROM s")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, exchange, ingest, retrieval, reviews, texts, workspace
+from . import analytics, exchange, ingest, recall, retrieval, reviews, texts, workspace
 
-_MODULES = (texts, analytics, retrieval, reviews, workspace, exchange, ingest)
+_MODULES = (texts, analytics, retrieval, reviews, workspace, exchange, ingest, recall)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

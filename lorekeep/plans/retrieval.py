@@ -10,13 +10,14 @@ from lorekeep.functions import text as T
 from lorekeep.operators import extraction as X
 from lorekeep.operators import graph as G
 from lorekeep.operators import index as I
+from lorekeep.operators import queue as Q
 from lorekeep.operators import search as R
 from lorekeep.operators import state as S
 from lorekeep.operators import workspace as W
 from lorekeep.sources import files as files_
 
 from . import bindings as B
-from .texts import _TOKENS, _low
+from .texts import _CANON, _TOKENS, _low
 
 QUERIES, ORACLES = {}, {}
 M = B.MEMORY
@@ -106,8 +107,6 @@ query("J18_near_duplicates", lambda spark, sf: R.near_duplicate_pairs(B.read(spa
     f"WITH s AS (SELECT item_id, list_sort({_TOKENS('text')}) AS t FROM benchmark), c AS (SELECT t, min(item_id) AS id FROM s WHERE len(t) > 0 GROUP BY t) SELECT a, b, round(n / m, 6) AS overlap FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS n, least(len(x.t), len(y.t)) AS m FROM c x JOIN c y ON x.id < y.id) WHERE n >= 0.1 * m AND n > 0")
 query("T4_similarity", lambda spark, sf: B.memory(spark, sf).select("memory_id", F.round(T.overlap(T.token_set("summary"), T.token_set(F.lit("Never acquire locks before the service timeout"))), 6).alias("overlap")),
     f"WITH {M} SELECT memory_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END, 6) AS overlap FROM (SELECT memory_id, {_TOKENS('summary')} AS a, {_TOKENS(chr(39) + 'Never acquire locks before the service timeout' + chr(39))} AS b FROM memory)")
-query("R9_accepted_match", lambda spark, sf: hits(spark, sf).select("memory_id", T.overlap(T.token_set("summary"), T.token_set(F.lit(B.QUERY))).alias("o")).orderBy(F.desc("o"), "memory_id").limit(1).select("memory_id", F.round("o", 6).alias("overlap"), (F.col("o") >= 0.6).alias("duplicate")),
-    f"WITH {M}, {_HITS}, o AS (SELECT memory_id, CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END AS o FROM (SELECT memory_id, {_TOKENS('summary')} AS a, {_TOKENS(chr(39) + B.QUERY + chr(39))} AS b FROM hits)) SELECT memory_id, round(o, 6) AS overlap, o >= 0.6 AS duplicate FROM o ORDER BY o.o DESC, memory_id LIMIT 1")
 query("R12_passages", lambda spark, sf: B.read(spark, sf, "documents").where("source = 'src1'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "body")).select("doc_id", F.col("ordinal").cast("long"), "body"),
     "SELECT doc_id, unnest(range(len(t))) AS ordinal, unnest(t) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE source = 'src1')")
 _rel = lambda m: S.relationships(m.withColumn("related_files", F.array(F.concat(F.lit("f"), F.col("memory_id") % 7))).withColumn("related_entities", F.array(F.concat(F.lit("x"), F.col("memory_id") % 5), F.lit("x0"))))
@@ -168,8 +167,19 @@ query("J1_hits_by_memory", lambda spark, sf: hits(spark, sf).groupBy("category")
 
 # order-dependent passes and text codecs
 query("K13_failure_resolutions", lambda spark, sf: X.failure_resolutions(B.lines(spark, sf)))
-query("M12_greedy_enqueue", lambda spark, sf: X.enqueue(B.memory(spark, sf).withColumn("group", F.concat("source_session", F.lit("/"), "category")), "memory_id", "summary", "group"))
-query("R2_snippets", lambda spark, sf: X.snippets(hits(spark, sf), B.QUERY))
+# the queue: contradicted memories wait in it, the others arrive by id; the SQL takes one candidate at a time
+_GREEDY = (
+    f"WITH RECURSIVE {M}, s AS (SELECT memory_id AS id, contradicted AS waits, list_sort({_TOKENS('summary')}) AS t, {_CANON('summary')} AS c FROM memory), "
+    "nb AS (SELECT x.id, list(y.id) AS near FROM s x JOIN s y ON x.id <> y.id AND (x.c = y.c OR (len(x.t) > 0 AND len(y.t) > 0 AND len(list_intersect(x.t, y.t)) >= 0.7 * least(len(x.t), len(y.t)))) GROUP BY x.id), "
+    "o AS (SELECT s.id, row_number() OVER (ORDER BY s.id) AS no, coalesce(near, []) AS near FROM s LEFT JOIN nb USING (id) WHERE NOT waits), "
+    "f(no, kept) AS (SELECT CAST(0 AS BIGINT), coalesce((SELECT list(id) FROM s WHERE waits), []) UNION ALL SELECT f.no + 1, CASE WHEN len(list_intersect(near, kept)) > 0 THEN kept ELSE list_append(kept, id) END FROM f JOIN o ON o.no = f.no + 1), "
+    "k AS (SELECT kept FROM f ORDER BY no DESC LIMIT 1), "
+    "q AS (SELECT s.id, waits, CASE WHEN list_contains(kept, s.id) THEN s.id ELSE (SELECT arg_min(z.id, CASE WHEN z.waits THEN z.id ELSE z.id + 1000000000 END) FROM s z WHERE list_contains(nb.near, z.id) AND list_contains(kept, z.id)) END AS survivor FROM s LEFT JOIN nb USING (id), k) "
+)
+_queue = lambda spark, sf: Q.enqueued(B.memory(spark, sf), "memory_id", "summary", "contradicted")
+query("M12_greedy_enqueue", lambda spark, sf: Q.seen_counts(_queue(spark, sf)), f"{_GREEDY} SELECT survivor AS id, count(*) AS seen_count FROM q GROUP BY survivor")
+query("M30_import_prediction", lambda spark, sf: Q.predicted(_queue(spark, sf)),
+    f"{_GREEDY} SELECT count(*) AS total, count(*) FILTER (id = survivor) AS added, count(*) FILTER (id <> survivor) AS duplicate FROM q WHERE NOT waits")
 query("T8_markdown_chunks", lambda spark, sf: files_.chunks(B.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# Title\n"), F.regexp_replace("text", "\n", "\n\n")).alias("text"))))
 _entries = lambda spark, sf: B.memory(spark, sf).select(F.col("memory_id").cast("string").alias("id"), F.col("store").alias("scope"), "category", "status", F.col("confidence").cast("string").alias("confidence"), F.col("created_at").cast("string").alias("created_at"), "body")
 query("IO5_markdown_round_trip", lambda spark, sf: files_.from_markdown(files_.to_markdown(_entries(spark, sf))).select("id", "category", "status", "body"),

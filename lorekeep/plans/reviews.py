@@ -118,15 +118,6 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 ITEMS = f"""{B.MEMORY}, items AS (SELECT memory_id AS item_id, summary, confidence, memory_id % 6 = 0 AS sourced, contradicted AS conflict, CASE WHEN memory_id % 3 = 0 THEN memory_id + 1 END AS target,
   stale AS duplicate, memory_id % 5 <> 0 AS general, ['pending', 'accepted', 'edited', 'rejected'][CAST(memory_id % 4 AS INT) + 1] AS state, memory_id % 7 = 1 AS needs_edit,
   CASE WHEN memory_id % 9 = 1 THEN 'edited ' || memory_id END AS replacement, store = 'global' AS wants_global FROM memory)"""
-_REPLACES = "conflict AND target IS NOT NULL AND general AND confidence >= 0.82"
-_ACCEPTS = "NOT conflict AND NOT duplicate AND general"
-for _mode, _rule in (
-    ("manual", "'manual'"),
-    ("assisted", "CASE WHEN sourced THEN 'manual' ELSE 'annotate' END"),
-    ("trusted", f"CASE WHEN sourced THEN 'manual' WHEN {_REPLACES} THEN 'supersede' WHEN {_ACCEPTS} AND confidence >= 0.82 THEN 'accept' ELSE 'manual' END"),
-    ("automatic", f"CASE WHEN sourced THEN 'manual' WHEN {_REPLACES} THEN 'supersede' WHEN {_ACCEPTS} THEN 'accept' ELSE 'manual' END"),
-):
-    query(f"M15_review_{_mode}", lambda spark, sf, mode=_mode: V.decide(_items(spark, sf), mode).select("item_id", "decision"), f"WITH {ITEMS} SELECT item_id, {_rule} AS decision FROM items")
 query(
     "M2_promotion",
     lambda spark, sf: V.promote(_items(spark, sf), True),

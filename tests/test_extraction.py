@@ -16,12 +16,6 @@ def test_pairing_jumps_behind_a_fix(spark):
     assert [tuple(r) for r in X.failure_resolutions(lines).collect()] == [(1, 0, 2)]
 
 
-def test_greedy_enqueue(spark):
-    rows = [(1, "acquire locks in order", "s"), (2, "Acquire locks in order.", "s"), (3, "acquire locks order always", "s"), (4, "zebra crossing", "s"), (5, "acquire locks in order", "t")]
-    got = X.enqueue(spark.createDataFrame(rows, "id long, x string, g string"), "id", "x", "g")
-    assert sorted(map(tuple, got.collect())) == [(1, 3), (4, 1), (5, 1)]
-
-
 def test_markdown_round_trip(spark):
     rows = spark.createDataFrame([("1", "project", "Process", "active", "0.5", "2024-01-01", "body\n---\nmore")], "id string, scope string, category string, status string, confidence string, created_at string, body string")
     assert [tuple(r) for r in S.from_markdown(S.to_markdown(rows)).collect()] == [tuple(r) for r in rows.collect()]
@@ -43,7 +37,7 @@ def test_parser_and_helpers(spark):
     assert [i[:2] for i in items] == [("type", "m.py::A"), ("function", "m.py::A::f"), ("test", "m.py::test_x")] and calls == [("m.py::A::f", "g")]
     assert X.parse_python("m.py", "def (") == ([], [])
     assert S.lesson_bullets("- a long enough lesson bullet\n  goes on\n- short\n- [link](x) is an entry of the index\n") == ["a long enough lesson bullet goes on"]
-    assert X.snippet("a " * 40 + "locks order", ["locks"]).startswith("…") and X.doc_search_state(1, True, True, 3, 0) == "IndexMismatch"
+    assert X.doc_search_state(1, True, True, 3, 0) == "IndexMismatch"
     rows = spark.createDataFrame([('<think>{</think>```json\n{"a": 1}\n```',), ("none",)], "x string")
     assert [r[0] for r in rows.select(S.json_payload(F.col("x"))).collect()] == ['{"a": 1}', None]
     assert S.embed(spark.createDataFrame([(1, "x")], "memory_id long, body string"), lambda texts: [[float(len(t))] for t in texts]).collect()[0]["vector"] == [1.0]
