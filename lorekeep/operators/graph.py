@@ -118,15 +118,3 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 def last_write(edges: DataFrame, key: str, order: str) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-
-
-def span_overlap(items: DataFrame, spans: DataFrame) -> DataFrame:
-    """Items whose line range meets a changed span of the same path."""
-    meets = (items["path"] == spans["path"]) & (items["line_start"] <= spans["line_end"]) & (spans["line_start"] <= items["line_end"])
-    return items.join(spans, meets, "left_semi")
-
-
-def innermost(calls: DataFrame, items: DataFrame) -> DataFrame:
-    """Each call with the innermost definition around it."""
-    joined = calls.join(items, (calls["path"] == items["path"]) & (items["byte_start"] <= calls["at"]) & (calls["at"] < items["byte_end"]))
-    return joined.groupBy(calls["path"], calls["at"]).agg(F.max_by("item", "byte_start").alias("item"))

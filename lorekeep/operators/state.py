@@ -36,10 +36,22 @@ def bump_usage(memory: DataFrame, used: DataFrame, key: str = "memory_id") -> Da
     return memory.join(hit, key, "left").withColumn("hit_count", F.col("hit_count") + more).select(*memory.columns)
 
 
+def polarities(memory: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """key, entity, no: whether each active memory of an entity prohibits; bodies are read once."""
+    polar = memory.where("status = 'active'").select(key, T.prohibits("body").alias("no"))
+    return settle(entities.join(polar, key).select(key, "entity", "no").distinct(), "polarities")
+
+
+def contradicted_ids(memory: DataFrame, entities: DataFrame, said: DataFrame, key: str = "memory_id") -> DataFrame:
+    """The ids in ``all_contradictions``, without its pairs: all of an entity with both polarities, and those stated."""
+    own = polarities(memory, entities, key)
+    mixed = own.groupBy("entity").agg(F.min("no").alias("all"), F.max("no").alias("any")).where("any and not all").select("entity")
+    return own.join(mixed, "entity", "left_semi").select(key).unionAll(said.select(key)).unionAll(said.select(F.col("target").alias(key))).distinct()
+
+
 def contradictions(memory: DataFrame, entities: DataFrame, key: str = "memory_id") -> DataFrame:
     """Pairs that share an entity and differ in polarity, both ways."""
-    polar = memory.where("status = 'active'").select(key, T.prohibits("body").alias("no"))
-    own = entities.join(polar, key)
+    own = polarities(memory, entities, key)
     yes = own.where("not no").select(F.col(key).alias("x"), "entity").distinct()
     no = own.where("no").select(F.col(key).alias("y"), "entity").distinct()
     pairs = yes.join(no, "entity").select("x", "y").distinct()

@@ -182,7 +182,7 @@ query("M6_contradictions", lambda spark, sf: S.all_contradictions((m := B.memory
     f"WITH {M}, e AS (SELECT memory_id, source_session || '/' || category AS entity FROM memory WHERE category IN ('Process', 'ToolUse', 'CodePattern')), p AS (SELECT memory_id, {_any(_low('body'), T.PROHIBITIONS)} AS no FROM memory WHERE {ACTIVE}), "
     "s AS (SELECT memory_id, memory_id + 7 AS target FROM memory WHERE memory_id % 10 = 3) "
     "SELECT DISTINCT a.memory_id, b.memory_id AS target FROM e a JOIN p pa ON a.memory_id = pa.memory_id JOIN e b ON a.entity = b.entity JOIN p pb ON b.memory_id = pb.memory_id WHERE pa.no <> pb.no UNION SELECT memory_id, target FROM s UNION SELECT target, memory_id FROM s")
-query("M6_flags", lambda spark, sf: S.mark((m := B.memory(spark, sf)).select("memory_id", "status", "contradicted"), S.all_contradictions(m, _ENT(m), _said(spark, sf)).join(m.where(ACTIVE).select("memory_id"), "memory_id", "left_semi"), "memory_id", "contradicted", F.lit(True)).select("memory_id", "contradicted"),
+query("M6_flags", lambda spark, sf: S.mark((m := B.memory(spark, sf)).select("memory_id", "status", "contradicted"), S.contradicted_ids(m, _ENT(m), _said(spark, sf)).join(m.where(ACTIVE).select("memory_id"), "memory_id", "left_semi"), "memory_id", "contradicted", F.lit(True)).select("memory_id", "contradicted"),
     f"WITH x AS ({ORACLES['M6_contradictions']}), {M} SELECT memory_id, contradicted OR (status = 'active' AND memory_id IN (SELECT memory_id FROM x)) AS contradicted FROM memory")
 query("M7_relationships", lambda spark, sf: S.relationships(B.memory(spark, sf).withColumn("related_files", F.array(F.concat(F.lit("f"), F.col("memory_id") % 7))).withColumn("related_entities", F.array(F.lit("x"), F.lit("x")))),
     f"WITH {M} SELECT memory_id, 'category' AS relation_kind, category AS target FROM memory UNION SELECT memory_id, 'session', source_session FROM memory UNION SELECT memory_id, 'file', 'f' || (memory_id % 7) FROM memory UNION SELECT memory_id, 'entity', 'x' FROM memory")

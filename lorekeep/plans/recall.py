@@ -33,7 +33,7 @@ _FOLD = lambda x: f"lower(translate({x}, '{I.ACCENTED}', '{I.PLAIN}'))"  # noqa:
 _OUTER = "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$"
 _PART = "list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 SEARCHED = f"""
-tk AS (SELECT memory_id, store, body, {_PART.format(_FOLD('coalesce(body, chr(32))'))} AS ws FROM memory),
+tk AS (SELECT memory_id, store, body, {_low('body')} AS lb, {_PART.format(_FOLD('coalesce(body, chr(32))'))} AS ws FROM memory),
 st AS (SELECT store, count(*) AS n, avg(len(ws)) AS av FROM tk GROUP BY store),
 qt AS (SELECT ask, unnest(range(len(ts))) AS i, unnest(ts) AS term, len(ts) AS nt FROM (SELECT ask, list_filter(list_transform(regexp_split_to_array(query, '\\s+'),
   lambda t: regexp_replace(t, '{_OUTER}', '', 'g')), lambda t: t <> '' AND NOT list_contains({_list(T.QUERY_STOP_WORDS)}, {_low('t')})) AS ts FROM asked)),
@@ -44,7 +44,7 @@ up AS (SELECT term, len(ps) AS m, unnest(range(len(ps))) AS k, unnest(ps) AS par
 rw AS (SELECT term, m, k, w FROM up JOIN (SELECT DISTINCT w FROM tp) ON CASE WHEN open AND k = m - 1 THEN starts_with(w, part) ELSE w = part END),
 ph AS (SELECT term, memory_id, store, len, m, pos - k AS pos FROM rw JOIN tp USING (w) GROUP BY term, memory_id, store, len, m, pos - k HAVING count(*) = m),
 pp AS (SELECT term, memory_id, store, m, list(pos) AS places FROM ph GROUP BY term, memory_id, store, m),
-cv AS (SELECT DISTINCT dt.term, tk.memory_id, tk.store FROM dt JOIN tk ON contains({_low('body')}, term)),
+cv AS (SELECT DISTINCT dt.term, tk.memory_id, tk.store FROM dt JOIN tk ON contains(lb, term)),
 pl AS (SELECT term, memory_id, store, len(ws) AS len, m, coalesce(places, []) AS places, cv.term IS NOT NULL AS covered FROM pp FULL JOIN cv USING (term, memory_id, store) JOIN tk USING (memory_id, store)),
 df AS (SELECT term, store, count(*) AS df FROM pl WHERE len(places) > 0 GROUP BY term, store),
 wt AS (SELECT pl.*, CASE WHEN len(places) = 0 THEN 0.0 ELSE (CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * len(places) * {I.K1 + 1}

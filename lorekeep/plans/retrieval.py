@@ -10,6 +10,7 @@ from lorekeep.functions import text as T
 from lorekeep.operators import extraction as X
 from lorekeep.operators import graph as G
 from lorekeep.operators import index as I
+from lorekeep.operators import intervals as V
 from lorekeep.operators import queue as Q
 from lorekeep.operators import search as R
 from lorekeep.operators import state as S
@@ -103,8 +104,9 @@ query("K11_rerank_window", lambda spark, sf: R.rerank_window(scan(spark, sf), 20
     f"WITH {_RANKED} SELECT vec_id, row_number() OVER (ORDER BY CASE WHEN rank <= 20 THEN 0 ELSE 1 END, CASE WHEN rank <= 20 THEN -cosine END, rank) AS position FROM rk")
 query("K12_rerank_scored", lambda spark, sf: R.rerank_scored(_ranked(spark, sf).withColumn("cosine", F.when(F.col("label") > 2, F.col("cosine"))), 50).select("vec_id", "position"),
     f"WITH {_RANKED}, s AS (SELECT *, row_number() OVER (ORDER BY rank) AS seat, row_number() OVER (ORDER BY cosine DESC, rank) AS k FROM rk WHERE rank <= 50 AND label > 2) SELECT a.vec_id, b.rank AS position FROM s a JOIN s b ON a.k = b.seat UNION ALL SELECT vec_id, rank FROM rk WHERE rank > 50 OR coalesce(label, 0) <= 2")
-query("J18_near_duplicates", lambda spark, sf: R.near_duplicate_pairs(B.read(spark, sf, "benchmark"), "item_id", "text", 0.1),
-    f"WITH s AS (SELECT item_id, list_sort({_TOKENS('text')}) AS t FROM benchmark), c AS (SELECT t, min(item_id) AS id FROM s WHERE len(t) > 0 GROUP BY t) SELECT a, b, round(n / m, 6) AS overlap FROM (SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t)) AS n, least(len(x.t), len(y.t)) AS m FROM c x JOIN c y ON x.id < y.id) WHERE n >= 0.1 * m AND n > 0")
+query("J18_near_duplicates", lambda spark, sf: R.near_duplicate_pairs(B.read(spark, sf, "documents"), "doc_id", "text", 0.7),
+    f"WITH s AS (SELECT doc_id, list_sort({_TOKENS('text')}) AS t FROM documents), c AS (SELECT t, min(doc_id) AS id FROM s WHERE len(t) > 0 GROUP BY t), w AS (SELECT id, len(t) AS m, unnest(t) AS term FROM c) "
+    "SELECT a, b, round(n / m, 6) AS overlap FROM (SELECT x.id AS a, y.id AS b, count(*) AS n, any_value(least(x.m, y.m)) AS m FROM w x JOIN w y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id) WHERE n >= 0.7 * m")
 query("T4_similarity", lambda spark, sf: B.memory(spark, sf).select("memory_id", F.round(T.overlap(T.token_set("summary"), T.token_set(F.lit("Never acquire locks before the service timeout"))), 6).alias("overlap")),
     f"WITH {M} SELECT memory_id, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END, 6) AS overlap FROM (SELECT memory_id, {_TOKENS('summary')} AS a, {_TOKENS(chr(39) + 'Never acquire locks before the service timeout' + chr(39))} AS b FROM memory)")
 query("R12_passages", lambda spark, sf: B.read(spark, sf, "documents").where("source = 'src1'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "body")).select("doc_id", F.col("ordinal").cast("long"), "body"),
@@ -156,9 +158,9 @@ query("J9_call_resolution", lambda spark, sf: G.resolve_calls(
     "SELECT DISTINCT src, dst, confidence FROM (SELECT caller AS src, CASE WHEN sm.c = 1 THEN sm.x WHEN al.c = 1 THEN al.x END AS dst, CAST(CASE WHEN sm.c = 1 THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence FROM cl LEFT JOIN sm ON sm.file = cl.file AND sm.name = callee LEFT JOIN al ON al.name = callee) WHERE dst IS NOT NULL AND src <> dst")
 query("U4_last_write", lambda spark, sf: G.last_write(B.read(spark, sf, "lineitem").select(F.concat_ws("-", "l_partkey", "l_suppkey").alias("edge"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position")), "edge", "position"),
     "SELECT edge, max(position) AS position FROM (SELECT l_partkey || '-' || l_suppkey AS edge, l_orderkey * 10 + l_linenumber AS position FROM lineitem) GROUP BY edge")
-query("F9_span_overlap", lambda spark, sf: G.span_overlap(B.read(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("path"), F.col("o_custkey").alias("line_start"), (F.col("o_custkey") + 5).alias("line_end")), B.read(spark, sf, "nation").select(F.lit("F").alias("path"), (F.col("n_nationkey") * 10).alias("line_start"), (F.col("n_nationkey") * 10 + 2).alias("line_end"))).select("item"),
+query("F9_span_overlap", lambda spark, sf: V.meeting(B.read(spark, sf, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("path"), F.col("o_custkey").alias("line_start"), (F.col("o_custkey") + 5).alias("line_end")), B.read(spark, sf, "nation").select(F.lit("F").alias("path"), (F.col("n_nationkey") * 10).alias("line_start"), (F.col("n_nationkey") * 10 + 2).alias("line_end"))).select("item"),
     "SELECT o_orderkey AS item FROM orders WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM nation WHERE o_custkey <= n_nationkey * 10 + 2 AND n_nationkey * 10 <= o_custkey + 5)")
-query("J14_innermost_definition", lambda spark, sf: G.innermost(B.read(spark, sf, "nation").select(F.lit("a").alias("path"), (F.col("n_nationkey") * 7).cast("long").alias("at")), B.read(spark, sf, "supplier").select(F.lit("a").alias("path"), F.col("s_suppkey").alias("item"), F.col("s_suppkey").alias("byte_start"), (F.col("s_suppkey") + 9).alias("byte_end"))),
+query("J14_innermost_definition", lambda spark, sf: V.innermost(B.read(spark, sf, "nation").select(F.lit("a").alias("path"), (F.col("n_nationkey") * 7).cast("long").alias("at")), B.read(spark, sf, "supplier").select(F.lit("a").alias("path"), F.col("s_suppkey").alias("item"), F.col("s_suppkey").alias("byte_start"), (F.col("s_suppkey") + 9).alias("byte_end"))),
     "SELECT 'a' AS path, CAST(n_nationkey * 7 AS BIGINT) AS at, max_by(s_suppkey, s_suppkey) AS item FROM nation JOIN supplier ON s_suppkey <= n_nationkey * 7 AND n_nationkey * 7 < s_suppkey + 9 GROUP BY 1, 2")
 query("J12_doc_mentions", lambda spark, sf: B.read(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" `small ring` and `Supplier#"), F.lpad((F.col("doc_id") % 150).cast("string"), 9, "0"), F.lit("`")).alias("text")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("`([^`]+)`"), F.lit(1))).alias("name")).distinct().join(B.nodes(spark, sf).where("kind in ('function', 'type')").select("name", "node"), "name").select("doc_id", "node").distinct(),
     f"WITH {B.NODES}, t AS (SELECT doc_id, unnest(regexp_extract_all(text || ' `small ring` and `Supplier#' || lpad(CAST(doc_id % 150 AS VARCHAR), 9, '0') || '`', '`([^`]+)`', 1)) AS name FROM documents) SELECT DISTINCT doc_id, node FROM t JOIN nodes USING (name) WHERE kind IN ('function', 'type')")
