@@ -125,8 +125,8 @@ def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("action").isNotNull() & ~bad, state).otherwise(F.col("state")).alias("state"), F.when(bad, "replacement text is required").alias("error"))
 
 
-def freshness(memory: DataFrame, today: Column, max_flags: int = 25, age_limit: int = 365, unused: int = 90, versioned: int = 180) -> DataFrame:
-    """memory_id, reason of the memories to review, the most actionable first."""
+def freshness_reasons(memory: DataFrame, today: Column, age_limit: int = 365, unused: int = 90, versioned: int = 180) -> DataFrame:
+    """memory_id, reason of all active memories that aren't flagged yet; a null reason where there is nothing to review."""
     age = F.datediff(today, F.to_date(F.substring(F.col("created_at").cast("string"), 1, 10)))
     reason = (
         F.when(T.quality_label(F.col("category"), F.concat(F.lit("\n"), F.col("body"))) != "General", "LowQuality")
@@ -134,11 +134,27 @@ def freshness(memory: DataFrame, today: Column, max_flags: int = 25, age_limit:
         .when((F.col("hit_count") == 0) & (age >= unused), "Unused")
         .when(age >= age_limit, "Age")
     )
+    return memory.where("status = 'active' and not stale").select("memory_id", reason.alias("reason"))
+
+
+def freshness(memory: DataFrame, today: Column, max_flags: int = 25, age_limit: int = 365, unused: int = 90, versioned: int = 180) -> DataFrame:
+    """memory_id, reason of the memories to review, the most actionable first."""
     rank = F.when(F.col("reason") == "LowQuality", 0).when(F.col("reason") == "VersionSensitive", 1).when(F.col("reason") == "Unused", 2).otherwise(3)
-    out = memory.where("status = 'active' and not stale").select("memory_id", reason.alias("reason")).where("reason is not null")
+    out = freshness_reasons(memory, today, age_limit, unused, versioned).where("reason is not null")
     return out.orderBy(rank, "memory_id").limit(max_flags)
 
 
+def freshness_report(memory: DataFrame, today: Column, scopes: tuple[str, ...], max_flags: int = 25) -> DataFrame:
+    """What a pass over the scopes would do, in one row: scanned, matches by reason before the cap, flagged, capped."""
+    found = freshness_reasons(memory.where(F.col("store").isin(*scopes)), today)
+    named = (("low_quality", "LowQuality"), ("version_sensitive", "VersionSensitive"), ("unused", "Unused"), ("age", "Age"))
+    matches = F.count("reason")
+    return found.agg(
+        F.count("*").alias("scanned"), *[F.count_if(F.col("reason") == r).alias(c) for c, r in named],
+        F.least(matches, F.lit(max_flags)).alias("flagged"), (matches > max_flags).alias("capped"),
+    )
+
+
 def first_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 

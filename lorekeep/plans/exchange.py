@@ -87,11 +87,16 @@ query("M33_bump_seen", lambda spark, sf: B.memory(spark, sf).select("memory_id",
     f"WITH {M}, e AS (SELECT user_id, count(*) AS again FROM events GROUP BY user_id) SELECT memory_id, md5(CASE WHEN memory_id % 7 = 0 THEN lower(summary) ELSE summary END) AS candidate, 1 + coalesce(again, 0) AS seen_count FROM memory LEFT JOIN e ON user_id = memory_id")
 query("M35_typed_audit", lambda spark, sf: B.read(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "click", "review").when(F.col("event_type") == "view", "context_export").when(F.col("event_type") == "error", "inference_call").otherwise("skill_draft").alias("audit"), F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k").cast("long")).alias("tokens")),
     "SELECT event_id, CASE event_type WHEN 'click' THEN 'review' WHEN 'view' THEN 'context_export' WHEN 'error' THEN 'inference_call' ELSE 'skill_draft' END AS audit, CASE WHEN event_type = 'error' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS tokens FROM events")
-query("M3_persist_entry", lambda spark, sf: S.upsert(B.memory(spark, sf).where("store = 'project'").select("memory_id", "category"), B.memory(spark, sf).where("store = 'global'").select("memory_id", "category"), "memory_id").select("memory_id", "category"), f"WITH {M} SELECT memory_id, category FROM memory")
+# what is stored (not stale) meets what is persisted (stale or contradicted): entries are replaced, their use is kept
+_stored = lambda spark, sf: B.memory(spark, sf).where("not stale").select("memory_id", "category", "status", "hit_count")
+_entries = lambda spark, sf: B.memory(spark, sf).where("stale or contradicted").select("memory_id", F.lit("AntiPattern").alias("category"), F.lit("active").alias("status"), F.lit(0).cast("long").alias("hit_count"))
+query("M3_persist_entry", lambda spark, sf: S.upsert(_stored(spark, sf), _entries(spark, sf), "memory_id", ("hit_count",)),
+    f"""WITH {M} SELECT memory_id, CASE WHEN stale OR contradicted THEN 'AntiPattern' ELSE category END AS category, CASE WHEN stale OR contradicted THEN 'active' ELSE status END AS status,
+    CASE WHEN stale THEN 0 ELSE hit_count END AS hit_count FROM memory""")
 query("M5_delete_cascade", lambda spark, sf: S.delete(S.relationships(B.memory(spark, sf).withColumn("related_files", F.array(F.lit("f"))).withColumn("related_entities", F.array(F.lit("x")))), (gone := B.read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("memory_id"))), "memory_id").select("memory_id", F.col("relation_kind").alias("part")).unionAll(S.delete(B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("memory_id"), F.lit("vector").alias("part")), gone, "memory_id")),
     f"WITH {M} SELECT memory_id, unnest(['category', 'session', 'file', 'entity']) AS part FROM memory WHERE memory_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT vec_id, 'vector' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 _today = lambda: F.lit("2025-01-01").cast("date")
-query("M31_freshness_dry_run", lambda spark, sf: S.freshness_pass(B.memory(spark, sf), _today(), ("project",), dry_run=True).groupBy("store").agg(F.count_if("stale").alias("stale")), f"WITH {M} SELECT store, count(*) FILTER (stale) AS stale FROM memory GROUP BY store")
+query("M31_freshness_dry_run", lambda spark, sf: S.freshness_report(B.memory(spark, sf), _today(), ("project",)))
 query("M31_freshness_pass", lambda spark, sf: S.freshness_pass(B.memory(spark, sf), _today(), ("project", "global")).groupBy("store").agg(F.count_if("stale").alias("stale")))
 
 # skills

@@ -40,8 +40,8 @@ query("T5_near_duplicate", lambda spark, sf: B.memory(spark, sf).select("memory_
     f"WITH {M} SELECT memory_id, CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0.0 END >= 0.7 AS near FROM (SELECT memory_id, {_TOKENS('summary')} AS a, {_TOKENS(chr(40) + 'category || chr(32) || substring(body, 1, 200)' + chr(41))} AS b FROM memory)")
 
 # transcripts: redacted first, then named by their text
-_whole = lambda spark, sf: B.read(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), B._phrase(F.col("conv_id") + F.col("turn")), F.lit("\n"), "role").alias("raw"))
-_RAW = f"SELECT conv_id, turn, {_redacted('role || ' + _q(': ') + ' || ' + B._sql_list(B.PHRASES) + f'[CAST((conv_id + turn) % {len(B.PHRASES)} AS INT) + 1] || chr(10) || role')} AS x FROM conversations"
+_whole = lambda spark, sf: B.read(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), B._phrase(F.col("conv_id") + F.col("turn")), F.lit("\n"), "text").alias("raw"))
+_RAW = f"SELECT conv_id, turn, {_redacted('role || ' + _q(': ') + ' || ' + B._sql_list(B.PHRASES) + f'[CAST((conv_id + turn) % {len(B.PHRASES)} AS INT) + 1] || chr(10) || text')} AS x FROM conversations"
 query("IO1_import_transcript", lambda spark, sf: files_.import_transcripts(_whole(spark, sf), "raw", "GenericTranscript", "PlainText").select("conv_id", "turn", "session_id", "redacted", "format"),
     f"SELECT conv_id, turn, {fnv_sql(_q('GenericTranscript') + ' || chr(10) || x')} AS session_id, x AS redacted, 'PlainText' AS format FROM ({_RAW})")
 
@@ -80,8 +80,10 @@ query("G11_ingest_edges", lambda spark, sf: X.ingest(_code(spark, sf))[1],
     "SELECT 'm' || p_partkey || '.py::C::test_it', 'm' || p_partkey || '.py::f' || p_partkey, 'calls', CAST(0.9 AS DOUBLE) FROM part UNION ALL "
     "SELECT 'm' || p_partkey || '.py::f' || p_partkey, 'm' || p_partkey || '.py::C::test_it', 'tested_by', CAST(1.0 AS DOUBLE) FROM part")
 query("G12_file_nodes", lambda spark, sf: X.ingest(_code(spark, sf))[0].groupBy("kind").agg(F.count("*").alias("n")), f"WITH {_ITEMS} SELECT kind, count(*) AS n FROM it GROUP BY kind UNION ALL SELECT 'file', count(*) FROM part")
-query("M20_upsert_edges", lambda spark, sf: S.upsert((e := B.edges(spark, sf).select(F.concat_ws(">", "src", "dst", "kind").alias("edge"), "heuristic")).where("not heuristic"), e.where("heuristic").withColumn("heuristic", F.lit(False)), "edge"),
-    f"WITH {B.EDGES} SELECT src || '>' || dst || '>' || kind AS edge, false AS heuristic FROM edges")
+# edges of calls and uses are known; uses come again with another confidence, and containment is new
+_edge = lambda e, kinds, confidence: e.where(F.col("kind").isin(*kinds)).select(F.concat_ws(">", "src", "dst", "kind").alias("edge"), F.lit(confidence).alias("confidence"))
+query("M20_upsert_edges", lambda spark, sf: S.upsert(_edge(e := B.edges(spark, sf), ("calls", "uses"), 0.6), _edge(e, ("uses", "contains"), 0.9), "edge"),
+    f"WITH {B.EDGES} SELECT src || '>' || dst || '>' || kind AS edge, CAST(CASE WHEN kind = 'calls' THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM edges")
 query("M24_reindex_run", lambda spark, sf: X.reindex(X.ingest(_code(spark, sf).where("path <> 'm3.py'"))[0], _code(spark, sf).where("path <> 'm5.py'"), _code(spark, sf).where("path in ('m3.py')")).groupBy("state").agg(F.count("*").alias("n")),
     f"WITH {_ITEMS}, al AS (SELECT path FROM it UNION ALL SELECT 'm' || p_partkey || '.py' FROM part) SELECT CASE WHEN path = 'm5.py' THEN 'pruned' WHEN path = 'm3.py' THEN 'indexed' ELSE 'kept' END AS state, count(*) AS n FROM al GROUP BY 1")
 query("R7_search_states", lambda spark, sf: B.read(spark, sf, "documents").join(B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left").groupBy("source").agg(F.count_if(F.col("source") != "src2").alias("chunks"), F.count("label").alias("vectors"), F.count_if(F.col("label") > 2).alias("matching")).select("source", X.search_state(F.col("chunks"), F.col("source") != "src4", F.col("source") != "src5", F.when(F.col("source") == "src6", 0).otherwise(F.col("vectors")), F.col("matching")).alias("state")),

@@ -107,6 +107,9 @@ def test_freshness(spark):
     today = F.date_add(F.lit("2025-01-01").cast("date"), 200)
     assert {r["memory_id"]: r["reason"] for r in S.freshness(memory, today).collect()} == {1: "VersionSensitive", 2: "Unused", 4: "Age"}
     assert [r["memory_id"] for r in S.freshness(memory, today, max_flags=1).collect()] == [1]
+    both = S.freshness_report(memory, today, ("project", "global"), max_flags=2).first().asDict()
+    assert both == {"scanned": both["scanned"], "low_quality": 0, "version_sensitive": 1, "unused": 1, "age": 1, "flagged": 2, "capped": True} and both["scanned"] >= 3
+    assert S.freshness_report(memory, today, ("project", "global")).first()["capped"] is False
     stale = lambda df: {r["memory_id"] for r in df.where("stale").collect()}
     assert stale(S.freshness_pass(memory, today, ("project",))) == {1, 2, 6} and stale(S.freshness_pass(memory, today, ("project", "global"))) == {1, 2, 4, 6}
     assert stale(S.freshness_pass(memory, today, ("project", "global"), dry_run=True)) == {6}
