@@ -101,12 +101,6 @@ def relevance(asked: Column, known: Column, rate: Column) -> Column:
     return F.when(F.coalesce(F.size(asked), F.lit(0)) <= 0, F.lit(0.0)).otherwise(share * TOOL_USE_WEIGHT * F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate)))
 
 
-def cap_families(candidates: DataFrame, most: int = 5) -> DataFrame:
-    """At most ``most`` candidates of a session and family; explicit lessons stay whole."""
-    place = F.row_number().over(Window.partitionBy("session", "family").orderBy("line_no"))
-    return candidates.withColumn("_place", place).where((F.col("family") == "explicit") | (F.col("_place") <= most)).drop("_place")
-
-
 def decide(items: DataFrame, mode: str, threshold: float = 0.82) -> DataFrame:
     """``items`` with ``decision``: manual, annotate, supersede or accept.
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions import text as T
+from lorekeep.operators import closeout as C
 from lorekeep.operators import review as V
 
 from . import bindings as B
+from .texts import _adm, _any, _cmd, _lesson, _low, _q, _strip
 
 QUERIES, ORACLES = {}, {}
 
 
-def query(name: str, run, sql: str) -> None:
+def query(name: str, run, sql: str | None = None) -> None:
     QUERIES[name] = run
-    ORACLES[name] = sql
+    if sql:
+        ORACLES[name] = sql
 
 
 # languages of code
@@ -96,15 +100,30 @@ query(
       / len(q) * CAST(0.7 AS DOUBLE) * greatest(0, least(1, o_totalprice / 200000)) AS score
     FROM (SELECT o_orderkey, o_totalprice, regexp_split_to_array(o_orderpriority, '[- ]+') AS q FROM orders)""",
 )
-_FAMILY = "CASE WHEN line LIKE 'Lesson:%' THEN 'explicit' WHEN line LIKE '$ %' THEN 'command' WHEN line LIKE 'Error%' THEN 'failure' ELSE 'other' END"
+_OPENS = lambda x, markers: "(" + " OR ".join(f"starts_with({x}, {_q(m)})" for m in markers) + ")"
+_FOUND = f"""
+t AS (SELECT session, line_no, trim(line) AS line FROM lines),
+cmd AS (SELECT session, line_no, command, row_number() OVER (PARTITION BY session, command ORDER BY line_no) AS n FROM (SELECT session, line_no, {_cmd('line')} AS command FROM t) WHERE octet_length(encode(command)) >= {C.MIN_COMMAND}),
+fam AS (
+  SELECT session, 1 AS family, line_no, summary FROM (SELECT session, line_no, trim(regexp_replace({_strip('line')}, '^[Ll]esson:', '')) AS summary FROM t WHERE regexp_matches({_strip('line')}, '^[Ll]esson:')) WHERE {_adm('summary')} UNION ALL
+  SELECT session, 2, line_no, summary FROM (SELECT session, line_no, trim(regexp_replace(line, '^(- )+', '')) AS summary FROM t) WHERE {_any(_low('summary'), T.SKILL_INTENTS)} AND {_lesson('summary')} UNION ALL
+  SELECT session, 4, line_no, 'Command repeated during this session (candidate for a reusable workflow): ' || CASE WHEN length(command) > 120 THEN substring(command, 1, 120) || '…' ELSE command END FROM cmd WHERE n = 2 UNION ALL
+  SELECT session, 5, line_no, 'User correction: ' || CASE WHEN length(rest) > 120 THEN substring(rest, 1, 120) || '…' ELSE rest END
+    FROM (SELECT session, line_no, trim(substr(line, 6)) AS rest FROM t WHERE starts_with({_low('line')}, 'user:')) WHERE {_OPENS(_low('rest'), T.CORRECTIONS)} AND {_lesson('rest')}),
+c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, family ORDER BY line_no) AS n FROM fam) WHERE family < 3 OR n <= {C.MOST}),
+c2 AS (SELECT * FROM (SELECT session, family, line_no, summary, row_number() OVER (PARTITION BY session, {_low('summary')} ORDER BY family, line_no) AS n FROM c1) WHERE n = 1),
+c3 AS (SELECT * FROM (SELECT session, family, line_no, summary, row_number() OVER (PARTITION BY session, family ORDER BY line_no) AS n FROM c2) WHERE family <> 2 OR n <= {C.MOST})"""
+_ACTED = """CASE WHEN family IN (2, 4) THEN 'CreateSkillDraft' WHEN contains(lower(summary), 'instead') OR contains(lower(summary), 'do not') OR contains(lower(summary), 'don''t') OR contains(lower(summary), 'wrong') THEN 'SupersedeExisting'
+  WHEN contains(summary, '; ') OR len(string_split(lower(summary), ' and ')) >= 3 THEN 'Split' ELSE 'PromoteToMemory' END"""
+# all families but the pairs of failures and fixes, whose scan SQL doesn't state
 query(
     "K14_family_caps",
-    lambda spark, sf: V.cap_families(B.lines(spark, sf).select("session", "line_no", F.expr(_FAMILY).alias("family"))),
-    f"""WITH {B.LINES} SELECT session, line_no, family FROM (SELECT *, row_number() OVER (PARTITION BY session, family ORDER BY line_no) AS place
-    FROM (SELECT session, line_no, {_FAMILY} AS family FROM lines)) WHERE family = 'explicit' OR place <= 5""",
+    lambda spark, sf: C.candidates(B.lines(spark, sf)).where("family <> 3").select("session", "family", "summary", F.when(F.col("duplicate_of").isNotNull(), "merged").otherwise(F.col("action")).alias("action")),
+    f"""WITH {B.LINES}, {_FOUND}, p AS (SELECT *, lower(trim(regexp_replace(summary, '\\s+', ' ', 'g'))) AS x FROM c3)
+    SELECT session, family, summary, CASE WHEN EXISTS (SELECT 1 FROM p e WHERE e.session = p.session AND (e.family, e.line_no) < (p.family, p.line_no)
+      AND ((octet_length(encode(e.x)) >= {C.MIN_RESTATEMENT} AND contains(p.x, e.x)) OR (octet_length(encode(p.x)) >= {C.MIN_RESTATEMENT} AND contains(e.x, p.x)))) THEN 'merged' ELSE {_ACTED} END AS action FROM p""",
 )
-
-
+query("M19_closeout", lambda spark, sf: C.closed_out(B.lines(spark, sf)).select("session", "place", "family", "candidate_id", "summary", "category", "action", "status", "conflict", "duplicate_of", "at", "survivor"))
 # review
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     m, k = B.memory(spark, sf), F.col("memory_id")
