@@ -3,6 +3,11 @@
 Edges are rows (src, dst, kind, ...).  Traversals keep a frontier; each hop is a
 join with the edges and an anti-join with what is known, written to the shared
 folder, and the loop ends at the depth bound or at an empty frontier.
+
+``adjacency`` and ``callers`` store what traversals walk on, once for many of them: in
+ranges of the node that a hop starts from, sorted, so that a node with a third of all
+edges fills several files.  A small frontier is told to the scan, which then skips
+row groups, and is broadcast by Spark's own check of its size; no edge is shuffled.
 """
 
 from __future__ import annotations
@@ -17,12 +22,40 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+#: Up to so many nodes of a frontier are told to the scan by name.
+NAMED = 1000
+
+
+def stored(edges: DataFrame, by: str, *then: str) -> DataFrame:
+    """The edges as a table in ranges of ``by``, sorted."""
+    order = [by, *then]
+    return settle(edges.repartitionByRange(*order).sortWithinPartitions(*order), "edges")
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """src, dst of both directions, stored by src."""
+    return stored(undirected(edges), "src", "dst")
+
+
+def callers(edges: DataFrame) -> DataFrame:
+    """to_node, from_node, heuristic of calls and uses, stored by to_node."""
+    own = edges.where(F.col("kind").isin("calls", "uses")).select(F.col("dst").alias("to_node"), F.col("src").alias("from_node"), "heuristic")
+    return stored(own, "to_node", "from_node")
+
+
+def _from(front: DataFrame, edges: DataFrame, by: str) -> DataFrame:
+    """The edges that begin at the frontier, with its columns."""
+    named = [r[0] for r in front.select("node").limit(NAMED + 1).collect()]
+    some = edges.where(F.col(by).isin(named)) if len(named) <= NAMED else edges
+    return front.join(some, front["node"] == some[by])
+
+
 def hops(edges: DataFrame, starts: DataFrame, depth: int, node: str = "node") -> DataFrame:
     """node, hops: the least number of edges from the starts, up to ``depth``, starts included."""
     known = settle(starts.select(F.col(node).alias("node")).distinct().withColumn("hops", F.lit(0)), "hops")
     front = known
     for hop in range(1, depth + 1):
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        step = _from(front, edges, "src").select(F.col("dst").alias("node")).distinct()
         front = settle(step.join(known, "node", "left_anti").withColumn("hops", F.lit(hop)), "hops")
         if front.isEmpty():
             break
@@ -30,25 +63,24 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int, node: str = "node") ->
     return known
 
 
-def neighbours(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Nodes within ``depth`` undirected hops, without the starts."""
-    return hops(settle(undirected(edges), "undirected"), starts, depth).where("hops > 0")
+def neighbours(both: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """Nodes within ``depth`` hops over an ``adjacency``, without the starts."""
+    return hops(both, starts, depth).where("hops > 0")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, bound: int = 6) -> list[str]:
-    """One shortest undirected path (of equals that with the smallest nodes), or an empty list.
+def shortest_path(both: DataFrame, source: str, target: str, bound: int = 6) -> list[str]:
+    """One shortest path over an ``adjacency`` (of equals that with the smallest nodes), or an empty list.
 
     A level is a table of nodes with their smallest predecessor; only the path
     itself comes to the driver.
     """
-    both = settle(undirected(edges), "both")
-    spark = edges.sparkSession
+    spark = both.sparkSession
     known = spark.createDataFrame([(source, None, 0)], "node string, parent string, hops int")
     front = known
     for hop in range(1, bound + 1):
         if source == target:
             break
-        step = front.join(both, front["node"] == both["src"]).groupBy("dst").agg(F.min("node").alias("parent"))
+        step = _from(front, both, "src").groupBy("dst").agg(F.min("node").alias("parent"))
         front = settle(step.select(F.col("dst").alias("node"), "parent", F.lit(hop).alias("hops")).join(known, "node", "left_anti"), "path")
         if front.isEmpty():
             return []
@@ -64,17 +96,15 @@ def shortest_path(edges: DataFrame, source: str, target: str, bound: int = 6) ->
     return path[::-1]
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """node, hops, via_heuristic: who depends on the seeds over calls and uses.
+def dependents(own: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """node, hops, via_heuristic: who depends on the seeds, over stored ``callers``.
 
     Of several paths of the same length one without heuristic edges counts.
     """
-    own = edges.where(F.col("kind").isin("calls", "uses")).select(F.col("dst").alias("to_node"), F.col("src").alias("from_node"), "heuristic")
-    own = settle(own, "callers")
     known = settle(seeds.select("node").distinct().withColumn("hops", F.lit(0)).withColumn("via_heuristic", F.lit(False)), "dependents")
     front = known
     for hop in range(1, depth + 1):
-        step = front.join(own, front["node"] == own["to_node"]).groupBy("from_node").agg(F.min(F.col("via_heuristic") | F.col("heuristic")).alias("via_heuristic"))
+        step = _from(front, own, "to_node").groupBy("from_node").agg(F.min(F.col("via_heuristic") | F.col("heuristic")).alias("via_heuristic"))
         step = step.select(F.col("from_node").alias("node"), F.lit(hop).alias("hops"), "via_heuristic").join(known, "node", "left_anti")
         front = settle(step, "dependents")
         if front.isEmpty():

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import graph as G
 from lorekeep.operators import index as I
 
 CATEGORIES = (
@@ -97,6 +98,25 @@ def memory_index(spark: SparkSession, sf: str) -> I.Index:
     return _INDEXES[at]
 
 
+_GRAPHS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _graph(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _GRAPHS:
+        _GRAPHS[at] = make(edges(spark, sf))
+    return _GRAPHS[at]
+
+
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored neighbours of ``edges``: made at their first use in a session, then walked by all traversals."""
+    return _graph(spark, sf, "adjacency", G.adjacency)
+
+
+def callers(spark: SparkSession, sf: str) -> DataFrame:
+    return _graph(spark, sf, "callers", G.callers)
+
+
 def hits(spark: SparkSession, sf: str, query: str = QUERY, eligible: str = "status = 'active'") -> DataFrame:
     """The eligible memories that a query finds, each store searched by its own statistics: all columns, score, rank_score."""
     rows = memory(spark, sf)

@@ -45,16 +45,28 @@ def edges(spark, pairs, kind="calls", heuristic=()):
 
 def test_traversals(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "b")], heuristic={("a", "b")})
-    start = spark.createDataFrame([("a",)], "node string")
-    assert {(r["node"], r["hops"]) for r in G.neighbours(e, start, 2).collect()} == {("b", 1), ("c", 2), ("x", 2)}
-    assert G.shortest_path(e, "a", "d") == ["a", "b", "c", "d"]
-    assert G.shortest_path(e, "a", "zz") == []
-    assert G.shortest_path(e, "a", "d", bound=2) == []
-    reach = G.dependents(e, spark.createDataFrame([("d",)], "node string"))
+    start, both = spark.createDataFrame([("a",)], "node string"), G.adjacency(e)
+    assert {(r["node"], r["hops"]) for r in G.neighbours(both, start, 2).collect()} == {("b", 1), ("c", 2), ("x", 2)}
+    assert G.shortest_path(both, "a", "d") == ["a", "b", "c", "d"]
+    assert G.shortest_path(both, "a", "zz") == []
+    assert G.shortest_path(both, "a", "d", bound=2) == []
+    reach = G.dependents(G.callers(e), spark.createDataFrame([("d",)], "node string"))
     assert {(r["node"], r["hops"], r["via_heuristic"]) for r in reach.collect()} == {("d", 0, False), ("c", 1, False), ("b", 2, False), ("a", 3, True), ("x", 3, False)}
     assert [(r["node"], r["tier"]) for r in G.impact(reach).collect()] == [("c", "High"), ("b", "Medium"), ("a", "Low"), ("x", "Low")]
 
 
+def test_large_frontiers_and_plans(spark, monkeypatch):
+    """A frontier above the bound is joined unnamed; one below it reaches the scan as a filter, and no edge is shuffled."""
+    e = edges(spark, [(f"n{i}", f"n{(i * 7 + k) % 300}") for i in range(300) for k in range(3)])
+    both, start = G.adjacency(e), spark.createDataFrame([("n1",), ("n2",)], "node string")
+    named = sorted(map(tuple, G.hops(both, start, 3).collect()))
+    front = G.hops(both, start, 0)
+    plan = G._from(front, both, "src")._jdf.queryExecution().executedPlan().toString()
+    assert "In(src, [n1,n2])" in plan and "BroadcastHashJoin" in plan and "hashpartitioning(src" not in plan
+    monkeypatch.setattr(G, "NAMED", 1)
+    assert sorted(map(tuple, G.hops(both, start, 3).collect())) == named
+
+
 def test_overview(spark):
     nodes = spark.createDataFrame([(n, "function") for n in ("hub", "a", "b", "run", "lone")], "node string, kind string")
     hot, entry = G.overview(nodes, edges(spark, [("a", "hub"), ("b", "hub"), ("run", "a"), ("run", "a")]))
