@@ -10,6 +10,7 @@ from lorekeep.operators import exchange as E
 from lorekeep.operators import index as I
 from lorekeep.operators import passages as P
 from lorekeep.operators import review as V
+from lorekeep.operators import vectors as X
 
 from . import bindings as B
 from .exchange import _DRAFTS
@@ -183,3 +184,29 @@ def lift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("A19_eval_lift", lift, f"{_RANKED} SELECT round(coalesce(avg(CAST(found AS INT)), 1.0), 6) AS baseline, round(coalesce(avg(CAST(found2 AS INT)), 1.0) - coalesce(avg(CAST(found AS INT)), 1.0), 6) AS lift FROM rc")
+
+
+# M37: vectors of all memories; those of contradicted ones are out of date, and the embedder stumbles over junk
+_JUNK = "%%%"
+
+
+def _embedder(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a service: letters and line breaks; it refuses calls with junk."""
+    if any(_JUNK in t for t in texts):
+        raise ValueError("refused")
+    return [[float(len(t)), float(t.count("\n"))] for t in texts]
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = B.memory(spark, sf).select(F.lit("memory").alias("kind"), F.col("memory_id").alias("id"), F.col("body").alias("text"), "contradicted")
+    print_ = F.when(F.col("contradicted"), "old").otherwise(F.md5(F.col("text").cast("binary")))
+    held = B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    stored = rows.join(held, "id").select("kind", "id", print_.alias("fingerprint"), F.lit("m1").alias("model"), F.size("vector").cast("long").alias("dimensions"), "vector")
+    new, audit = X.refreshed(stored, rows, _embedder, "m2")
+    own = new.select("id", "model", "dimensions", F.when(F.col("model") == "m2", F.element_at("vector", 1)).alias("letters"))
+    return rows.select("id").join(own, "id", "left").join(audit.select("id", "ok", "error"), "id", "left")
+
+
+query("M37_refresh_vectors", vectors, f"""WITH {B.MEMORY}, h AS (SELECT memory_id AS id, body, contains(body, '{_JUNK}') AS junk, len(embedding) AS dims, vec_id IS NOT NULL AND NOT contradicted AS fresh FROM memory LEFT JOIN embeddings ON vec_id = memory_id)
+SELECT id, CASE WHEN NOT fresh AND NOT junk THEN 'm2' WHEN dims IS NOT NULL THEN 'm1' END AS model, CASE WHEN NOT fresh AND NOT junk THEN 2 ELSE dims END AS dimensions,
+  CASE WHEN NOT fresh AND NOT junk THEN CAST(length(body) AS DOUBLE) END AS letters, CASE WHEN NOT fresh THEN NOT junk END AS ok, CASE WHEN NOT fresh AND junk THEN 'refused' END AS error FROM h""")
