@@ -66,6 +66,7 @@ over_memory(
 )
 ORACLES["T22_summary"] = ORACLES["T22_summary"].removesuffix(" FROM memory")
 over_memory("T23_truncate", "CASE WHEN length(summary) > 120 THEN substring(summary, 1, 120) || '…' ELSE summary END AS fragment", fragment=lambda: T.truncate("summary"))
+over_memory("T23_truncate_body", "CASE WHEN length(body) > 200 THEN substring(body, 1, 200) || '…' ELSE body END AS fragment", fragment=lambda: T.truncate("body", 200))
 over_memory("T26_slug", f"regexp_replace(regexp_replace({_low('summary')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug", slug=lambda: T.slug("summary"))
 over_memory("T33_concise_body", "CASE WHEN instr(body, chr(10) || '```') > 0 AND trim(substring(body, 1, instr(body, chr(10) || '```') - 1)) <> '' THEN trim(substring(body, 1, instr(body, chr(10) || '```') - 1)) ELSE body END AS concise", concise=lambda: T.concise_body("body"))
 over_memory("T35_stamp_device", "CASE WHEN store = 'project' AND memory_id % 3 = 0 THEN 'this' ELSE origin_device END AS stamped", stamped=lambda: F.when((F.col("store") == "project") & (F.col("memory_id") % 3 == 0), "this").otherwise(F.col("origin_device")))
@@ -90,9 +91,9 @@ def _redaction_total(x: str) -> str:
 
 
 QUERIES["A13_redaction_totals"] = lambda spark, sf: (
-    B.memory(spark, sf).groupBy("category").agg(F.sum(F.aggregate(F.map_values(T.redaction_counts("summary")), F.lit(0).cast("long"), lambda a, x: a + x)).alias("redactions"))
+    B.memory(spark, sf).groupBy("category").agg(F.sum(F.aggregate(F.map_values(T.redaction_counts("body")), F.lit(0).cast("long"), lambda a, x: a + x)).alias("redactions"))
 )
-ORACLES["A13_redaction_totals"] = f"WITH {B.MEMORY} SELECT category, CAST(sum({_redaction_total('summary')}) AS BIGINT) AS redactions FROM memory GROUP BY category"
+ORACLES["A13_redaction_totals"] = f"WITH {B.MEMORY} SELECT category, CAST(sum({_redaction_total('body')}) AS BIGINT) AS redactions FROM memory GROUP BY category"
 
 over_memory("T29_remote_key", "lower(host) || '/' || lower(regexp_replace(source_session, '\\.git$', '')) AS key FROM (SELECT memory_id, source_session, CASE WHEN memory_id % 2 = 0 THEN 'Github.com/Org' ELSE 'gitlab.org/team' END AS host FROM memory)",
     key=lambda: T.remote_key(F.when(F.col("memory_id") % 2 == 0, F.concat(F.lit("git@Github.com:Org/"), "source_session", F.lit(".git"))).otherwise(F.concat(F.lit("https://me@gitlab.org/team/"), "source_session", F.lit("/")))))
