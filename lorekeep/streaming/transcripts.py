@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lorekeep.functions import text as T
+from lorekeep.operators import versions as V
+from lorekeep.operators.stages import settle
 
 SCHEMA = "session string, at timestamp, role string, line string"
 
@@ -30,19 +32,21 @@ def distinct_lines(lines: DataFrame, late: str = "1 hour") -> DataFrame:
     return lines.withColumn("canonical", T.canonical("line")).withWatermark("at", late).dropDuplicatesWithinWatermark(["session", "canonical"])
 
 
-def upsert_into(rows: DataFrame, path: str, key: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Micro-batches merged into a Parquet table: a version folder a batch, the newest complete one is the table.
+def upsert_into(rows: DataFrame, path: str, key: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], compact_every: int = 20) -> StreamingQuery:
+    """Micro-batches merged into a table of versions (``operators.versions``): a batch writes the rows of its own keys.
 
-    A batch that is run again after a failure writes its own version anew.
+    ``merge`` gets the rows that the table has of those keys and the new ones.  A version is
+    numbered as its batch, so a batch that is run again after a failure changes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        table = V.Table(batch.sparkSession, path, key)
+        fresh = settle(batch.dropDuplicates([key]), "batch")
         if number == 0:
-            out = fresh
+            V.create(table, fresh)
         else:
-            out = merge(spark.read.parquet(f"{path}/version={number - 1}"), fresh)
-        out.write.mode("overwrite").parquet(f"{path}/version={number}")
+            V.commit(table, merge(V.touched(table, fresh), fresh), version=number)
+        if (number + 1) % compact_every == 0:
+            V.compact(table)
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

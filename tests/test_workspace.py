@@ -8,6 +8,7 @@ from lorekeep.operators import extraction as X
 from lorekeep.operators import search as R
 from lorekeep.operators import state as S
 from lorekeep.operators import workspace as W
+from lorekeep.operators import versions
 from lorekeep.streaming import transcripts
 
 
@@ -100,8 +101,7 @@ def test_streams(spark, tmp_path):
     run()
     put("2.json", [line("b", "03", "all fine")])
     run()
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "table").iterdir())
-    table = spark.read.parquet(str(tmp_path / "table" / f"version={versions[-1]}")).collect()
+    table = versions.read(versions.Table(spark, str(tmp_path / "table"), "canonical")).collect()
     assert len(table) == 3 and not any("hunter22" in r["line"] for r in table)
     sums = transcripts.activity(lines).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
     sums.awaitTermination()
