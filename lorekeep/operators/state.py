@@ -110,10 +110,17 @@ def cursor_diff(entries: DataFrame, cursor: DataFrame) -> DataFrame:
     return joined.withColumn("op", op).where("op is not null").select("memory_id", "op")
 
 
+def route_of(kind: Column, version: Column, own: Column) -> Column:
+    """What becomes of an operation that wasn't seen before, by the own memory's version (null without one)."""
+    flagged = F.when(own.isNotNull(), "flag").otherwise("skip")
+    return F.when(kind == "supersede", flagged).when(own.isNull(), "candidate").when(own == version, "same").otherwise("conflict")
+
+
 def route_ops(ops: DataFrame, memory: DataFrame, seen: DataFrame) -> DataFrame:
     """(op_id, route): skip, flag, same, conflict or candidate."""
-    own = ops.join(seen.select("op_id", F.lit(True).alias("_seen")).distinct(), "op_id", "left").join(memory.select("memory_id", F.col("version").alias("_own")), "memory_id", "left")
-    route = F.when(F.col("_seen"), "skip").when(F.col("kind") == "supersede", F.when(F.col("_own").isNotNull(), "flag").otherwise("skip")).when(F.col("_own").isNull(), "candidate").when(F.col("_own") == F.col("version"), "same").otherwise("conflict")
+    known = seen.select("op_id", F.lit(True).alias("_seen")).distinct()
+    own = ops.join(known, "op_id", "left").join(memory.select("memory_id", F.col("version").alias("_own")), "memory_id", "left")
+    route = F.when(F.col("_seen"), "skip").otherwise(route_of(F.col("kind"), F.col("version"), F.col("_own")))
     return own.select("op_id", route.alias("route"))
 
 
