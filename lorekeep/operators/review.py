@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefixes as P
+from .stages import settle
+
 #: Confidences of an anchor by qualified name or path, and by plain name.
 ANCHOR_QUALIFIED, ANCHOR_NAME = 0.9, 0.6
 #: Confidences of an import resolved by stem and by prefix.
@@ -55,36 +58,26 @@ def anchor_memories(hints: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _heads(text: Column) -> Column:
-    """All proper prefixes of a text, the empty one included."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), lambda n: F.substring(text, F.lit(1), n))
-
-
 def import_edges(uses: DataFrame, files: DataFrame) -> DataFrame:
     """file, line, target, heuristic, confidence: imports that one other file answers.
 
     ``uses`` has file, line and path; ``files`` has file and stem.  One file whose
     stem is a segment wins; where there is none, one file whose stem begins a segment or
-    is begun by one.  Prefixes are spelled out, so that both are equi joins.
+    is begun by one.  Of each stem a few files are kept, which tell whether a file is the
+    only one, so that a stem of many files costs no more than another.
     """
     parts = F.filter(F.transform(F.split("path", r"[:./\\]"), lambda s: F.regexp_replace(F.trim(s), ";+$", "")), lambda s: (s != "") & ~s.isin("crate", "super", "self"))
-    segments = uses.select("file", "line", "path", F.explode(F.array_distinct(parts)).alias("segment"))
-    stems = files.select(F.col("file").alias("target"), "stem")
-    key = ["file", "line", "path", "target"]
-    exact = segments.join(stems, F.col("segment") == F.col("stem")).where("target <> file").select(*key).distinct()
-    short = segments.select("file", "line", "path", F.explode(_heads(F.col("segment"))).alias("head"))
-    below = short.join(stems, F.col("head") == F.col("stem")).where("target <> file").select(*key)
-    long = stems.select("target", F.explode(_heads(F.col("stem"))).alias("head"))
-    above = segments.join(long, F.col("segment") == F.col("head")).where("target <> file").select(*key)
-    ranked = exact.withColumn("exact", F.lit(True)).unionByName(below.union(above).distinct().withColumn("exact", F.lit(False)))
-    pairs = ranked.groupBy(*key).agg(F.max("exact").alias("exact"))
+    segments = settle(uses.select("file", "line", "path", F.explode(F.array_distinct(parts)).alias("word")), "segments")
+    few = settle(P.few_targets(files.select(F.col("stem").alias("word"), F.col("file").alias("target"))), "stems")
+    met = few.withColumn("exact", F.lit(True)).unionByName(P.related(segments, few).withColumn("exact", F.lit(False)))
+    pairs = segments.join(met, "word").select("file", "line", "path", "exact", F.explode("few").alias("target")).where("target <> file")
+    only = lambda exact: F.when(F.col("exact") == exact, F.col("target"))
     found = pairs.groupBy("file", "line", "path").agg(
-        F.count_if("exact").alias("n_exact"), F.min(F.when(F.col("exact"), F.col("target"))).alias("one_exact"),
-        F.count_if(~F.col("exact")).alias("n_prefix"), F.min(F.when(~F.col("exact"), F.col("target"))).alias("one_prefix"),
+        F.min(only(True)).alias("exact"), F.max(only(True)).alias("other_exact"), F.min(only(False)).alias("prefix"), F.max(only(False)).alias("other_prefix"),
     )
-    one = F.col("n_exact") == 1
-    return found.where("n_exact = 1 or (n_exact = 0 and n_prefix = 1)").select(
-        "file", "line", F.when(one, F.col("one_exact")).otherwise(F.col("one_prefix")).alias("target"), (~one).alias("heuristic"),
+    one = F.col("exact").isNotNull()
+    return found.where("exact = other_exact or (exact is null and prefix = other_prefix)").select(
+        "file", "line", F.coalesce("exact", "prefix").alias("target"), (~one).alias("heuristic"),
         F.when(one, F.lit(IMPORT_EXACT)).otherwise(F.lit(IMPORT_PREFIX)).alias("confidence"),
     )
 
