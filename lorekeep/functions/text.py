@@ -355,3 +355,57 @@ def significant(x: str | Column) -> Column:
     edges = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
     terms = F.transform(F.split(F.coalesce(col(x), F.lit("")), r"(?U)\s+"), lambda t: F.regexp_replace(t, edges, ""))
     return F.filter(terms, lambda t: (t != "") & ~ascii_lower(t).isin(*QUERY_STOP_WORDS))
+
+
+#: White space as Unicode lists it, for patterns.
+SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Comments, strings, characters and brackets of Rust, each a token, and what lies between.
+RUST_TOKENS = (
+    r"(?s)//[^\n]*"
+    r"|/\*.*?\*/"
+    r"|r(#*)\".*?\"\1"
+    r"|\".*?(?<!\\)(?:\\\\)*\""
+    r"|'\\.[^']*'|'[^'\\]'"
+    r"|[{}()\[\]]"
+    r"|[^\"'/{}()\[\]r]+|."
+)
+
+
+def generic_skeleton(x: str | Column, n: int = 200) -> Column:
+    """The first line with text, without space around it and braces at its end, cut to n characters; null for null."""
+    line = F.regexp_extract(col(x), rf"^{SPACES}*([^\n]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(line, rf"{SPACES}+$", ""), r"\{+$", "")
+    return F.substring(F.regexp_replace(bare, rf"{SPACES}+$", ""), 1, n)
+
+
+def rust_skeleton(x: str | Column) -> Column:
+    """A Rust definition with its body told by a mark: what stands before the body, or all of it but the closing ``;``.
+
+    The body begins at the first brace outside comments, strings and other brackets;
+    that of a tuple struct at its bracket.  Braces inside the angle brackets of a type
+    and comments within comments aren't told apart from others; constants, statics, type
+    names and uses have no body.  A null has none, an empty text is its own.
+    """
+    source = col(x)
+    opening = r"^\s*(?:pub\s*(?:\([^)]*\))?\s*)?"
+    past = F.char_length(F.regexp_extract(source, opening + r"struct\b", 0))
+    tokens = F.regexp_extract_all(source, F.lit(RUST_TOKENS), F.lit(0))
+
+    def step(s: Column, token: Column) -> Column:
+        level = s["level"]
+        opens = ((token == "{") | ((token == "(") & (past > 0) & (s["at"] >= past))) & (level == 0)
+        change = F.when(token.isin("(", "["), 1).when(token.isin(")", "]"), -1).otherwise(0)
+        found = s["body"].isNotNull()
+        return F.struct(
+            (s["at"] + F.char_length(token)).alias("at"),
+            F.when(found, level).otherwise(F.greatest(level + change, F.lit(0))).alias("level"),
+            F.when(found, s["body"]).when(opens, s["at"]).alias("body"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("body"))
+    body = F.aggregate(tokens, begin, step, lambda s: s["body"])
+    bodiless = F.rlike(source, F.lit(opening + r"(?:const\s+(?!fn\b|unsafe\b|async\b|extern\b)|static\b|type\b|use\b)"))
+    end = rf"{SPACES}+$"
+    head = F.regexp_replace(F.substring(source, F.lit(1), body), end, "")
+    whole = F.regexp_replace(F.regexp_replace(source, ";+$", ""), end, "")
+    return F.when(body.isNull() | bodiless, whole).otherwise(F.concat(head, F.lit(" { … }")))

@@ -145,3 +145,25 @@ over_lines(
     "T25_line_predicates", f"{_strip('line')} AS said, {_cmd('line')} AS command, {_FAIL} AS failure, {_any(_low('line'), T.RESOLUTIONS)} AS resolution",
     said=lambda: T.strip_speaker("line"), command=lambda: T.command_text("line"), failure=lambda: T.failure_line("line"), resolution=lambda: T.resolution_line("line"),
 )
+
+_bare = lambda x, cut: f"regexp_replace({x}, '{cut}', '')"
+_first_line = _bare(f"regexp_extract(body, '^{T.SPACES}*([^\\n]*)', 1)", T.SPACES + "+$")
+over_memory("T30_generic_skeleton", f"substring({_bare(_bare(_first_line, '[{]+$'), T.SPACES + '+$')}, 1, 200) AS skeleton", skeleton=lambda: T.generic_skeleton("body"))
+
+
+def _definitions(spark, sf):
+    """Functions with and without a body and tuple structs, whose comments and bodies are the texts."""
+    k, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    note = F.concat(F.lit("/* { "), F.replace("text", F.lit("*/"), F.lit(" ")), F.lit(" */"))
+    function = F.concat(F.lit("pub fn f"), n, F.lit("(x: [u8; { 2 }], y: &'static str) -> u8 "), note, F.lit(" {\n"), F.col("text"), F.lit("\n}"))
+    pair = F.concat(F.lit("pub(crate) struct S"), n, note, F.lit(" (f64, f64);"))
+    required = F.concat(F.lit("fn g"), n, F.lit("(x: u8 "), note, F.lit(") -> char;;"))
+    return B.read(spark, sf, "documents").select("doc_id", F.when(k % 3 == 0, function).when(k % 3 == 1, pair).otherwise(required).alias("source"))
+
+
+_NOTE = "'/* { ' || replace(text, '*/', ' ') || ' */'"
+QUERIES["T30_rust_skeleton"] = lambda spark, sf: _definitions(spark, sf).select("doc_id", T.rust_skeleton("source").alias("skeleton"))
+ORACLES["T30_rust_skeleton"] = (
+    f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pub fn f' || doc_id || '(x: [u8; {{ 2 }}], y: &''static str) -> u8 ' || {_NOTE} || ' {{ … }}' "
+    f"WHEN 1 THEN 'pub(crate) struct S' || doc_id || {_NOTE} || ' {{ … }}' ELSE 'fn g' || doc_id || '(x: u8 ' || {_NOTE} || ') -> char' END AS skeleton FROM documents"
+)
