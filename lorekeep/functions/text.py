@@ -316,6 +316,22 @@ def slug(x: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(ascii_lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def skill_slug(x: str | Column) -> Column:
+    """The slug of a skill's name, never empty."""
+    return F.when(slug(x) == "", "suggested-skill").otherwise(slug(x))
+
+
+def lesson_marker(x: str | Column) -> Column:
+    """The lesson that a line declares after its speaker; null where it declares none."""
+    said = strip_speaker(x)
+    return F.when(F.rlike(said, F.lit("^[Ll]esson:")), F.trim(F.substring(said, 8, 2**31 - 1)))
+
+
+def skill_intent(x: str | Column) -> Column:
+    """Whether a line proposes a skill, in any case."""
+    return has_any(ascii_lower(x), SKILL_INTENTS)
+
+
 def remote_key(url: str | Column) -> Column:
     """A git remote as host/path, whatever its scheme, user or ending."""
     x = F.regexp_replace(F.trim(col(url)), r"^(git\+ssh|ssh|git|https|http|ftps|ftp)://", "")

@@ -12,6 +12,7 @@ from lorekeep.functions import text as T
 
 from .graph import resolve_calls
 from .stages import settle
+from .state import first_per
 from .workspace import tests_of_functions
 
 WINDOW = 30
@@ -119,6 +120,22 @@ def reindex(nodes: DataFrame, present: DataFrame, changed: DataFrame) -> DataFra
     return kept.unionAll(fresh.select("node", "path", F.lit("indexed")))
 
 
+#: Words by which a key point counts as a risk, or as out of date.
+RISKS, STALE = ("blocked", "risk", "failed"), ("stale", "superseded", "instead")
+
+
+def summaries(lines: DataFrame, most: int = 5) -> DataFrame:
+    """session, first_line, key_points, risks, stale: the first lines with text of each session, and those of them with a marker.
+
+    The points are one text, a line each.  A session without a line that has text has no row.
+    """
+    kept = first_per(lines.where("line <> ''"), ["session"], ["line_no"], most)
+    points = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])  # ``most`` a session
+    own = kept.groupBy("session").agg(points.alias("points"))
+    of = lambda markers: F.array_join(F.filter("points", lambda x: T.has_any(T.ascii_lower(x), markers)), "\n")
+    return own.select("session", F.get("points", 0).alias("first_line"), F.array_join("points", "\n").alias("key_points"), of(RISKS).alias("risks"), of(STALE).alias("stale"))
+
+
 def search_state(chunks: Column, embedder: Column, reachable: Column, vectors: Column, matching: Column) -> Column:
     """The first thing that stands in the way of a document search, or Searched."""
     ladder = F.when(chunks == 0, "NoDocChunks").when(~embedder, "EmbeddingsNotConfigured").when(~reachable, "EndpointUnavailable")

@@ -124,6 +124,23 @@ def affected_memories(reach: DataFrame, anchors: DataFrame) -> DataFrame:
     return reach.join(anchors, "node").groupBy("memory_id").agg(F.max("strength").alias("strength"), F.min("hops").alias("hops"))
 
 
+def stale_items(affected: DataFrame, fresh: DataFrame, queued: DataFrame, least: float = 0.6) -> DataFrame:
+    """Review items of the affected memories that are strong enough and not flagged yet (those in ``fresh``).
+
+    id, memory_id, summary, category, confidence, action, evidence, and enqueued: false
+    where the queue has the item already.
+    """
+    name = F.col("memory_id").cast("string")
+    risk = F.when(F.col("hops") == 0, "Direct").when(F.col("hops") == 1, "High").when(F.col("hops") == 2, "Medium").otherwise("Low")
+    text = F.concat(F.lit("Review possibly-stale memory "), name, F.lit(": code it was anchored to changed (risk "), risk, F.lit(")."))
+    own = affected.where(F.col("strength") >= least).join(fresh.select("memory_id").distinct(), "memory_id", "left_semi").select(
+        F.concat(F.lit("stale-"), name).alias("id"), "memory_id", text.alias("summary"), F.lit("Process").alias("category"), F.col("strength").alias("confidence"),
+        F.lit("KeepForSession").alias("action"), F.concat(F.lit("change-impact on "), name).alias("evidence"),
+    )
+    there = queued.select("id", F.lit(True).alias("_there")).distinct()
+    return own.join(there, "id", "left").select(*own.columns, F.col("_there").isNull().alias("enqueued"))
+
+
 def overview(nodes: DataFrame, edges: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
     """Hotspots (most distinct callers) and entry points (no callers, most callees)."""
     calls = edges.where("kind = 'calls'").select("src", "dst").distinct()

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, changes, exchange, ingest, recall, retrieval, reviews, texts, workspace
+from . import analytics, bundles, changes, exchange, ingest, recall, retrieval, reviews, texts, workspace
 
-_MODULES = (texts, analytics, retrieval, reviews, workspace, exchange, ingest, recall, changes)
+_MODULES = (texts, analytics, retrieval, reviews, workspace, exchange, ingest, recall, changes, bundles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

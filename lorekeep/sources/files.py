@@ -43,7 +43,8 @@ def chunk_markdown(text: str, limit: int = MAX_CHUNK_CHARS) -> list[tuple[str |
         if body:
             sections.append((heading, body))
 
-    for line in text.splitlines():
+    for line in text.split("\n"):
+        line = line.removesuffix("\r")
         bare = line.lstrip()
         title = bare.lstrip("#")
         if bare.startswith("#") and title.startswith(" "):
