@@ -38,11 +38,24 @@ def test_bundle(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, out.drop("redactions").collect()))
     head = spark.read.json(f"{path}/header").head()
     assert (head["entry_count"], head["redaction_count"]) == (3, sum(r["redactions"] for r in got.values()))
+    damaged = next(f for f in (tmp_path / "x" / "entries").glob("part-*") if f.read_text())
+    damaged.write_text(damaged.read_text().replace("Title", "Other").replace("Misc", "Else"))
+    (damaged.parent / f".{damaged.name}.crc").unlink()
+    with pytest.raises(ValueError, match="written"):
+        U.read(spark, path, MEMORY)
     U.write(out, str(tmp_path / "new"), "memory_id", "me", ("project",), version=U.FORMAT_VERSION + 1)
     with pytest.raises(ValueError, match="newer"):
         U.read(spark, str(tmp_path / "new"), MEMORY)
 
 
+def test_entries_join_what_they_repeat(spark):
+    row = lambda *x: spark.createDataFrame(list(x), "id long, summary string")
+    incoming = row((1, "alpha beta gamma delta"), (2, "Delta gamma beta alpha!"), (3, "one two three"), (4, None), (5, "waiting words here"))
+    got = {r["id"]: r["outcome"] for r in U.enqueued(incoming, row((90, "waiting words here"), (91, "waiting words here"))).collect()}
+    assert got == {1: "added", 2: "duplicate", 3: "added", 4: "added", 5: "duplicate"}
+    assert U.enqueued(incoming.limit(0), incoming).count() == 0
+
+
 def test_indexes(spark, tmp_path):
     folders, root = U.index_lines(memories(spark))
     got = {}
