@@ -106,3 +106,9 @@ def test_streams(spark, tmp_path):
     sums = transcripts.activity(lines).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
     sums.awaitTermination()
     assert {(r["session"], r["lines"], r["failures"]) for r in spark.table("activity").collect()} == {("a", 3, 2), ("b", 1, 0)}
+
+
+def test_lines_keep_their_last_digits(spark):
+    """A line's number in its text is no list of characters to trim."""
+    rows = spark.createDataFrame([("0 first 10\n 1 second 101 ",)], "body string")
+    assert tuple(rows.select(E.title(F.col("body"), F.lit("c")), E.description(F.col("body"))).first()) == ("0 first 10", "1 second 101")
