@@ -34,3 +34,14 @@ def test_a_set_is_sent_once_a_block(spark):
     assert "Join" not in plan and "array_intersect" not in plan
     assert R.set_pairs(rows, 0.7).count() == 0
     assert R.set_pairs(rows.limit(0), 0.7).count() == 0
+
+
+def test_pairs_that_share_targets_come_once(spark):
+    """Without a distinct over the pairs, also where several targets are shared."""
+    rng = random.Random(2)
+    rows = lambda n, m: sorted({(i, f"t{rng.randrange(m)}") for i in range(n) for _ in range(3)})
+    many, few = rows(90, 9), rows(30, 12)
+    left, right = spark.createDataFrame(many * 2, "a long, target string"), spark.createDataFrame(few * 2, "b long, target string")
+    got = R.sharing(left, right, "a", "b", "target")
+    assert sorted(map(tuple, got.collect())) == sorted({(a, b) for a, t in many for b, u in few if t == u})
+    assert "Aggregate" not in "".join(got._jdf.queryExecution().optimizedPlan().toString().split("\n")[:2])  # none follows the join
