@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import overlaps as O
 from lorekeep.operators import search as R
+from lorekeep.operators import state as S
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.7, 1.0])
@@ -45,3 +46,14 @@ def test_pairs_that_share_targets_come_once(spark):
     got = R.sharing(left, right, "a", "b", "target")
     assert sorted(map(tuple, got.collect())) == sorted({(a, b) for a, t in many for b, u in few if t == u})
     assert "Aggregate" not in "".join(got._jdf.queryExecution().optimizedPlan().toString().split("\n")[:2])  # none follows the join
+
+
+def test_contradictions_need_no_distinct(spark):
+    """Pairs that are stated as well, or share two entities, come once; an entity's rows are dealt out."""
+    memory = spark.createDataFrame([(i, "active", "Never do that" if i % 3 == 0 else "Do that") for i in range(12)], "memory_id long, status string, body string")
+    entities = spark.createDataFrame([(i, e) for i in range(12) for e in (["x", "y"] if i < 8 else ["y"])], "memory_id long, entity string")
+    said = spark.createDataFrame([(0, 1), (1, 2), (1, 2), (11, 40)], "memory_id long, target long")
+    got = S.all_contradictions(memory, entities, said)
+    want = {(i, j) for i in range(12) for j in range(12) if (i % 3 == 0) != (j % 3 == 0)} | {(1, 2), (2, 1), (11, 40), (40, 11)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Aggregate" not in "".join(got._jdf.queryExecution().optimizedPlan().toString().split("\n")[:4])
