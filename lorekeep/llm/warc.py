@@ -44,11 +44,12 @@ def _line(value: str) -> str:
     return " ".join(value.split())
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to=None) -> bytes:
+def record_bytes(page_id, url, payload: bytes, digest: str, refers_to=None, size: int | None = None) -> bytes:
     """One WARC record as its own gzip member.
 
     A revisit's block is empty; it names the record it repeats, the digest of the
-    full payload and, in an extension field, that payload's length.
+    full payload and, in an extension field, that payload's length (``size``, where the
+    payload isn't at hand).
     """
     name = lambda x: f"<urn:page:{'null' if x is None else int(x)}>"
     block = payload if refers_to is None else b""
@@ -60,7 +61,7 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to=None) -> b
         f"WARC-Target-URI: {_line(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{digest32(block)}",
-        f"WARC-Full-Payload-Length: {len(payload)}",
+        f"WARC-Full-Payload-Length: {len(payload) if size is None else size}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if refers_to is not None:
@@ -128,7 +129,18 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     first = first.select("_key", "_refers", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     keys = keys.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     again = keys.join(first, ["_key", "_salt"]).where("page_id <> _refers").select("page_id", "_key", "_refers").distinct()
-    own = own.join(again, ["page_id", "_key"], "left")
+
+    def respond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies = [bytes(x) for x in batch["_body"]]
+            digests = [digest32(x) for x in bodies]
+            ids = [None if x is None or pd.isna(x) else int(x) for x in batch["_id"]]
+            records = [record_bytes(i, u, b, d) for i, u, b, d in zip(ids, batch["url"], bodies, digests, strict=True)]
+            yield pd.DataFrame({"_id": batch["_id"], "url": batch["url"], "_key": batch["_key"], "digest": digests, "size": [len(x) for x in bodies], "record": records})
+
+    # records go to the join as they are stored, compressed; revisits are written after it, from their digest and length
+    own = own.select(F.col("page_id").cast("string").alias("_id"), "url", "_key", "_body").mapInPandas(respond, "_id string, url string, _key string, digest string, size long, record binary")
+    own = own.withColumn("page_id", F.col("_id").cast("long")).join(again, ["page_id", "_key"], "left")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -136,9 +148,8 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         part, shard, chunk, held, size, total = TaskContext.get().partitionId(), 0, 0, [], 0, 0
         rows = lambda: pd.DataFrame({"archive": [f"{part:06d}-{shard:06d}"], "chunk": [chunk], "data": [b"".join(held)]})
         for batch in batches:
-            for page_id, url, body, refers in zip(batch["page_id"], batch["url"], batch["_body"], batch["_refers"], strict=True):
-                body = bytes(body)
-                record = record_bytes(None if pd.isna(page_id) else page_id, url, body, digest32(body), None if pd.isna(refers) else refers)
+            for page_id, url, digest, full, record, refers in zip(*(batch[c] for c in ("page_id", "url", "digest", "size", "record", "_refers")), strict=True):
+                record = bytes(record) if refers is None or pd.isna(refers) else record_bytes(int(page_id), url, b"", digest, refers, full)
                 held.append(record)
                 size, total = size + len(record), total + len(record)
                 if size >= CHUNK or total >= ARCHIVE_BYTES:
@@ -149,7 +160,8 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         if held:
             yield rows()
 
-    own = own.select(F.col("page_id").cast("string"), "url", "_body", F.col("_refers").cast("string"))
+    revisit = F.col("_refers").isNotNull()
+    own = own.select(F.col("_id").alias("page_id"), "url", "digest", "size", F.when(~revisit, F.col("record")).alias("record"), F.col("_refers").cast("string"))
     return own.mapInPandas(pack, "archive string, chunk long, data binary")
 
 

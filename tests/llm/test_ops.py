@@ -138,6 +138,8 @@ def test_warc(spark):
     common = spark.range(400).selectExpr("id as page_id", "'u' as url", "if(id < 300, 'same', concat('own ', id)) as html")
     assert {r["record_type"]: r["count"] for r in warc.round_trip(common).groupBy("record_type").count().collect()} == {"response": 101, "revisit": 299}
     assert got == [(1, 8, "response", None), (1, 8, "response", None), (2, 0, "response", None), (3, 8, "revisit", 1), (4, 0, "revisit", 2), (7, 6_000_000, "response", None)]
+    plan = warc.write_archives(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("MapInPandas")  # records are compressed before they are shuffled
     record = warc.record_bytes(1, "u", b"body", warc.digest32(b"body"))
     assert [warc.parse(m)[1] for m in warc.members([record[:7], record[7:] + record])] == [b"body", b"body"]
     with pytest.raises(warc.WarcError):
