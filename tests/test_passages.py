@@ -84,3 +84,18 @@ def test_nothing_to_find(spark, made):
     assert P.related(index, asked, memory).count() == P.accepted_matches(index, asked, memory).count() == 0
     hits = memory.limit(1).select(F.lit(1).alias("ask"), "memory_id", "store")
     assert P.passages(index, asked, hits, memory).first()["snippet"] is None
+
+
+@pytest.mark.parametrize("most", [1, 4, 30, 500])
+def test_the_first_hits_alone(spark, made, most):
+    """The first hits as all hits in order have them, also where global ones follow; places of their texts alone."""
+    memory, index, asked = made
+    names = ["memory_id", "store"]
+    hits = I.search(index, asked, memory)
+    key = lambda df: sorted((r["ask"], r["rank"], r["memory_id"], r["store"]) for r in df.collect())
+    first = P.in_order(hits, memory, names, most)
+    assert key(first) == key(P.in_order(hits, memory, names).where(F.col("rank") <= most))
+    shown = lambda few: sorted((r["ask"], r["rank"], r["snippet"]) for r in P.passages(index, asked, first, memory, few).collect())
+    assert shown(True) == shown(False)
+    terms, texts = I._terms(I.query_terms(asked)), memory.where("memory_id % 9 = 1").select(*names)
+    assert {r["memory_id"] % 9 for r in I.places(index, terms, texts).collect()} == {1}
