@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators import versions as V
-from lorekeep.operators.stages import new_folder
+from lorekeep.operators.stages import new_folder, settle
 from lorekeep.streaming import sync
 
 from . import bindings as B
@@ -21,21 +21,40 @@ def _ids(frame: DataFrame, column: str) -> DataFrame:
     return frame.select(F.col(column).alias("memory_id"))
 
 
-def _table(spark: SparkSession, sf: str) -> V.Table:
-    """The memories (version 0) and five changes, one a version; made at their first use in a session."""
+def _upserted(table: V.Table, sf: str) -> None:
+    fresh = V.read(table, 0).where("memory_id % 9 = 4").withColumns({"memory_id": F.col("memory_id") + 500, "hit_count": F.lit(0).cast("long"), "stale": F.lit(False)})
+    V.upsert(table, fresh, keep=("created_at", "hit_count", "contradicted"), version=1)
+
+
+def _superseded(table: V.Table, sf: str) -> None:
+    V.alter(table, _ids(B.read(table.spark, sf, "labels").where("quality = 0"), "doc_id"), {"status": F.lit("superseded")}, version=2)
+
+
+def _bumped(table: V.Table, sf: str) -> None:
+    more = F.col("hit_count") + F.when(F.col("status") == "active", 1).otherwise(0)
+    V.alter(table, _ids(B.read(table.spark, sf, "events"), "user_id"), {"hit_count": more}, version=3)
+
+
+def _flagged(table: V.Table, sf: str) -> None:
+    V.alter(table, _ids(V.read(table).where("hit_count = 0 and status = 'active'"), "memory_id"), {"stale": F.lit(True)}, version=4)
+
+
+def _deleted(table: V.Table, sf: str) -> None:
+    V.delete(table, _ids(B.read(table.spark, sf, "labels").where("toxic = 1"), "doc_id"), version=5)
+
+
+CHANGES = (_upserted, _superseded, _bumped, _flagged, _deleted)
+
+
+def _table(spark: SparkSession, sf: str, until: int = len(CHANGES)) -> V.Table:
+    """The memories (version 0) and the changes up to a version, each made at its first use in a session."""
     at = (spark.sparkContext.applicationId, sf)
     if at not in _TABLES:
-        memory, labels = B.memory(spark, sf).select(*COLUMNS), B.read(spark, sf, "labels")
-        table = V.create(V.Table(spark, new_folder(spark, "memories"), "memory_id"), memory)
-        fresh = memory.where("memory_id % 9 = 4").withColumns({"memory_id": F.col("memory_id") + 500, "hit_count": F.lit(0).cast("long"), "stale": F.lit(False)})
-        V.upsert(table, fresh, keep=("created_at", "hit_count", "contradicted"), version=1)
-        V.alter(table, _ids(labels.where("quality = 0"), "doc_id"), {"status": F.lit("superseded")}, version=2)
-        more = F.col("hit_count") + F.when(F.col("status") == "active", 1).otherwise(0)
-        V.alter(table, _ids(B.read(spark, sf, "events"), "user_id"), {"hit_count": more}, version=3)
-        V.alter(table, _ids(V.read(table).where("hit_count = 0 and status = 'active'"), "memory_id"), {"stale": F.lit(True)}, version=4)
-        V.delete(table, _ids(labels.where("toxic = 1"), "doc_id"), version=5)
-        _TABLES[at] = table
-    return _TABLES[at]
+        _TABLES[at] = V.create(V.Table(spark, new_folder(spark, "memories"), "memory_id"), B.memory(spark, sf).select(*COLUMNS))
+    table = _TABLES[at]
+    for change in CHANGES[V.newest(table) : until]:
+        change(table, sf)
+    return table
 
 
 _KEPT = "memory_id, category, status, stale, contradicted, hit_count, created_at"
@@ -53,7 +72,7 @@ _STEPS = f"""WITH {B.MEMORY}, v0 AS (SELECT {_KEPT}, body FROM memory),
 
 
 def _version(number: int):
-    return lambda spark, sf: V.read(_table(spark, sf), number).drop("body").withColumn("hit_count", F.col("hit_count").cast("long"))
+    return lambda spark, sf: V.read(_table(spark, sf, number), number).drop("body").withColumn("hit_count", F.col("hit_count").cast("long"))
 
 
 for _number, _name in enumerate(("M1_upsert_version", "M4_supersede_version", "M8_bump_version", "M9_flag_version", "M5_delete_version"), 1):
@@ -76,24 +95,35 @@ ORACLES["M1_rows_written"] = f"""{_STEPS},
   SELECT CAST(version AS BIGINT) AS version, count(*) AS n_rows, CAST(sum(chars) AS BIGINT) AS chars FROM w GROUP BY version"""
 
 
-def _ops(spark: SparkSession, sf: str) -> DataFrame:
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    """memory_id, kept, category, marked: the versions of each memory by its text, its category, and its text with a mark more; texts are read once."""
+    version = lambda x: F.substring(F.sha2(x.cast("binary"), 256), 1, 16)
+    own = B.texts(spark, sf).select("memory_id", version(F.col("body")).alias("kept"), version(F.col("category")).alias("category"), version(F.concat("body", F.lit("!"))).alias("marked"))
+    return settle(own.hint("rebalance"), "versions")
+
+
+def _ops(versions: DataFrame) -> DataFrame:
     """Three operations for each memory of two peers: versions by its text, its category, and its text again or with a mark more."""
-    memory = B.memory(spark, sf)
     peer = F.concat(F.lit("peer"), (F.col("memory_id") % 2).cast("string"))
     kind = F.when((F.col("memory_id") % 5 == 0) & (F.col("n") == 2), "supersede").otherwise("update")
-    text = F.when(F.col("n") == 0, F.col("body")).when(F.col("n") == 1, F.col("category")).otherwise(F.when(F.col("memory_id") % 3 == 0, F.col("body")).otherwise(F.concat("body", F.lit("!"))))
-    named = memory.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
-    return named.select(peer.alias("peer"), "memory_id", kind.alias("kind"), F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("version"), (F.col("memory_id") * 10 + F.col("n")).alias("at"), "n")
+    version = F.when(F.col("n") == 0, F.col("kept")).when(F.col("n") == 1, F.col("category")).when(F.col("memory_id") % 3 == 0, F.col("kept")).otherwise(F.col("marked"))
+    named = versions.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n"))
+    return named.select(peer.alias("peer"), "memory_id", kind.alias("kind"), version.alias("version"), (F.col("memory_id") * 10 + F.col("n")).alias("at"), "n")
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The operations in files, the newest of half of the memories first and all of them twice, routed as a stream."""
+    """The operations in files, the newest of half of the memories first and all of them twice, routed as a stream.
+
+    Each micro-batch meets the memories' versions, not their texts, and the files are of a
+    size that Spark picks, so that micro-batches are as many as the operations need.
+    """
     inbox, root = new_folder(spark, "inbox"), new_folder(spark, "moves")
-    ops = _ops(spark, sf)
+    versions = _versions(spark, sf)
+    ops = _ops(versions)
     early = (F.col("memory_id") % 4 < 2) & (F.col("n") == 2)
     for part in (ops.where(early), ops.where(~early), ops):
         part.drop("n").write.mode("append").parquet(inbox)
-    own = B.memory(spark, sf).where("memory_id % 7 <> 3").select("memory_id", F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, 16).alias("version"))
+    own = versions.where("memory_id % 7 <> 3").select("memory_id", F.col("kept").alias("version"))
     sync.run(sync.read_ops(spark, inbox, 8), own, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return sync.newest(spark.read.parquet(f"{root}/out")).select("peer", "memory_id", "version", "route")
 
