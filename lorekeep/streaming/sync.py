@@ -23,15 +23,14 @@ def read_ops(spark: SparkSession, folder: str, files_per_trigger: int = 100) ->
 def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held = state.get if state.exists else None
     top = held
-    for chunk in chunks:
-        last = chunk.sort_values(["at", "version", "kind"]).iloc[-1]
-        own = (int(last["at"]), last["version"], last["kind"])
+    for chunk in chunks:  # of a few rows each, for which a sort of pandas costs most of the time
+        own = max(zip(*[chunk[c].tolist() for c in ("at", "version", "kind")]))
         top = own if top is None or own > top else top
     if top != held:
         state.update(top)
     moved = held is None or top[1:] != held[1:]
-    out = [(*key, top[2], top[1], top[0], held is None)] if moved else []
-    yield pd.DataFrame(out, columns=["peer", "memory_id", "kind", "version", "at", "first"])
+    if moved:
+        yield pd.DataFrame([(*key, top[2], top[1], top[0], held is None)], columns=["peer", "memory_id", "kind", "version", "at", "first"])
 
 
 def advance(ops: DataFrame) -> DataFrame:
