@@ -57,3 +57,17 @@ def test_contradictions_need_no_distinct(spark):
     want = {(i, j) for i in range(12) for j in range(12) if (i % 3 == 0) != (j % 3 == 0)} | {(1, 2), (2, 1), (11, 40), (40, 11)}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Aggregate" not in "".join(got._jdf.queryExecution().optimizedPlan().toString().split("\n")[:4])
+
+
+def test_pairs_of_a_target_take_little_space(spark, monkeypatch):
+    """A page of 20,000 pairs, as Parquet compresses them, repeats a chunk; it held all rows of the target before."""
+    monkeypatch.setattr(R, "PARTS", 4)
+    many = spark.range(400).select(F.col("id").alias("a"), F.lit("t").alias("target"))
+    few = spark.range(19_000).select(F.concat(F.lit("p"), "id").alias("b"), F.lit("t").alias("target"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = R.sharing(many, few, "a", "b", "target").cache()
+    assert got.count() == 400 * 19_000
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    page = got.withColumn("part", F.spark_partition_id()).withColumn("page", F.floor((F.monotonically_increasing_id() % (1 << 33)) / 20_000))
+    assert page.groupBy("part", "page").agg(F.count_distinct("b").alias("n")).agg(F.max("n")).first()[0] <= 10 * R.CHUNK
+    got.unpersist()
