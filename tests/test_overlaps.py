@@ -71,3 +71,15 @@ def test_pairs_of_a_target_take_little_space(spark, monkeypatch):
     page = got.withColumn("part", F.spark_partition_id()).withColumn("page", F.floor((F.monotonically_increasing_id() % (1 << 33)) / 20_000))
     assert page.groupBy("part", "page").agg(F.count_distinct("b").alias("n")).agg(F.max("n")).first()[0] <= 10 * R.CHUNK
     got.unpersist()
+
+
+def test_pairs_leave_a_task_step_by_step(spark, monkeypatch):
+    """A task held all pairs that it found, and each set went through a shuffle once a block, before."""
+    monkeypatch.setattr(O, "CELLS", 500)
+    rows = spark.range(300).select("id", F.concat(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat_ws("-", F.lit("t"), k)), F.array(F.concat_ws("-", F.lit("own"), F.col("id")))).alias("_set")).withColumn("n", F.size("_set"))
+    blocks = O._packed(O.numbered(rows), 1, 1000).collect()
+    assert sum(len(b["id"]) for b in blocks) == 300 * 8 and max(len(b["terms"]) for b in blocks) <= 4000
+    sizes = [len(f) // 32 for small in blocks for large in blocks for f in O._meet(small, large, 0.7)]
+    assert sum(sizes) == 300 * 299 // 2 and max(sizes) <= 500
+    plan = O.overlapping(rows, 0.7)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
