@@ -99,3 +99,29 @@ def test_the_first_hits_alone(spark, made, most):
     assert shown(True) == shown(False)
     terms, texts = I._terms(I.query_terms(asked)), memory.where("memory_id % 9 = 1").select(*names)
     assert {r["memory_id"] % 9 for r in I.places(index, terms, texts).collect()} == {1}
+
+
+@pytest.mark.parametrize("most", [2, 30])
+def test_first_hits_are_those_of_the_whole_search(spark, most):
+    """Also where bodies have to tell whether enough terms occur, and where a query has few project hits."""
+    pick = random.Random(3)
+    words = ["lock", "locks", "blocked", "order", "disorder", "café", "config.toml", "pool", "retry", "the", "straße", "timeouts"]
+    data = [(i, "global" if i % 3 == 0 else "project", " ".join(pick.choice(words) for _ in range(pick.choice([2, 5, 30])))) for i in range(160)]
+    data += [(200 + i, "global", data[i][2]) for i in range(12)] + [(300, "project", None)]
+    rows = spark.createDataFrame(data, "memory_id long, store string, body string")
+    asked = ["lock order pool", "config.toml retry lock", "ock rder disorder", "timeouts", "straße café the lock", "absent"]
+    asked = spark.createDataFrame(list(enumerate(asked)), "ask int, query string")
+    index, names = I.build(rows), ["memory_id", "store"]
+    some = rows.where("memory_id % 7 <> 0")
+    want = P.in_order(I.search(index, asked, some).join(some.select(*names), names, "left_semi"), some, names, most)
+    got = P.first_hits(index, asked, some, most)
+    cut = lambda df: sorted((r["ask"], r["rank"], r["memory_id"], r["store"], r["score"]) for r in df.collect())
+    assert cut(got) == cut(want) and got.count() >= 2 * most
+
+
+def test_tokens_that_hold_a_term_inside_are_not_read(spark):
+    """Each of them was a row a place and a term before, also for searches that return a few hits."""
+    index = I.build(spark.createDataFrame([(0, "project", "block lock locks order pool")], "memory_id long, store string, body string"))
+    terms = I._terms(I.query_terms(spark.createDataFrame([(0, "lock order pool")], "ask int, query string")))
+    assert sorted(r["word"] for r in I.resolved(index, terms, True).collect()) == ["lock", "locks", "order", "pool"]
+    assert all(r["covers"] for r in I.resolved(index, terms, True).collect())
